@@ -30,6 +30,18 @@ def stage(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def new_file(folder: str, name: str, suffix: str, blob: bytes) -> str:
+    """Write a file of a name that no other attempt of the task has, in a shared folder; returns its path."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    store.create_dir(path, recursive=True)
+    path = f"{path}/{name}-{uuid.uuid4().hex}{suffix}"
+    with store.open_output_stream(path, compression=None) as out:
+        out.write(blob)
+    return path
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

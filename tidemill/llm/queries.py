@@ -5,17 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm._shared import table
+from tidemill.llm.jaccard_join import jaccard_components
 from tidemill.llm.mixing import pfair_mix
+from tidemill.llm.quality import fit, quality_scores
 from tidemill.llm.substring_dedup import substring_dedup
+from tidemill.llm.token_output import token_output
+from tidemill.llm.warc import warc_round_trip
 
 
 def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair_mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pfair_mix, op5_substring_dedup)}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_output(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pfair_mix, op2_quality_classifier, op5_substring_dedup, op7_warc, op9_jaccard_join, op10_token_output)}
 ORACLES: dict[str, str] = {}
