@@ -1,10 +1,68 @@
-"""documents -> a training corpus: STAGES in order, each written and read again before the next."""
+"""documents -> a training corpus: STAGES in order, each written and read again before the next.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the
+columns of documents: the quality classifier and the near-duplicate join drop rows, the search for personal data
+rewrites texts, mixing sets the order of the files. The last gives sampled segmentations of every text.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemill.llm._shared import shared_dir, stage, table
+from tidemill.llm.jaccard_join import jaccard_components
+from tidemill.llm.mixing import in_mixed_order
+from tidemill.llm.piece_sampling import sample_pieces
+from tidemill.llm.pii import without_pii
+from tidemill.llm.quality import fit, keep_good
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is 0.7 or more, by a network fitted on the labelled ones among ``docs``."""
+    return keep_good(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the least doc_id.
+
+    A key that repeats is one document and stays once. Rows without a key take no part and stay.
+    """
+    found = jaccard_components(docs)
+    stay = found.filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.union(docs.filter("doc_id is null")).select(*docs.columns)
+
+
+def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span of personal data replaced by its kind; n_chars follows."""
+    return without_pii(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, in files that follow the mixture of sources to their target weights."""
+    return in_mixed_order(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every text, with their piece ids."""
+    return sample_pieces(docs, model=public_tokenizers.path("piece_bpe_32k.model"), ids=True)
+
+
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("jaccard_join", keep_distinct),
+    ("pii", mask_pii),
+    ("mixing", mix_sources),
+    ("piece_sampling", encode_pieces),
+]
+
+#: A network, a component search and sampling are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents"), shared_dir(spark, "pipeline")
+    for name, f in STAGES[:-1]:
+        docs = stage(f(spark, docs, sf_dir), f"{path}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

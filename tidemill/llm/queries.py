@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemill.llm._shared import table
+from tidemill.llm.ann import nearest_neighbours
 from tidemill.llm.jaccard_join import jaccard_components
 from tidemill.llm.mixing import pfair_mix
+from tidemill.llm.near_vectors import near_vectors
+from tidemill.llm.piece_sampling import sample_pieces
+from tidemill.llm.pii import find_pii
 from tidemill.llm.quality import fit, quality_scores
 from tidemill.llm.substring_dedup import substring_dedup
 from tidemill.llm.token_output import token_output
@@ -22,14 +27,32 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sample_pieces(table(spark, sf_dir, "documents"), model=public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
@@ -40,5 +63,20 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pfair_mix, op2_quality_classifier, op5_substring_dedup, op7_warc, op9_jaccard_join, op10_token_output)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pfair_mix,
+        op2_quality_classifier,
+        op3_piece_sampling,
+        op4_pii,
+        op5_substring_dedup,
+        op6_nearest_neighbours,
+        op7_warc,
+        op8_near_vectors,
+        op9_jaccard_join,
+        op10_token_output,
+    )
+}
+#: Where SQL can express an operator fast enough over whole tables; tests hold the others against brute force.
 ORACLES: dict[str, str] = {}
