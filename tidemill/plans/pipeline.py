@@ -225,6 +225,12 @@ def fan_out(base: DataFrame, corruptions: list[str], corrupt: Callable[[DataFram
     return {name: finalized(corrupt(base, name, i * 1_000_003), options, stages) for i, name in enumerate(corruptions)}
 
 
+def numpy_rows(batches: DataFrame):
+    """The real rows of batches in order."""
+    for row in batches.orderBy("batch_id").toLocalIterator(prefetchPartitions=True):
+        yield [r for r, real in zip(row["rows"], row["padding_mask"], strict=True) if real]
+
+
 def numpy_batches(batches: DataFrame):
     """SNK18: batches in order, one at a time, as dictionaries of arrays."""
     import numpy as np
