@@ -45,19 +45,27 @@ def slots_of(weights: Column, period: int) -> Column:
 
 
 def integer_weights(sizes: DataFrame, period: int, temperature: float, weights: dict[str, float] | None) -> DataFrame:
-    """(source, rows) -> (source, rows, w): one slot each at least, the rest by share, left-overs by largest remainder."""
+    """(source, rows) -> (source, rows, w): by share, one slot at least,
+    left-overs by largest remainder."""
     everyone = Window.partitionBy()  # as many rows as sources, at most `period`
     if weights is None:
         share = F.pow(F.col("rows").cast("double"), F.lit(temperature))
     else:
         named = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))]) if weights else F.lit(None).cast("map<string,double>")
         share = F.coalesce(F.try_element_at(named, F.col("source")), F.lit(0.0))
-    exact = F.when(F.sum("share").over(everyone) > 0, F.col("share") / F.sum("share").over(everyone)).otherwise(F.lit(1.0) / F.count("*").over(everyone)) * (F.lit(period) - F.count("*").over(everyone))
-    t = sizes.withColumn("share", share).withColumn("exact", exact).withColumn("base", (F.floor("exact") + 1).cast("int"))
-    fits = F.when(F.count("*").over(everyone) <= period, F.lit(period)).otherwise(F.raise_error(F.lit("more sources than slots in a period")).cast("int"))
-    spare = fits - F.sum("base").over(everyone)
-    rank = F.row_number().over(everyone.orderBy((F.col("exact") - F.floor("exact")).desc(), "source"))
-    return t.select("source", "rows", (F.col("base") + F.when(rank <= spare, 1).otherwise(0)).cast("int").alias("w"))
+    total, n = F.sum("share").over(everyone), F.count("*").over(everyone)
+    t = sizes.withColumn("share", share).withColumn("share", F.when(total > 0, F.col("share") / total).otherwise(F.lit(1.0) / n))
+    t = t.withColumn("small", F.col("share") * period < 1)
+    big = F.sum(F.when(~F.col("small"), F.col("share"))).over(everyone)
+    room = period - F.sum(F.col("small").cast("int")).over(everyone)
+    t = t.withColumn("exact", F.when(F.col("small"), F.lit(1.0)).otherwise(F.col("share") / big * room))
+    t = t.withColumn("base", F.greatest(F.floor("exact"), F.lit(1)).cast("int"))
+    fits = F.when(n <= period, F.lit(period)).otherwise(F.raise_error(F.lit("more sources than slots in a period")).cast("int"))
+    t = t.withColumn("spare", fits - F.sum("base").over(everyone))
+    more = F.row_number().over(everyone.orderBy((F.col("exact") - F.col("base")).desc(), "source"))
+    less = F.row_number().over(everyone.orderBy(F.desc("base"), "source"))
+    change = F.when(more <= F.col("spare"), 1).when(less <= -F.col("spare"), -1).otherwise(0)
+    return t.select("source", "rows", (F.col("base") + change).cast("int").alias("w"))
 
 
 def pfair_mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", weights: dict[str, float] | None = None, temperature: float = 0.5, block_rows: int = 8, period: int = PERIOD, seed: int = 17) -> DataFrame:
