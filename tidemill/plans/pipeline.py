@@ -120,7 +120,7 @@ def load(spark: SparkSession, names: list[str], splits, dataset_type: str, batch
 
 
 def _kept(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
-    """A stage of column expressions that need not name the position: rows travel as (row, position)."""
+    """A stage that selects columns without naming the position, made to keep it."""
 
     def run(df: DataFrame) -> DataFrame:
         out = f(df)
