@@ -15,12 +15,18 @@ U64 = np.uint64
 WORD_TABLE = 400_000
 
 
+#: Of sessions without a checkpoint folder (local tests), by application.
+_own_folders: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; that setting is made only where it is unset (local tests)."""
+    """A new folder below ``spark.checkpoint.dir``; below one of our own only where that is unset (local tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tidemill-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _own_folders:
+            _own_folders[app] = tempfile.mkdtemp(prefix="tidemill-")
+        base = _own_folders[app]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -92,6 +98,22 @@ def ngrams(h: np.ndarray, n: int, base: int) -> np.ndarray:
     return mixed(out)
 
 
+def blocks(column, limit: int = 4 << 20):
+    """An Arrow text column -> (first row, bytes or None of each text) in runs of about ``limit`` bytes.
+
+    What a task makes of its texts then never grows with the number of rows that arrive together.
+    """
+    import pyarrow as pa
+
+    raw = column.cast(pa.binary())
+    size = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64) if len(raw) else np.zeros(1, np.int64)
+    at = 0
+    while at < len(raw):
+        to = max(at + 1, int(np.searchsorted(size, size[at] + limit, "right")) - 1)
+        yield at, raw.slice(at, to - at).to_pylist()
+        at = to
+
+
 def contracted(batches):
     """Edges (u, v) of a partition -> a spanning star of each of its components, by union-find."""
     import pyarrow as pa

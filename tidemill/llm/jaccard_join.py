@@ -5,6 +5,9 @@ order used puts short inverted lists first: shingles that many documents hold (f
 their counts. So a posting list is only built for the short lists of each document, as sorted binary runs that are
 exchanged by hash range. Rows with equal sets are one class, which is one entry of a list.
 
+Pairs that share a short list are first held against bounds: their sizes, what follows the shared shingle in both,
+and 1,024 parity bits of each set, whose differing bits are differing shingles.
+
 Links are found in two rounds. First, neighbours by size within each short list are verified, which joins groups of
 copies along a chain. Then every two entries of a list that lie in different components so far are verified. Pairs
 within a component need no check, as only components are asked for, so a group of copies costs what it has members,
@@ -24,13 +27,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm._shared import U64, WordHashes, components, mixed, ngrams, shared_dir, stage
+from tidemill.llm._shared import U64, WordHashes, blocks, components, mixed, ngrams, shared_dir, stage
 
 BASE = 0x9E3779B97F4A7C15
 #: Documents counted together for long lists, and how many of them must hold a shingle.
-COUNT_DOCS, COUNT_LEAST = 4096, 4
-#: A shingle is a long list if this share of all documents holds it. So there are at most mean set size / share.
-LONG_SHARE = 0.001
+COUNT_DOCS, COUNT_LEAST = 8192, 2
+#: Long lists that are told apart, the longest: the bound of the one table that is broadcast (16 bytes each). What it
+#: leaves out is ordered by hash; any order gives the same links.
+MOST_LONG = 400_000
+#: Bits of a set's parity.
+PARITY = 1024
 #: Postings for each hash range.
 RANGE_POSTINGS = 150_000
 
@@ -65,7 +71,12 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-PROFILE = "doc_id long, n long, f long, hashes binary, counts binary"
+def parity(s: np.ndarray) -> bytes:
+    """For each of PARITY groups of hashes, whether the set holds an odd number of it."""
+    return np.packbits(np.bincount((s >> U64(54)).astype(np.int64), minlength=PARITY).astype(np.uint8) & 1).tobytes()
+
+
+PROFILE = "doc_id long, n long, f long, parity binary, hashes binary, counts binary"
 
 
 def profiles(n: int):
@@ -77,15 +88,15 @@ def profiles(n: int):
         def counted():
             h, c = np.unique(np.concatenate(held), return_counts=True)
             many = c >= COUNT_LEAST
-            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 3 + [pa.array([h[many].tobytes()]), pa.array([c[many].astype("<i4").tobytes()])], ["doc_id", "n", "f", "hashes", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 3 + [pa.array([None], pa.binary()), pa.array([h[many].tobytes()]), pa.array([c[many].astype("<i4").tobytes()])], ["doc_id", "n", "f", "parity", "hashes", "counts"])
 
         for batch in batches:
-            sets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), n)
-            nothing = pa.nulls(len(sets), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), nothing, nothing], ["doc_id", "n", "f", "hashes", "counts"])
-            for s in sets:
-                held.append(s)
-                if len(held) == COUNT_DOCS:
+            for at, texts in blocks(batch.column(1)):
+                sets = shingle_sets(texts, n)
+                nothing = pa.nulls(len(sets), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary()), nothing, nothing], ["doc_id", "n", "f", "parity", "hashes", "counts"])
+                held += sets
+                if len(held) >= COUNT_DOCS:
                     yield counted()
                     held.clear()
         if held:
@@ -110,35 +121,39 @@ def posting_runs(n: int, percent: int, parts: int, long_lists):
 
     def run(batches):
         by_hash, rank = long_lists.value  # sorted hashes, and their places in the order by count
-        held, size = [], 0
+        held, size, classes = [], 0, set()
 
         def rows():
-            a = np.unique(np.concatenate(held))  # by hash, then class: equal sets are one entry
+            a = np.concatenate(held)
+            a = a[np.argsort(a["h"], kind="stable")]
             cuts = np.append(np.searchsorted(a["h"], np.array([(i << 64) // parts for i in range(parts)], U64)), len(a)).tolist()
             got = [(i, y - x, a[x:y].tobytes()) for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
             c = list(zip(*got, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.binary())], ["part", "n", "postings"])
 
         for batch in batches:
-            for s in shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), n):
-                if not len(s):
-                    continue
-                p = prefix_length(len(s), percent)
-                if len(by_hash):
-                    at = np.minimum(np.searchsorted(by_hash, s), len(by_hash) - 1)
-                    long = by_hash[at] == s
-                    first = s[~long][:p]
-                    if len(first) < p:
-                        first = np.concatenate([first, s[long][np.argsort(rank[at[long]])][: p - len(first)]])
-                else:
-                    first = s[:p]
-                x = np.empty(len(first), POSTING)
-                x["h"], x["f"], x["size"], x["place"] = first, fingerprint(s), len(s), np.arange(len(first))
-                held.append(x)
-                size += len(x)
-            if size > 2_000_000:
-                yield rows()
-                held, size = [], 0
+            for _, texts in blocks(batch.column(1)):
+                for s in shingle_sets(texts, n):
+                    f = fingerprint(s)
+                    if not len(s) or f in classes:  # equal sets are one entry
+                        continue
+                    classes.add(f)
+                    p = prefix_length(len(s), percent)
+                    if len(by_hash):
+                        at = np.minimum(np.searchsorted(by_hash, s), len(by_hash) - 1)
+                        long = by_hash[at] == s
+                        first = s[~long][:p]
+                        if len(first) < p:
+                            first = np.concatenate([first, s[long][np.argsort(rank[at[long]])][: p - len(first)]])
+                    else:
+                        first = s[:p]
+                    x = np.empty(len(first), POSTING)
+                    x["h"], x["f"], x["size"], x["place"] = first, f, len(s), np.arange(len(first))
+                    held.append(x)
+                    size += len(x)
+                if size > 1_000_000:
+                    yield rows()
+                    held, size, classes = [], 0, set()
         if held:
             yield rows()
 
@@ -147,9 +162,18 @@ def posting_runs(n: int, percent: int, parts: int, long_lists):
 
 def shared_lists(key, pdf: pd.DataFrame) -> pd.DataFrame:
     """The lists of a hash range that several classes are on."""
-    a = np.unique(np.concatenate([np.frombuffer(b, POSTING) for b in pdf["postings"]]))
-    _, at, count = np.unique(a["h"], return_inverse=True, return_counts=True)
-    a = a[count[at] > 1]
+    a = np.concatenate([np.frombuffer(b, POSTING) for b in pdf["postings"]])
+    h = np.sort(a["h"])
+    several = h[1:][h[1:] == h[:-1]]  # far fewer than all; only those are sorted by class
+    if not len(several):
+        return pd.DataFrame([], columns=["part", "n", "postings"])
+    at = np.minimum(np.searchsorted(several, a["h"]), len(several) - 1)
+    a = a[several[at] == a["h"]]
+    a = a[np.lexsort((a["f"], a["h"]))]
+    a = a[np.append(True, (a["h"][1:] != a["h"][:-1]) | (a["f"][1:] != a["f"][:-1]))]
+    starts = np.flatnonzero(np.append(True, a["h"][1:] != a["h"][:-1]))
+    count = np.diff(np.append(starts, len(a)))
+    a = a[np.repeat(count > 1, count)]
     return pd.DataFrame([(key[0], len(a), a.tobytes())] if len(a) else [], columns=["part", "n", "postings"])
 
 
@@ -160,9 +184,15 @@ def _joins(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in _distinct(x, y)], ["a", "b"])
+
+
+def _distinct(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a, b = np.minimum(x, y), np.maximum(x, y)
-    got = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.empty((0, 2), "<i8")
-    return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    return a[new], b[new]
 
 
 def chained(percent: int):
@@ -171,7 +201,8 @@ def chained(percent: int):
     def run(batches):
         for batch in batches:
             for b in batch.column(2).to_pylist():
-                x = np.sort(np.frombuffer(b, POSTING), order=["h", "size", "f"])
+                x = np.frombuffer(b, POSTING)
+                x = x[np.lexsort((x["f"], x["size"], x["h"]))]
                 same = (x["h"][1:] == x["h"][:-1]) & _joins(x[1:], x[:-1], percent)
                 yield _pairs(x["f"][:-1][same], x["f"][1:][same])
 
@@ -202,10 +233,49 @@ def across(percent: int):
                 lo = i + np.searchsorted(e["size"][i:k], -(-percent * int(e["size"][k]) // 100))
                 ok = (c[lo:k] != c[k]) & _joins(e[lo:k], np.broadcast_to(e[k], k - lo), percent)
                 if ok.any():
-                    out.append(np.stack([f[lo:k][ok], np.full(ok.sum(), f[k])], 1))
-        got = np.concatenate(out) if out else np.empty((0, 2), "<i8")
-        got = np.unique(np.sort(got, axis=1), axis=0)
-        return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
+                    out.append((f[lo:k][ok], np.full(ok.sum(), f[k])))
+        a, b = (np.concatenate([o[i] for o in out]) if out else np.empty(0, "<i8") for i in (0, 1))
+        return pd.DataFrame(dict(zip("ab", _distinct(a, b), strict=True)))
+
+    return run
+
+
+def paired(percent: int):
+    """Lists -> the classes that can be a pair with another on some list."""
+
+    def run(batches):
+        for batch in batches:
+            for b in batch.column(2).to_pylist():
+                x = np.frombuffer(b, POSTING)
+                x = x[np.lexsort((x["f"], x["size"], x["h"]))]
+                starts = np.flatnonzero(np.append(True, x["h"][1:] != x["h"][:-1]))
+                some = np.zeros(len(x), bool)
+                for i, j in zip(starts.tolist(), np.append(starts[1:], len(x)).tolist(), strict=True):
+                    # the best partner for an entry is one of its size with the most that follows
+                    e, m = x[i:j], j - i
+                    size, after = e["size"].astype(np.int64), (e["size"] - e["place"]).astype(np.int64)
+                    hi = np.searchsorted(size, size * 100 // percent, "right")
+                    for k in range(m):
+                        if hi[k] > k + 1:
+                            ok = np.minimum(after[k], after[k + 1 : hi[k]]) >= least_overlap(size[k], size[k + 1 : hi[k]], percent)
+                            if ok.any():
+                                some[i + k] = True
+                                some[i + k + 1 : i + hi[k]] |= ok
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(x["f"][some]))], ["f"])
+
+    return run
+
+
+def plausible(percent: int):
+    """(a, b, n and parity of each) -> the pairs whose parities allow the overlap."""
+
+    def run(batches):
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+            bits = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, PARITY // 64) for i in (4, 5)]
+            differ = np.bitwise_count(bits[0] ^ bits[1]).sum(1)
+            ok = pa.array(differ <= na + nb - 2 * least_overlap(na, nb, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
     return run
 
@@ -252,8 +322,9 @@ def verified(percent: int):
 def packed_sets(n: int):
     def run(batches):
         for batch in batches:
-            sets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), n)
-            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["f", "shingles"])
+            for _, texts in blocks(batch.column(1)):
+                sets = shingle_sets(texts, n)
+                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["f", "shingles"])
 
     return run
 
@@ -272,12 +343,15 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     each = profile.filter("hashes is null").select("doc_id", "n", "f")
     total, postings = each.agg(F.count("*"), F.sum(F.floor(F.col("n") * (100 - percent) / 100) + 1)).first()
     counts = profile.filter("hashes is not null").select("hashes", "counts").mapInArrow(_spread, "h long, c long")
-    counts = counts.groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= LONG_SHARE * total)
-    long = counts.toPandas()  # bounded: mean set size / LONG_SHARE rows of 16 bytes, however many documents
-    h, c = long["h"].to_numpy(np.int64).view(U64), long["c"].to_numpy(np.int64)
+    counts = stage(counts.groupBy("h").agg(F.sum("c").alias("c")), f"{path}/counts")
+    held = counts.count()
+    if held > MOST_LONG:
+        counts = counts.filter(F.col("c") > counts.approxQuantile("c", [1 - MOST_LONG / held], 0.001)[0])
+    long = counts.toArrow()  # MOST_LONG rows at most, within the quantile's error
+    h, c = long.column("h").to_numpy().view(U64), long.column("c").to_numpy()
     by_hash = np.argsort(h)
-    rank = np.empty(len(h), np.int64)
-    rank[np.lexsort((h, c))] = np.arange(len(h))
+    rank = np.empty(len(h), np.int32)
+    rank[np.lexsort((h, c))] = np.arange(len(h), dtype=np.int32)
     shared = spark.sparkContext.broadcast((h[by_hash], rank[by_hash]))
 
     parts = max(32, -(-(postings or 0) // RANGE_POSTINGS))
@@ -287,12 +361,18 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
 
     entries = lists.mapInArrow(_each, "part int, h long, f long, size long, place long")
     some = each.filter("doc_id is not null").groupBy("f").agg(F.min("doc_id").alias("doc_id"))
-    wanted = some.join(entries.select("f").distinct(), "f").select("doc_id").distinct()
+    marks = profile.filter("doc_id is not null").groupBy("f").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
+    partners = lists.mapInArrow(paired(percent), "f long").distinct()
+    wanted = some.join(partners, "f").select("doc_id").distinct()
+    # a key that repeats gives a set twice, which finds its links twice
     sets = keyed.join(wanted, "doc_id", "left_semi").mapInArrow(packed_sets(words), "f long, shingles binary")
-    sets = stage(sets.dropDuplicates(["f"]), f"{path}/sets")
+    sets = stage(sets, f"{path}/sets")
 
     def check(pairs: DataFrame, name: str) -> DataFrame:
         pairs = stage(pairs.distinct(), f"{path}/{name}-pairs")
+        both = pairs.join(marks.select(F.col("f").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb")), "b")
+        both = both.join(marks.select(F.col("f").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa")), "a").select("a", "b", "na", "nb", "pa", "pb")
+        pairs = stage(both.mapInArrow(plausible(percent), "a long, b long"), f"{path}/{name}-plausible")
         both = pairs.join(sets.select(F.col("f").alias("b"), F.col("shingles").alias("y")), "b")
         both = both.join(sets.select(F.col("f").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
         return stage(both.mapInArrow(verified(percent), "a long, b long"), f"{path}/{name}-links")
