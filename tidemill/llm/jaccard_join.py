@@ -8,11 +8,12 @@ exchanged by hash range. Rows with equal sets are one class, which is one entry
 Pairs that share a short list are first held against bounds: their sizes, what follows the shared shingle in both,
 and 1,024 parity bits of each set, whose differing bits are differing shingles.
 
-Links are found in two rounds. First, neighbours by size within each short list are verified, which joins groups of
-copies along a chain. Then every two entries of a list that lie in different components so far are verified. Pairs
-within a component need no check, as only components are asked for, so a group of copies costs what it has members,
-not pairs. Verification is T-occurrence search: a document's candidates form a small inverted index; its short lists
-are heap-merged, its longest T - 1 lists only probed by binary search, and those that reach T stay.
+Links are found in two rounds. First, each entry of a list is paired with one earlier entry of each group that the
+bounds allow, which takes as many pairs as entries; most of them are verified, and join groups of copies. Then every
+two entries that lie in different components so far, and that the bounds allow, are verified. Pairs within a component
+need no check, as only components are asked for, so a group of copies costs what it has members, not pairs.
+Verification is T-occurrence search: a document's candidates form a small inverted index; its short lists are
+heap-merged, its longest T - 1 lists only probed by binary search, and those that reach T stay.
 """
 
 from __future__ import annotations
@@ -177,16 +178,6 @@ def shared_lists(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(key[0], len(a), a.tobytes())] if len(a) else [], columns=["part", "n", "postings"])
 
 
-def _joins(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Whether entries of one list can be a pair: their sizes fit, and enough of both sets follows."""
-    need = least_overlap(x["size"].astype(np.int64), y["size"].astype(np.int64), percent)
-    return np.minimum(x["size"] - x["place"], y["size"] - y["place"]) >= need
-
-
-def _pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v) for v in _distinct(x, y)], ["a", "b"])
-
-
 def _distinct(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a, b = np.minimum(x, y), np.maximum(x, y)
     order = np.lexsort((b, a))
@@ -195,87 +186,54 @@ def _distinct(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], b[new]
 
 
-def chained(percent: int):
-    """Lists -> neighbours by size within each."""
-
-    def run(batches):
-        for batch in batches:
-            for b in batch.column(2).to_pylist():
-                x = np.frombuffer(b, POSTING)
-                x = x[np.lexsort((x["f"], x["size"], x["h"]))]
-                same = (x["h"][1:] == x["h"][:-1]) & _joins(x[1:], x[:-1], percent)
-                yield _pairs(x["f"][:-1][same], x["f"][1:][same])
-
-    return run
-
-
-def _each(batches):
-    """Packed lists -> a row for each entry."""
+def _members(batches):
+    """Lists -> the classes on each range's lists."""
     for batch in batches:
         for part, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            x = np.frombuffer(b, POSTING)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), part, "i4")), *(pa.array(x[k].astype("<i8")) for k in ("h", "f", "size", "place"))], ["part", "h", "f", "size", "place"])
-
-
-def across(percent: int):
-    """Lists whose entries know their component -> the pairs of different components, each at most once a range."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(["h", "size", "f"])
-        h, f, c = (x[k].to_numpy() for k in ("h", "f", "c"))
-        e = np.empty(len(x), POSTING)
-        e["size"], e["place"] = x["size"], x["place"]
-        starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        several = np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)
-        out = []
-        for i, j in zip(starts[several].tolist(), np.append(starts[1:], len(h))[several].tolist(), strict=True):
-            for k in range(i + 1, j):  # sizes ascend: those too small for k come first
-                lo = i + np.searchsorted(e["size"][i:k], -(-percent * int(e["size"][k]) // 100))
-                ok = (c[lo:k] != c[k]) & _joins(e[lo:k], np.broadcast_to(e[k], k - lo), percent)
-                if ok.any():
-                    out.append((f[lo:k][ok], np.full(ok.sum(), f[k])))
-        a, b = (np.concatenate([o[i] for o in out]) if out else np.empty(0, "<i8") for i in (0, 1))
-        return pd.DataFrame(dict(zip("ab", _distinct(a, b), strict=True)))
-
-    return run
+            f = np.unique(np.frombuffer(b, POSTING)["f"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), part, "i4")), pa.array(f)], ["part", "f"])
 
 
-def paired(percent: int):
-    """Lists -> the classes that can be a pair with another on some list."""
+def partners(percent: int, all_pairs: bool):
+    """The lists of a range and what is known of their classes (f, parity, component c) -> pairs to verify.
 
-    def run(batches):
-        for batch in batches:
-            for b in batch.column(2).to_pylist():
-                x = np.frombuffer(b, POSTING)
-                x = x[np.lexsort((x["f"], x["size"], x["h"]))]
-                starts = np.flatnonzero(np.append(True, x["h"][1:] != x["h"][:-1]))
-                some = np.zeros(len(x), bool)
-                for i, j in zip(starts.tolist(), np.append(starts[1:], len(x)).tolist(), strict=True):
-                    # the best partner for an entry is one of its size with the most that follows
-                    e, m = x[i:j], j - i
-                    size, after = e["size"].astype(np.int64), (e["size"] - e["place"]).astype(np.int64)
-                    hi = np.searchsorted(size, size * 100 // percent, "right")
-                    for k in range(m):
-                        if hi[k] > k + 1:
-                            ok = np.minimum(after[k], after[k + 1 : hi[k]]) >= least_overlap(size[k], size[k + 1 : hi[k]], percent)
-                            if ok.any():
-                                some[i + k] = True
-                                some[i + k + 1 : i + hi[k]] |= ok
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(x["f"][some]))], ["f"])
-
-    return run
-
-
-def plausible(percent: int):
-    """(a, b, n and parity of each) -> the pairs whose parities allow the overlap."""
+    Only pairs of different components that sizes, places and parities allow. With ``all_pairs`` each of them;
+    else for each entry one of each group that earlier pairs of its list would make.
+    """
 
-    def run(batches):
-        for batch in batches:
-            na, nb = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
-            bits = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, PARITY // 64) for i in (4, 5)]
-            differ = np.bitwise_count(bits[0] ^ bits[1]).sum(1)
-            ok = pa.array(differ <= na + nb - 2 * least_overlap(na, nb, percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
+    def run(key, lists: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        out = [(np.empty(0, "<i8"), np.empty(0, "<i8"))]
+        if len(lists):
+            known = members.sort_values("f")
+            f_of, c_of = known["f"].to_numpy(), known["c"].to_numpy()
+            bits_of = np.frombuffer(b"".join(known["parity"]), np.uint64).reshape(len(known), -1)
+            x = np.concatenate([np.frombuffer(b, POSTING) for b in lists["postings"]])
+            x = x[np.lexsort((x["f"], x["size"], x["h"]))]
+            row = np.searchsorted(f_of, x["f"])
+            f, c, size = x["f"], c_of[row], x["size"].astype(np.int64)
+            after = size - x["place"]
+            starts = np.flatnonzero(np.append(True, x["h"][1:] != x["h"][:-1]))
+            several = np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)
+            for i, j in zip(starts[several].tolist(), np.append(starts[1:], len(x))[several].tolist(), strict=True):
+                group = c[i:j].copy()
+                for k in range(i + 1, j):  # sizes ascend: those too small for k come first
+                    lo = i + int(np.searchsorted(size[i:k], -(-percent * size[k] // 100)))
+                    own = group[k - i]
+                    place = lo + np.flatnonzero(group[lo - i : k - i] != own)
+                    need = least_overlap(size[place], size[k], percent)
+                    ok = np.minimum(after[place], after[k]) >= need
+                    place, need = place[ok], need[ok]
+                    differ = np.bitwise_count(bits_of[row[place]] ^ bits_of[row[k]]).sum(1)
+                    place = place[differ <= size[place] + size[k] - 2 * need]
+                    if not len(place):
+                        continue
+                    if not all_pairs:
+                        met, first = np.unique(group[place - i], return_index=True)
+                        place = place[first]
+                        group[np.isin(group, met)] = own
+                    out.append((f[place], np.full(len(place), f[k])))
+        a, b = (np.concatenate([o[n] for o in out]) for n in (0, 1))
+        return pd.DataFrame(dict(zip("ab", _distinct(a, b), strict=True)))
 
     return run
 
@@ -359,31 +317,32 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     runs = keyed.mapInArrow(posting_runs(words, percent, parts, shared), POSTINGS)
     lists = stage(runs.groupBy("part").applyInPandas(shared_lists, POSTINGS), f"{path}/lists")
 
-    entries = lists.mapInArrow(_each, "part int, h long, f long, size long, place long")
     some = each.filter("doc_id is not null").groupBy("f").agg(F.min("doc_id").alias("doc_id"))
-    marks = profile.filter("doc_id is not null").groupBy("f").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
-    partners = lists.mapInArrow(paired(percent), "f long").distinct()
-    wanted = some.join(partners, "f").select("doc_id").distinct()
-    # a key that repeats gives a set twice, which finds its links twice
-    sets = keyed.join(wanted, "doc_id", "left_semi").mapInArrow(packed_sets(words), "f long, shingles binary")
-    sets = stage(sets, f"{path}/sets")
+    marks = profile.filter("doc_id is not null").groupBy("f").agg(F.first("parity").alias("parity"))
+    members = stage(lists.mapInArrow(_members, "part int, f long").join(marks, "f"), f"{path}/members")
+
+    def pairs_of(known: DataFrame | None, name: str) -> DataFrame:
+        if known is None:
+            placed = members.withColumn("c", F.col("f"))
+        else:
+            placed = members.join(known.select(F.col("node").alias("f"), "component"), "f", "left").withColumn("c", F.coalesce("component", "f")).drop("component")
+        got = lists.groupBy("part").cogroup(placed.groupBy("part")).applyInPandas(partners(percent, known is not None), "a long, b long")
+        return stage(got.distinct(), f"{path}/{name}-pairs")
 
     def check(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = stage(pairs.distinct(), f"{path}/{name}-pairs")
-        both = pairs.join(marks.select(F.col("f").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb")), "b")
-        both = both.join(marks.select(F.col("f").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa")), "a").select("a", "b", "na", "nb", "pa", "pb")
-        pairs = stage(both.mapInArrow(plausible(percent), "a long, b long"), f"{path}/{name}-plausible")
+        """The pairs that link. Sets are made anew from the texts of those asked for only."""
+        asked = pairs.select(F.col("a").alias("f")).union(pairs.select("b")).distinct()
+        wanted = some.join(asked, "f").select("doc_id").distinct()
+        # a key that repeats gives a set twice, which finds its links twice
+        sets = keyed.join(wanted, "doc_id", "left_semi").mapInArrow(packed_sets(words), "f long, shingles binary")
+        sets = stage(sets, f"{path}/{name}-sets")
         both = pairs.join(sets.select(F.col("f").alias("b"), F.col("shingles").alias("y")), "b")
         both = both.join(sets.select(F.col("f").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
         return stage(both.mapInArrow(verified(percent), "a long, b long"), f"{path}/{name}-links")
 
-    first = check(lists.mapInArrow(chained(percent), "a long, b long"), "first")
+    first = check(pairs_of(None, "first"), "first")
     known = components(first, "jaccard-first")
-    placed = entries.join(known.select(F.col("node").alias("f"), "component"), "f", "left")
-    placed = placed.withColumn("c", F.coalesce("component", "f")).drop("component")
-    mixed_lists = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("h")
-    rest = placed.join(mixed_lists, "h").groupBy("part").applyInPandas(across(percent), "a long, b long")
-    links = first.union(check(rest, "second"))
+    links = first.union(check(pairs_of(known, "second"), "second"))
 
     found = components(links, "jaccard-all").select(F.col("node").alias("f"), "component")
     classes = some.join(found, "f", "left").withColumn("component", F.coalesce("component", "f"))
