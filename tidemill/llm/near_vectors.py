@@ -22,6 +22,9 @@ from tidemill.llm._shared import components, shared_dir, stage
 from tidemill.llm._vectors import cosines, fitting_sample, kmeans, matrix, nearest, shares, squared, unit, usable
 
 MOST_LISTS = 256
+#: Lists that a query probes, on average over the sample: where no list can be ruled out, fewer and larger lists are
+#: used, so that what is sent stays within this many times the table.
+MEAN_PROBES = 10.0
 SUBSPACES, CODES = 8, 64
 SHARE_ROWS, SHARE_QUERIES = 8192, 4096
 #: Queries whose tables are made at once, and room for rounding in distances.
@@ -31,12 +34,23 @@ AT_ONCE, ROUNDING = 32, 1e-6
 class Quantiser:
     def __init__(self, sample: np.ndarray, lists: int, seed: int):
         self.lists = kmeans(sample, lists, seed)
-        rest = sample - self.lists[nearest(sample, self.lists)]
         self.cuts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
-        self.books = [kmeans(rest[:, c], CODES, seed + 1 + i) for i, c in enumerate(self.cuts)]
         apart = np.sqrt(squared(self.lists, self.lists))
         self.apart = np.where(apart > 0, apart, np.inf)  # an equal centroid behind another holds nothing
 
+    def learn_codes(self, sample: np.ndarray, seed: int) -> Quantiser:
+        rest = sample - self.lists[nearest(sample, self.lists)]
+        self.books = [kmeans(rest[:, c], CODES, seed + 1 + i) for i, c in enumerate(self.cuts)]
+        return self
+
+    @classmethod
+    def fitted(cls, sample: np.ndarray, lists: int, r: float, seed: int) -> Quantiser:
+        while True:
+            z = cls(sample, lists, seed)
+            if lists <= MEAN_PROBES or z.probes(sample[:2000], r).sum(1).mean() <= MEAN_PROBES:
+                return z
+            lists = max(1, lists // 2)
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """List, codes and the distance between a vector and what its codes stand for."""
         home = nearest(x, self.lists)
@@ -60,23 +74,28 @@ class Quantiser:
         return out
 
 
-def _indexed(quantiser):
+def _vectors(raw, kind: str) -> np.ndarray:
+    raw = list(raw)
+    return np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64) if raw else np.empty((0, 0))
+
+
+def _indexed(quantiser, kind: str):
     def run(batches):
         z = quantiser.value
         for batch in batches:
             x = matrix(batch.column(2))
             if len(x):
                 home, codes, error = z.encode(unit(x))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(home.astype(np.int32)), batch.column(3), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)], ["id", "label", "list", "n", "x", "codes", "error"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(home.astype(np.int32)), batch.column(3), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)], ["id", "label", "list", "n", "x", "codes", "error"])
 
     return run
 
 
-def _probing(quantiser, r: float):
+def _probing(quantiser, r: float, kind: str):
     def run(batches):
         z = quantiser.value
         for batch in batches:
-            x = np.array([np.frombuffer(b) for b in batch.column(2).to_pylist()])
+            x = _vectors(batch.column(2).to_pylist(), kind)
             if len(x):
                 who, where = np.nonzero(z.probes(unit(x), r))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), batch.column(1).take(pa.array(who)), pa.array(where.astype(np.int32)), batch.column(2).take(pa.array(who))], ["id", "label", "list", "x"])
@@ -109,16 +128,16 @@ def forest(rows: list[tuple[int, np.ndarray]], ids: np.ndarray) -> list[tuple[in
 FOUND = "id long, n long, other long"
 
 
-def linked(quantiser, least: float, r: float):
+def linked(quantiser, least: float, r: float, kind: str):
     def run(key, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = {"id": [], "n": [], "other": []}
         if len(rows) and len(queries):
             z, at = quantiser.value, int(key[1])
             ids, weight, error = rows["id"].to_numpy(), rows["n"].to_numpy(), rows["error"].to_numpy()
-            y = np.stack([np.frombuffer(b) for b in rows["x"]])
+            y = _vectors(rows["x"], kind)
             codes = np.stack([np.frombuffer(b, np.uint8) for b in rows["codes"]]).astype(np.int64)
             who, found = queries["id"].to_numpy(), []
-            x = np.stack([np.frombuffer(b) for b in queries["x"]])
+            x = _vectors(queries["x"], kind)
             limit = (r + error + ROUNDING) ** 2
             for i in range(0, len(x), AT_ONCE):
                 part = x[i : i + AT_ONCE]
@@ -153,6 +172,8 @@ def near_vectors(rows: DataFrame, *, least: float = 0.8, key: str = "vec_id", ve
     link with each other. An empty table gives no rows. Other columns are ignored.
     """
     spark, path = rows.sparkSession, shared_dir(rows.sparkSession, "near-vectors")
+    # vectors travel as the table has them; all arithmetic is in double precision
+    kind = "<f4" if rows.schema[vector].dataType.simpleString() == "array<float>" else "<f8"
     every = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"), F.col(label).cast("string").alias("label"))
     part = F.col("id").isNotNull() & F.col("label").isNotNull() & usable(F.col("x"))
     lengths = every.filter(part).groupBy(F.size("x").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").first()
@@ -166,12 +187,13 @@ def near_vectors(rows: DataFrame, *, least: float = 0.8, key: str = "vec_id", ve
     # a key that stands for two classes is told apart by its class's number
     classes = stage(classes.select("h1", "h2", "rep", F.col("h1").alias("id"), "label", "x", "n"), f"{path}/classes")
     size = classes.count()
-    quantiser = Quantiser(fitting_sample(classes, "id", "x"), min(MOST_LISTS, max(1, int(np.sqrt(size) / 2))), seed)
-    shared = spark.sparkContext.broadcast(quantiser)  # at most MOST_LISTS centroids and SUBSPACES * CODES codes
     r = float(np.sqrt(max(0.0, 2 - 2 * least)))
+    sample = fitting_sample(classes, "id", "x")
+    quantiser = Quantiser.fitted(sample, min(MOST_LISTS, max(1, int(np.sqrt(size) / 2))), r, seed).learn_codes(sample, seed)
+    shared = spark.sparkContext.broadcast(quantiser)  # at most MOST_LISTS centroids and SUBSPACES * CODES codes
 
-    index = stage(classes.select("id", "label", "x", "n").mapInArrow(_indexed(shared), "id long, label string, list int, n long, x binary, codes binary, error double"), f"{path}/index")
-    asked = index.select("id", "label", "x").mapInArrow(_probing(shared, r), "id long, label string, list int, x binary")
+    index = stage(classes.select("id", "label", "x", "n").mapInArrow(_indexed(shared, kind), "id long, label string, list int, n long, x binary, codes binary, error double"), f"{path}/index")
+    asked = index.select("id", "label", "x").mapInArrow(_probing(shared, r, kind), "id long, label string, list int, x binary")
     asked = stage(asked, f"{path}/probes")
     both = ["label", "list"]
     sizes = shares(index.groupBy(*both).agg(F.count("*").alias("n")), SHARE_ROWS).select(*both, F.col("shares").alias("parts"))
@@ -181,7 +203,7 @@ def near_vectors(rows: DataFrame, *, least: float = 0.8, key: str = "vec_id", ve
     left = index.join(dealt, both).select(*both, slice_of.alias("part"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "id", "n", "x", "codes", "error")
     right = asked.join(dealt, both).select(*both, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), turn.alias("turn"), "id", "x")
     where = [*both, "part", "turn"]
-    found = stage(left.groupBy(*where).cogroup(right.groupBy(*where)).applyInPandas(linked(shared, least, r), FOUND), f"{path}/found")
+    found = stage(left.groupBy(*where).cogroup(right.groupBy(*where)).applyInPandas(linked(shared, least, r, kind), FOUND), f"{path}/found")
 
     counted = found.groupBy("id").agg(F.sum("n").alias("links"))
     joined = components(found.filter("other is not null").select("id", "other"), "near-vectors-components")
