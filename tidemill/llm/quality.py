@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm._shared import blocks
+
 STEP, WIDTH, FILTERS, HIDDEN = 8, 8, 40, 16
 #: Distances at which four bytes are looked for again.
 LAGS = range(2, 21)
@@ -173,8 +175,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 def scored(net: Network):
     def run(batches):
         for batch in batches:
-            got = net.scores([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], ["doc_id", "score"])
+            for at, texts in blocks(batch.column(1)):
+                got = net.scores([t or b"" for t in texts])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(got)), pa.array(got, pa.float64())], ["doc_id", "score"])
 
     return run
 
@@ -193,8 +196,8 @@ def quality_scores(docs: DataFrame, net: Network, *, key: str = "doc_id", text:
 def _keeps(net: Network, at: int, threshold: float):
     def run(batches):
         for batch in batches:
-            got = net.scores([t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()])
-            yield batch.filter(pa.array(got >= threshold))
+            got = [net.scores([t or b"" for t in texts]) for _, texts in blocks(batch.column(at))]
+            yield batch.filter(pa.array(np.concatenate(got) >= threshold)) if got else batch
 
     return run
 
