@@ -27,7 +27,7 @@ from tidemill.llm._shared import U64, WordHashes, mixed, ngrams, shared_dir, sta
 
 WINDOW, GRAM = 35, 20
 #: Bytes of text in a chunk, and for each hash range.
-CHUNK_BYTES, RANGE_BYTES = 8 << 20, 3 << 20
+CHUNK_BYTES, RANGE_BYTES = 4 << 20, 3 << 20
 BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 CHUNK = "chunk long, bytes long, ids array<long>, sizes binary, texts binary"
