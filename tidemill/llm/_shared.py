@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Entries after which a worker's word table is emptied, so that its memory stays bounded.
-WORD_TABLE = 400_000
+WORD_TABLE = 200_000
 
 
 #: Of sessions without a checkpoint folder (local tests), by application.

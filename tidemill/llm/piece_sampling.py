@@ -29,7 +29,7 @@ from tidemill.llm._shared import U64, mixed
 
 SPACE = "▁"
 #: Edges after which a worker's lattices are dropped.
-EDGE_TABLE = 5_000_000
+EDGE_TABLE = 2_500_000
 BASE = U64(0x9E3779B97F4A7C15)
 #: Words that are sampled together.
 WORDS_AT_ONCE = 150_000
