@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the
 columns of documents: the quality classifier and the near-duplicate join drop rows, the search for personal data
-rewrites texts, mixing sets the order of the files. The last gives sampled segmentations of every text.
+rewrites texts, mixing sets the order of the files. The last gives sampled segmentations of every text, each with
+the place of its document in that order (``mix_position``): the mixture is read by it, its start holds the targets.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm._shared import shared_dir, stage, table
 from tidemill.llm.jaccard_join import jaccard_components
-from tidemill.llm.mixing import in_mixed_order
+from tidemill.llm.mixing import in_mixed_order, with_file_order
 from tidemill.llm.piece_sampling import sample_pieces
 from tidemill.llm.pii import without_pii
 from tidemill.llm.quality import fit, keep_good
@@ -45,8 +46,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of every text, with their piece ids."""
-    return sample_pieces(docs, model=public_tokenizers.path("piece_bpe_32k.model"), ids=True)
+    """Two sampled segmentations of every text, with their piece ids and the document's place in the mixture."""
+    return sample_pieces(with_file_order(docs), model=public_tokenizers.path("piece_bpe_32k.model"), ids=True, carry="mix_position")
 
 
 STAGES = [

@@ -440,6 +440,23 @@ def test_pipeline_stages_keep_columns_and_clean_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
 
 
+def test_the_mixture_reaches_the_last_rows_of_the_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    rows = [(i, f"text {i}", "en", "hot" if i < 200 else f"src{i % 3}", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    stages["mixing"](spark, docs, "").write.parquet(f"{tmp_path}/mixed")
+    want = [r["doc_id"] for r in mixing.pfair_mix(docs).orderBy("mix_position").collect()]
+    order = lambda df: [r["doc_id"] for r in stages["piece_sampling"](spark, df, "").filter("sample = 0").orderBy("mix_position").collect()]
+    assert order(spark.read.parquet(f"{tmp_path}/mixed")) == want
+    assert order(docs) != want and sorted(order(docs)) == sorted(want)
+    got = stages["piece_sampling"](spark, stages["mixing"](spark, docs, ""), "")
+    assert [r["mix_position"] for r in got.filter("sample = 0").orderBy("mix_position").collect()] == list(range(300))
+
+
 @pytest.mark.parametrize("name", ["op1_pfair_mix", "op2_quality_classifier", "op4_pii", "op5_substring_dedup", "op9_jaccard_join", "op10_token_output", "op3_piece_sampling"])
 def test_queries_return_a_row_for_each_document(spark, name):
     from tidemill.llm.queries import QUERIES

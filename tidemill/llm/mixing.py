@@ -13,9 +13,12 @@ all rows is spread over as many tasks as any other rows.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.llm._shared import shared_dir, stage
+
 #: Slots of one period, which bounds the number of sources and the broadcast schedule.
 PERIOD = 1000
 #: Bits of the order hash that make a group; with 4,096 groups a source, none holds much of the hottest.
@@ -125,3 +128,27 @@ def pfair_mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", w
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
     """``docs``, every row and no other column, in files that follow the mixture: reading them in order reads the mix."""
     return pfair_mix(docs, **options).repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+
+
+def with_file_order(docs: DataFrame, name: str = "mix_position") -> DataFrame:
+    """``docs`` as read from Parquet, and ``name``: the row's place, from 0, when all files are read in order.
+
+    A table of rows carries no order of its own and tasks take files by size, so the order of ``in_mixed_order`` is
+    taken from where each row stands: Spark's number of the file, then the row in it. Rows that do not come straight
+    from files are written first, in the order of their partitions.
+    """
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.select("*", F.col("_metadata.file_name").alias("_mix_file"), F.col("_metadata.row_index").alias("_mix_row"))
+
+    try:
+        rows = placed(docs)
+        rows.schema  # noqa: B018 - resolves the names
+    except AnalysisException:
+        rows = placed(stage(docs, f"{shared_dir(docs.sparkSession, 'mixed')}/rows"))
+    # part-<task>-<job>-c<file of the task>: by number, as names of more than five digits do not sort
+    number = [F.regexp_extract("_mix_file", p, 1).cast("long") for p in (r"^part-(\d+)", r"-c(\d+)\.")]
+    counts = rows.groupBy("_mix_file").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy(*number, "_mix_file").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_mix_file", F.coalesce(before, F.lit(0)).alias("_mix_before"))
+    return rows.join(F.broadcast(starts), "_mix_file").select(*[F.col(f"`{c}`") for c in docs.columns], (F.col("_mix_before") + F.col("_mix_row")).alias(name))

@@ -393,11 +393,12 @@ SAMPLES = "doc_id long, sample int, n_pieces long, log_prob double, perturbed do
 NAMES = [x.split()[0] for x in SAMPLES.split(", ")]
 
 
-def sampled(path: str, k: int, seed: int, ids: bool):
+def sampled(path: str, k: int, seed: int, ids: bool, carry: str | None = None):
     def run(batches):
         table = lattices(path)
         for batch in batches:
             keys, texts, at = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()], 0
+            carried = batch.column(2).to_pylist() if carry else keys
             while at < len(keys):
                 to, words = at, 0
                 while to < len(keys) and (to == at or words < WORDS_AT_ONCE):
@@ -405,24 +406,26 @@ def sampled(path: str, k: int, seed: int, ids: bool):
                     to += 1
                 seeds = np.array([xxhash.xxh3_64_intdigest(repr(x).encode(), seed) for x in keys[at:to]], U64)
                 rows = []
-                for key, text, got in zip(keys[at:to], texts[at:to], top_k(table, texts[at:to], seeds, k), strict=True):
+                for key, text, other, got in zip(keys[at:to], texts[at:to], carried[at:to], top_k(table, texts[at:to], seeds, k), strict=True):
                     for s, (p, lp, g, inclusion) in enumerate(got):
-                        rows.append((key, s, len(p), lp, g, inclusion, table.decode(p.tolist()) == text, p if ids else None))
+                        rows.append((key, s, len(p), lp, g, inclusion, table.decode(p.tolist()) == text, p if ids else None, other))
                 c = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64()), *(pa.array(x, pa.float64()) for x in c[3:6]), pa.array(c[6]), pa.array(c[7], pa.list_(pa.int32()))], NAMES)
+                arrays = [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64()), *(pa.array(x, pa.float64()) for x in c[3:6]), pa.array(c[6]), pa.array(c[7], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(c[8], pa.int64())] if carry else arrays, [*NAMES, carry] if carry else NAMES)
                 at = to
 
     return run
 
 
-def sample_pieces(docs: DataFrame, *, model: str, k: int = 2, seed: int = 23, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
+def sample_pieces(docs: DataFrame, *, model: str, k: int = 2, seed: int = 23, key: str = "doc_id", text: str = "text", ids: bool = False, carry: str | None = None) -> DataFrame:
     """k distinct sampled segmentations of every text, best first: doc_id, sample, n_pieces, log_prob, perturbed,
     inclusion, decodes (the pieces give the text back), and with ``ids`` the piece ids.
 
     A text with fewer segmentations gives all, with inclusion 1. A null or empty text gives one of no pieces. Rows
-    that repeat a key get the same draws; a null key is a key. An empty table gives no rows. Other columns are
-    ignored.
+    that repeat a key get the same draws; a null key is a key. An empty table gives no rows. ``carry`` names a long
+    column that each sample takes from its row; other columns are ignored.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    out = rows.mapInArrow(sampled(model, k, seed, ids), SAMPLES)
+    kept = [F.col(carry).cast("long").alias(carry)] if carry else []
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *kept)
+    out = rows.mapInArrow(sampled(model, k, seed, ids, carry), f"{SAMPLES}, `{carry}` long" if carry else SAMPLES)
     return out if ids else out.drop("piece_ids")
