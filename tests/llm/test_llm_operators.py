@@ -457,6 +457,14 @@ def test_the_mixture_reaches_the_last_rows_of_the_pipeline(spark, tmp_path):
     assert [r["mix_position"] for r in got.filter("sample = 0").orderBy("mix_position").collect()] == list(range(300))
 
 
+def test_the_query_of_samples_gives_the_segmentations(spark):
+    from tidemill.llm.queries import QUERIES
+
+    got = QUERIES["op3_piece_sampling"](spark, "/root/testdata/sf0.001").select("doc_id", "n_pieces", "piece_ids").collect()
+    assert all(len(r["piece_ids"]) == r["n_pieces"] for r in got)
+    assert len({(r["doc_id"], *r["piece_ids"]) for r in got}) == len(got)
+
+
 @pytest.mark.parametrize("name", ["op1_pfair_mix", "op2_quality_classifier", "op4_pii", "op5_substring_dedup", "op9_jaccard_join", "op10_token_output", "op3_piece_sampling"])
 def test_queries_return_a_row_for_each_document(spark, name):
     from tidemill.llm.queries import QUERIES

@@ -30,7 +30,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return sample_pieces(table(spark, sf_dir, "documents"), model=public_tokenizers.path("piece_bpe_32k.model"))
+    return sample_pieces(table(spark, sf_dir, "documents"), model=public_tokenizers.path("piece_bpe_32k.model"), ids=True)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
