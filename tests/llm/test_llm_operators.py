@@ -402,6 +402,20 @@ def test_grammar_decodes_any_stretch():
             assert (s.ids(int(a), int(b)) == ids[a:b]).all()
 
 
+def test_no_pair_that_stands_eight_times_is_left_in_a_long_shard():
+    rng = np.random.default_rng(9)
+    ids = rng.integers(0, 40_000, 900_000).astype(np.uint32)
+    phrases = rng.integers(0, 40_000, (500, 12))
+    for k, at in enumerate(np.arange(10_000) * 88):
+        ids[at : at + 12] = phrases[k % 500]
+    ids[:20_000] = 7
+    seq, rules = token_output.repair(ids, 40_000)
+    pairs = collections.Counter(zip(seq[:-1].tolist(), seq[1:].tolist(), strict=True))
+    assert max(pairs.values()) < 8 and len(rules) >= 500
+    s = token_output.Shard(token_output.pack_shard([1], [len(ids)], ids, 40_000))
+    assert (s.ids() == ids).all() and (s.ids(88 * 700 - 5, 88 * 900) == ids[88 * 700 - 5 : 88 * 900]).all()
+
+
 def test_encoder_cuts_only_where_the_rule_does():
     from tokenizers import Tokenizer
 

@@ -3,9 +3,7 @@
 A shard holds the ids of a range of documents in key order. Re-Pair: frequent pairs of neighbouring symbols are
 replaced by new nonterminals, again and again; the shard stores the rules, the length each rule expands to, and the
 remaining sequence. Prefix sums of expansion lengths find the symbol that covers any id, so a document is decoded
-without what stands before it. Pairs of one round are chosen by counting a fixed number of the shard's pairs; which
-pairs are chosen only affects the size, as replacement and expansion are exact.
-
+without what stands 
 Encoding splits a text where a word ends and one space and a word follow. The byte-level rule never joins two sides
 of such a place, so each piece is encoded once by the tokenizers library and looked up after that.
 """
@@ -28,10 +26,13 @@ from pyspark.sql import functions as F
 
 from tidemill.llm._shared import new_file, shared_dir, stage
 
-MAGIC = b"RPGRAM01"
+MAGIC = b"RPGRAM02"
 #: Pieces after which a worker's table is emptied.
 PIECE_TABLE = 800_000
-ROUNDS, RULES_A_ROUND, COUNTED = 5, 1024, 300_000
+#: A round replaces the pairs that are at least this share of the most frequent one.
+OF_THE_MOST = 16
+#: Values that are packed into bits at once, a multiple of eight.
+PACKED = 1 << 18
 #: Marks that the rule cuts from the letters before them.
 MARKS = frozenset(".,;:!?)|")
 #: The byte-level rule by which these tokenizers cut a text before merging.
@@ -107,54 +108,89 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def repair(ids: np.ndarray, base: int, rounds: int = ROUNDS, each: int = RULES_A_ROUND, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and rules: nonterminal base + k stands for the two symbols in rules[k]."""
-    seq, rules = ids.astype(np.uint32), []
-    for _ in range(rounds):
-        n = len(seq) - 1
-        if n < 2 * least:
-            break
-        at = np.arange(n) if n <= COUNTED else np.arange(COUNTED, dtype=np.int64) * n // COUNTED
-        pairs, count = np.unique(seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1], return_counts=True)
-        best = np.lexsort((pairs, -count))[:each]
-        best = best[count[best] >= least]
-        if not len(best):
+def repair(ids: np.ndarray, base: int, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and rules: nonterminal base + k stands for the two symbols in rules[k].
+
+    A pair that is chosen is replaced, or gone because a neighbour was, everywhere, so each round shortens the sequence.
+    """
+    seq, rules, first = ids.astype(np.uint32), [], base
+    while len(seq) > least:
+        pairs = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+        ordered = np.sort(pairs)
+        at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        count = np.diff(at, append=len(ordered))
+        most = int(count.max())
+        if most < least:
             break
-        left, right = (pairs[best] >> np.uint64(32)).astype(np.int64), (pairs[best] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        first = base + sum(map(len, rules))
-        lefts, li = np.unique(left, return_inverse=True)
-        rights, ri = np.unique(right, return_inverse=True)
-        of_left, of_right = np.zeros(first + 1, np.int32), np.zeros(first + 1, np.int32)
-        of_left[lefts], of_right[rights] = np.arange(1, len(lefts) + 1), np.arange(1, len(rights) + 1)
-        rule = np.zeros((len(lefts) + 1, len(rights) + 1), np.uint32)
-        rule[li + 1, ri + 1] = np.arange(first, first + len(best))
-        found = rule[of_left[seq[:-1]], of_right[seq[1:]]]
-        hits = np.flatnonzero(found)
+        best = ordered[at[count >= max(least, most // OF_THE_MOST)]]
+        is_left, is_right = np.zeros(first, bool), np.zeros(first, bool)
+        is_left[best >> np.uint64(32)] = is_right[best & np.uint64(0xFFFFFFFF)] = True
+        hits = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]])
+        found = np.minimum(np.searchsorted(best, pairs[hits]), len(best) - 1)
+        same = best[found] == pairs[hits]
+        hits, found = hits[same], found[same]
         new = np.append(True, hits[1:] != hits[:-1] + 1)
         start = np.maximum.accumulate(np.where(new, np.arange(len(hits)), 0))
-        hits = hits[(np.arange(len(hits)) - start) % 2 == 0]  # of overlapping pairs, every second
-        seq[hits] = found[hits]
+        every = (np.arange(len(hits)) - start) % 2 == 0  # of overlapping pairs, every second
+        used, found = np.unique(found[every], return_inverse=True)
+        hits, best = hits[every], best[used]
+        seq[hits] = first + found
         stay = np.ones(len(seq), bool)
         stay[hits + 1] = False
         seq = seq[stay]
-        rules.append(np.stack([left, right], 1).astype(np.uint32))
+        rules.append(np.stack([best >> np.uint64(32), best & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        first += len(best)
     return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
 
 
-def expansions(rules: np.ndarray, base: int) -> list[np.ndarray]:
-    out: list[np.ndarray] = []
+def unfold(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
+    """Nonterminals replaced by their pairs until none is left."""
+    while (deep := seq >= base).any():
+        ends = np.cumsum(1 + deep)
+        out = np.empty(ends[-1], np.uint32)
+        of = rules[seq[deep] - base]
+        out[(ends - 1)[~deep]] = seq[~deep]
+        out[(ends - 2)[deep]], out[(ends - 1)[deep]] = of[:, 0], of[:, 1]
+        seq = out
+    return seq
+
+
+def lengths_of(rules: np.ndarray, base: int) -> np.ndarray:
+    out: list[int] = []
     for a, b in rules.tolist():
-        out.append(np.concatenate([np.array([x], np.uint32) if x < base else out[x - base] for x in (a, b)]))
+        out.append(sum(1 if x < base else out[x - base] for x in (a, b)))
+    return np.array(out, np.uint32)
+
+
+def bits_of(largest: int) -> int:
+    return max(1, int(largest).bit_length())
+
+
+def packed(values: np.ndarray, bits: int) -> bytes:
+    out = []
+    for at in range(0, len(values), PACKED):
+        wide = np.unpackbits(values[at : at + PACKED].astype(">u4").view(np.uint8)).reshape(-1, 32)
+        out.append(np.packbits(wide[:, 32 - bits :]).tobytes())
+    return b"".join(out)
+
+
+def unpacked(data: np.ndarray, bits: int, n: int) -> np.ndarray:
+    out = np.empty(n, np.uint32)
+    for at in range(0, n, PACKED):
+        m = min(PACKED, n - at)
+        wide = np.zeros((m, 32), np.uint8)
+        wide[:, 32 - bits :] = np.unpackbits(data[at * bits // 8 :][: (m * bits + 7) // 8], count=m * bits).reshape(m, bits)
+        out[at : at + m] = np.packbits(wide).view(">u4")
     return out
 
 
 def pack_shard(keys: list[int | None], counts: list[int], ids: np.ndarray, base: int) -> bytes:
     seq, rules = repair(ids, base)
-    lengths = np.array([len(x) for x in expansions(rules, base)], "<u4")
-    kind = "<u2" if base + len(rules) <= 1 << 16 else "<u4"
+    lengths = lengths_of(rules, base)
+    bits, length_bits = bits_of(base + len(rules) - 1), bits_of(lengths.max(initial=0))
     known = np.array([k is not None for k in keys], bool)
-    head = json.dumps({"docs": len(keys), "ids": len(ids), "base": base, "rules": len(rules), "symbols": len(seq), "kind": kind}).encode()
-    body = [np.array([k or 0 for k in keys], "<i8").tobytes(), np.packbits(known).tobytes(), np.array(counts, "<i8").tobytes(), rules.astype("<u4").tobytes(), lengths.tobytes(), seq.astype(kind).tobytes()]
+    head = json.dumps({"docs": len(keys), "ids": len(ids), "base": base, "rules": len(rules), "symbols": len(seq), "bits": bits, "length_bits": length_bits}).encode()
+    body = [np.array([k or 0 for k in keys], "<i8").tobytes(), np.packbits(known).tobytes(), np.array(counts, "<i8").tobytes(), packed(rules.ravel(), bits), packed(lengths, length_bits), packed(seq, bits)]
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, *body])
 
 
@@ -177,10 +213,14 @@ class Shard:
         known = np.unpackbits(take("u1", (h["docs"] + 7) // 8), count=h["docs"]).astype(bool)
         self.keys = [k if is_key else None for k, is_key in zip(keys.tolist(), known.tolist(), strict=True)]
         self.counts = take("<i8", h["docs"])
-        self.rules = take("<u4", 2 * h["rules"]).reshape(-1, 2)
-        self.lengths = take("<u4", h["rules"]).astype(np.int64)
-        self.seq, self.base, self.n = take(h["kind"], h["symbols"]), h["base"], h["ids"]
-        self.spread = expansions(self.rules, self.base)
+
+        def values(bits: int, count: int) -> np.ndarray:
+            return unpacked(take("u1", (count * bits + 7) // 8), bits, count)
+
+        self.rules = values(h["bits"], 2 * h["rules"]).reshape(-1, 2)
+        self.lengths = values(h["length_bits"], h["rules"]).astype(np.int64)
+        self.seq, self.base, self.n = values(h["bits"], h["symbols"]), h["base"], h["ids"]
+        self.flat = unfold(np.arange(self.base, self.base + h["rules"], dtype=np.uint32), self.rules, self.base)
 
     def expand(self, seq: np.ndarray) -> np.ndarray:
         """Symbols -> ids: runs of terminals are copied, nonterminals replaced by their expansion."""
@@ -191,11 +231,10 @@ class Shard:
         out = np.empty(ends[-1] if len(ends) else 0, "<u4")
         out[(ends - n)[~deep]] = seq[~deep]
         if deep.any():
-            flat = np.concatenate(self.spread)
             first = np.cumsum(self.lengths) - self.lengths
             which, m, to = seq[deep] - self.base, n[deep], (ends - n)[deep]
             inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            out[np.repeat(to, m) + inner] = flat[np.repeat(first[which], m) + inner]
+            out[np.repeat(to, m) + inner] = self.flat[np.repeat(first[which], m) + inner]
         return out
 
     def ids(self, lo: int = 0, hi: int | None = None) -> np.ndarray:
