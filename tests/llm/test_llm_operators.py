@@ -426,6 +426,18 @@ def test_encoder_cuts_only_where_the_rule_does():
     assert all(e.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids for t in texts)
 
 
+def test_added_tokens_in_a_text_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    path = tokenizers_path("byte_bpe_50k.json")
+    library, e = Tokenizer.from_file(path), token_output.encoder(path)
+    end, rng = "<|endoftext|>", random.Random(10)
+    texts = [f"a{end}b", end, end * 2, f" {end} ", f"one two {end} three{end}\n four", f"<|endoftext{end}|>", f"a  {end}  b"]
+    texts += ["".join(rng.choice([*"ab' \n.1é,", end, "<|", "endoftext"]) for _ in range(30)) for _ in range(500)]
+    assert e.encode(texts[0]).tolist() == [64, 50256, 65]
+    assert all(e.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids for t in texts)
+
+
 # --- the pipeline
 
 

@@ -5,7 +5,8 @@ replaced by new nonterminals, again and again; the shard stores the rules, the l
 remaining sequence. Prefix sums of expansion lengths find the symbol that covers any id, so a document is decoded
 without what stands 
 Encoding splits a text where a word ends and one space and a word follow. The byte-level rule never joins two sides
-of such a place, so each piece is encoded once by the tokenizers library and looked up after that.
+of such a place, so each piece is encoded once by the tokenizers library and looked up after that. Added tokens that
+a text quotes (<|endoftext|>) are ids of their own, as in the library's plain call; texts are split at them first.
 """
 
 from __future__ import annotations
@@ -51,9 +52,13 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        cut = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
+        known = json.loads(self.tokenizer.to_str())
+        cut, added = known["pre_tokenizer"] or {}, known["added_tokens"]
         self.plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+        self.plain = self.plain and not known["normalizer"] and not any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added)
+        # the library finds added tokens before it cuts words: the longest of those that start first
+        texts = sorted((t["content"] for t in added), key=len, reverse=True)
+        self.added = re.compile(f"({'|'.join(map(re.escape, texts))})") if texts else None
         self.cut, self.parts = regex.compile(RULE), {}
 
     def ids(self, text: str) -> bytes:
@@ -87,6 +92,13 @@ class Encoder(dict):
     def encode(self, text: str) -> np.ndarray:
         if not self.plain:
             return np.frombuffer(self.ids(text), "<u4")
+        if self.added and self.added.search(text):  # every second part is an added token
+            parts = self.added.split(text)
+            return np.concatenate([np.frombuffer(self.ids(p), "<u4") if k % 2 else self.between(p) for k, p in enumerate(parts)])
+        return self.between(text)
+
+    def between(self, text: str) -> np.ndarray:
+        """Ids of a text that holds no added token."""
         first, *words = text.split(" ")
         if not words or first and not first[-1].isspace():
             try:  # words with white space at an end are never in the table
