@@ -91,6 +91,26 @@ def test_mixture_of_nothing_clashing_names_and_repeats(spark, docs):
     assert a == b
 
 
+def test_mixture_follows_unrounded_weights_over_many_slots_and_sources(spark):
+    sizes = {"hot": 17_000} | {f"s{i:02}": 1_700 for i in range(19)}
+    total = sum(n**0.5 for n in sizes.values())
+    rows = [(s, n) for s, n in sizes.items()]
+    df = spark.createDataFrame(rows, "source string, n int").selectExpr("source", "explode(sequence(1, n)) as k").selectExpr("xxhash64(source, k) as doc_id", "source")
+    got = mixing.pfair_mix(df, block_rows=1).filter("in_mix").select("mix_slot", "source").toPandas().sort_values("mix_slot")
+    assert len(got) > 20_000 and got["mix_slot"].tolist() == list(range(len(got)))
+    t = np.arange(1, len(got) + 1)
+    for s, n in sizes.items():
+        assert (abs((got["source"] == s).cumsum() - t * n**0.5 / total) < 1.001).all()
+    many = spark.range(2_200).selectExpr("id as doc_id", "concat('s', id % 1100) as source")
+    got = mixing.pfair_mix(many, block_rows=1).toPandas().sort_values("mix_slot")
+    assert len(got) == 2_200 and got["mix_position"].is_unique and got["in_mix"].all()
+    assert all(got["source"][k : k + 1100].nunique() == 1100 for k in (0, 1100))
+    few = spark.range(60).selectExpr("id as doc_id", "concat('s', id % 5) as source")
+    left = mixing.pfair_mix(few, weights={"s1": 2.0, "s2": 1.0}, block_rows=1).toPandas()
+    assert len(left) == 60 and left["mix_position"].is_unique
+    assert left[left["in_mix"]]["source"].value_counts()["s1"] == 12
+
+
 # --- 2
 
 
