@@ -35,6 +35,22 @@ def test_positions_and_shuffles(spark):
     assert concatenate() is None
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_positions_of_wide_rows_are_each_given_once(spark, tmp_path, adaptive):
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        wide = spark.range(30_000).select(F.col("id"), (F.col("id") % 7).alias("a.b"), F.repeat(F.sha2(F.col("id").cast("string"), 256), F.pmod(F.hash("id"), F.lit(60))).alias("text"))
+        got = enumerate_rows(wide.repartition(9, F.rand(3)), (F.col("id") % 11).alias("k"), F.when(F.col("id") > 9, F.col("id")).alias("n"), F.col("id"))
+        got.write.parquet(str(tmp_path / "rows"))
+        stored = spark.read.parquet(str(tmp_path / "rows"))
+        assert stored.agg(F.count("*"), F.countDistinct(POS), F.min(POS), F.max(POS)).first()[:] == (30_000, 30_000, 0, 29_999)
+        order = [r["id"] for r in stored.orderBy(POS).select("id").collect()]
+        assert order == sorted(range(30_000), key=lambda i: (i % 11, i if i > 9 else -1, i))
+        assert enumerate_rows(wide.limit(0), "id").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_predicates(rows):
     ids = lambda **c: sorted(r["id"] for r in filters.filter_by_metadata(rows, **c).collect())
     assert ids(device="A") == [0, 3, 4, 7, 8] and ids(device_in=["B", "S1"]) == [1, 2, 5, 6, 9]

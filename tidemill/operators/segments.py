@@ -72,8 +72,8 @@ def things_with_targets(things: DataFrame, image: str, *, capacity: Column, poli
     if policy == "merge_by_category":
         # keeping k things needs k targets and one for each category whose last thing has rank k or more
         t = t.withColumn("_last", (F.max("_rank").over(kind) == F.col("_rank")).cast("int"))
-        after = F.sum("_last").over(by_area.rowsBetween(0, Window.unboundedFollowing))
-        t = t.withColumn("_needed", F.col("_rank") + after)
+        earlier = F.sum("_last").over(by_area.rowsBetween(Window.unboundedPreceding, -1))  # a running sum is linear
+        t = t.withColumn("_needed", F.col("_rank") + F.sum("_last").over(everyone) - F.coalesce(earlier, F.lit(0)))
         fits = F.sum((F.col("_needed") <= F.col("_room")).cast("int")).over(everyone) + (F.col("_n") <= F.col("_room")).cast("int") - 1
     else:
         fits = F.least(F.col("_n"), F.col("_room"))

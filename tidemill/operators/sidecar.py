@@ -129,7 +129,7 @@ def digest(sidecar: DataFrame) -> Column:
 
     Digests of records are added up, so that no task holds all of them.
     """
-    parts = [F.conv(F.substring(F.sha2(F.concat_ws("\u0001", F.col("row_id").cast("string"), "identity", "metadata"), 256), 1 + 8 * k, 8), 16, 10).cast("long") for k in range(8)]
+    parts = [F.conv(F.substring(F.sha2(F.concat_ws("\u0001", F.col("row_id").cast("string"), "identity", "metadata"), 256), 1 + 8 * k, 8), 16, 10).cast("decimal(20,0)") for k in range(8)]
     return F.sha2(F.concat_ws(":", *[(F.sum(p) % 4294967296).cast("string") for p in parts]), 256)
 
 

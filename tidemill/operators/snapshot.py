@@ -110,7 +110,7 @@ def row_digest(df: DataFrame, columns: list[str]) -> Column:
 def table_digest(df: DataFrame, columns: list[str]) -> str:
     """Equal for equal rows in any order: sums of row digests."""
     d = row_digest(df, columns)
-    parts = [F.sum(F.conv(F.substring(d, 1 + 8 * k, 8), 16, 10).cast("long")) for k in range(8)]
+    parts = [F.sum(F.conv(F.substring(d, 1 + 8 * k, 8), 16, 10).cast("decimal(20,0)")) for k in range(8)]
     return digest_of([str(x) for x in df.agg(*[p.alias(f"p{k}") for k, p in enumerate(parts)]).first()])
 
 
@@ -168,8 +168,12 @@ def admit(spark, sources: list[Source], requested: dict[str, tuple[str, ...]], *
             raise AdmissionError("selection_failed", bad["record_id"], selection[0])
     from tidemill.operators.positions import enumerate_rows
 
-    rows = enumerate_rows(rows.withColumn("_keep", keep), "_source", "_split", "record_id")
     try:
+        enumerate_rows(rows.withColumn("_keep", keep), "_source", "_split", "record_id").write.parquet(f"{path}/admitted")
+        rows = spark.read.parquet(f"{path}/admitted")
+        asked = sum(s.records.filter(F.col("split").isin(*requested[s.name])).count() for s in sources if requested.get(s.name))
+        if rows.count() != asked:
+            raise AdmissionError("reconciliation_failed", detail=f"{asked} records were asked for")
         report = rows.select(POS, "record_id", "split", "_source", F.when(F.col("_keep"), "retained").otherwise("excluded").alias("disposition"))
         report.write.parquet(f"{path}/report")
         rows.filter("_keep").drop("_keep", "_source", "_split").write.parquet(f"{path}/data")
@@ -178,6 +182,7 @@ def admit(spark, sources: list[Source], requested: dict[str, tuple[str, ...]], *
             raise AdmissionError("reconciliation_failed")
         counts = {r["disposition"]: r["n"] for r in report.groupBy("disposition").agg(F.count("*").alias("n")).collect()}
         body = {"inventory": inventory_id, "schema": json.loads(schema.json()), "retained": counts.get("retained", 0), "excluded": counts.get("excluded", 0), "selection": selection[0] if selection else None, "rows": table_digest(data, data.columns), "report": table_digest(report, report.columns)}
+        shutil.rmtree(f"{path}/admitted")
         publish(path, body | {"digest": digest_of(body)})
     except BaseException:
         shutil.rmtree(path, ignore_errors=True)
