@@ -443,6 +443,11 @@ def test_encoder_cuts_only_where_the_rule_does():
     library, e = Tokenizer.from_file(path), token_output.encoder(path)
     rng = random.Random(7)
     texts = ["", " ", "a  b", " a", "a ", "it's 'll", " x 　 y", "a\x1c b"] + ["".join(rng.choice("ab' \n\t.1é　,") for _ in range(30)) for _ in range(1500)]
+    texts += ["".join(rng.choice("ab'1.é　日\x85\xa0\u200b\u2028\u0301Ġ,$") for _ in range(6)) + " " + rng.choice(["x", "\u0301", "Ġb"]) for _ in range(1500)]
+    fresh = token_output.Encoder(path)
+    fresh.learn(texts)
+    assert len(fresh) > 1000
+    assert all(fresh.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids for t in texts)
     assert all(e.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids for t in texts)
 
 
@@ -455,6 +460,7 @@ def test_added_tokens_in_a_text_are_those_of_the_library():
     texts = [f"a{end}b", end, end * 2, f" {end} ", f"one two {end} three{end}\n four", f"<|endoftext{end}|>", f"a  {end}  b"]
     texts += ["".join(rng.choice([*"ab' \n.1é,", end, "<|", "endoftext"]) for _ in range(30)) for _ in range(500)]
     assert e.encode(texts[0]).tolist() == [64, 50256, 65]
+    e.learn(texts)
     assert all(e.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids for t in texts)
 
 

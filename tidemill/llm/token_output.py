@@ -3,14 +3,17 @@
 A shard holds the ids of a range of documents in key order. Re-Pair: frequent pairs of neighbouring symbols are
 replaced by new nonterminals, again and again; the shard stores the rules, the length each rule expands to, and the
 remaining sequence. Prefix sums of expansion lengths find the symbol that covers any id, so a document is decoded
-without what stands 
+without what stands before it.
+
 Encoding splits a text where a word ends and one space and a word follow. The byte-level rule never joins two sides
-of such a place, so each piece is encoded once by the tokenizers library and looked up after that. Added tokens that
-a text quotes (<|endoftext|>) are ids of their own, as in the library's plain call; texts are split at them first.
+of such a place, so each word is encoded once by the tokenizers library, many new ones in a call, and looked up after
+that. Added tokens that a text quotes (<|endoftext|>) are ids of their own, as in the library's plain call; texts are
+split at them first.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -25,17 +28,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm._shared import new_file, shared_dir, stage
+from tidemill.llm._shared import blocks, new_file, shared_dir, stage
 
 MAGIC = b"RPGRAM02"
-#: Pieces after which a worker's table is emptied.
-PIECE_TABLE = 800_000
+#: Words after which a worker's table is emptied, and how many new ones are encoded in a call.
+PIECE_TABLE, LEARNED_AT_ONCE = 800_000, 1000
+#: Bytes of text that are encoded together.
+ENCODED_AT_ONCE = 2 << 20
 #: A round replaces the pairs that are at least this share of the most frequent one.
 OF_THE_MOST = 16
-#: Values that are packed into bits at once, a multiple of eight.
-PACKED = 1 << 18
-#: Marks that the rule cuts from the letters before them.
-MARKS = frozenset(".,;:!?)|")
+#: Values that are packed into bits at once, a multiple of eight, and pairs that are looked up at once.
+PACKED, SCANNED = 1 << 18, 1 << 15
+#: How the byte-level alphabet writes the byte of a space.
+SPACE_BYTE = "\u0120"
 #: The byte-level rule by which these tokenizers cut a text before merging.
 RULE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -55,11 +60,14 @@ class Encoder(dict):
         known = json.loads(self.tokenizer.to_str())
         cut, added = known["pre_tokenizer"] or {}, known["added_tokens"]
         self.plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
-        self.plain = self.plain and not known["normalizer"] and not any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added)
+        self.plain = self.plain and not known["normalizer"] and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or " " in t["content"] for t in added)
         # the library finds added tokens before it cuts words: the longest of those that start first
         texts = sorted((t["content"] for t in added), key=len, reverse=True)
         self.added = re.compile(f"({'|'.join(map(re.escape, texts))})") if texts else None
         self.cut, self.parts = regex.compile(RULE), {}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocab.values(), default=-1) + 1, bool)
+        self.spaced[[i for t, i in vocab.items() if t.startswith(SPACE_BYTE)]] = True
 
     def ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -67,7 +75,7 @@ class Encoder(dict):
     def part(self, text: str) -> bytes:
         got = self.parts.get(text)
         if got is None:
-            if len(self.parts) >= PIECE_TABLE:
+            if len(self.parts) >= PIECE_TABLE // 8:
                 self.parts.clear()
             got = self.parts[text] = self.ids(text)
         return got
@@ -78,16 +86,31 @@ class Encoder(dict):
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace() or word[-1].isspace():
             raise Unsafe
+        got = self[word] = self.ids(" " + word)
+        return got
+
+    def learn(self, texts: list[str]) -> None:
+        """Put the new words of ``texts`` into the table, LEARNED_AT_ONCE in a call of the library."""
+        if not self.plain:
+            return
         if len(self) >= PIECE_TABLE:
             self.clear()
-        if word.isalpha():
-            got = self.part(" " + word)
-        elif word[-1] in MARKS and word[:-1].isalpha():
-            got = self.part(" " + word[:-1]) + self.part(word[-1])
-        else:
-            got = self.any(" " + word)
-        self[word] = got
-        return got
+        new = set(itertools.chain.from_iterable(t.split(" ") for t in texts)).difference(self)
+        words = [w for w in new if w and w.strip() == w]
+        for at in range(0, len(words), LEARNED_AT_ONCE):
+            some = words[at : at + LEARNED_AT_ONCE]
+            line = " " + " ".join(some)
+            if self.added and self.added.search(line):
+                some = [w for w in some if not self.added.search(w)]
+                line = " " + " ".join(some)
+            if not some:
+                continue
+            (got,) = self.tokenizer.encode_batch_fast([line], add_special_tokens=False)
+            ids = np.array(got.ids, "<u4")
+            heads = np.flatnonzero(self.spaced[ids])  # a word starts with the id that holds its space
+            if len(heads) == len(some):  # else each word is asked for alone
+                raw, cuts = ids.tobytes(), (4 * np.append(heads, len(ids))).tolist()
+                self.update(zip(some, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=False))
 
     def encode(self, text: str) -> np.ndarray:
         if not self.plain:
@@ -120,6 +143,36 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+class Places:
+    """Where each of some distinct 64-bit values stands: tables by hash, each for the values that lost their slot before."""
+
+    def __init__(self, values: np.ndarray):
+        self.values, left, self.tables = np.append(values, ~np.uint64(0)), np.arange(len(values)), []
+        for k in range(64):
+            if not len(left):
+                break
+            bits = (4 * len(left)).bit_length()
+            factor, shift = np.uint64(0x9E3779B97F4A7C15 + (k << 17)), np.uint64(64 - bits)
+            table, slots = np.full(1 << bits, -1, np.int32), (values[left] * factor) >> shift
+            table[slots] = left
+            self.tables.append((table, factor, shift))
+            left = left[table[slots] != left]
+
+    def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places in ``x`` that hold one of the values, ascending, and which it is."""
+        hits, found = [], []
+        for at in range(0, len(x), SCANNED):
+            part = x[at : at + SCANNED]
+            which = np.full(len(part), -1, np.int32)
+            for table, factor, shift in self.tables:
+                got = table[(part * factor) >> shift]
+                which = np.where(self.values[got] == part, got, which)
+            some = np.flatnonzero(which >= 0)
+            hits.append(some + at)
+            found.append(which[some])
+        return np.concatenate(hits), np.concatenate(found)
+
+
 def repair(ids: np.ndarray, base: int, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and rules: nonterminal base + k stands for the two symbols in rules[k].
 
@@ -135,17 +188,14 @@ def repair(ids: np.ndarray, base: int, least: int = 8) -> tuple[np.ndarray, np.n
         if most < least:
             break
         best = ordered[at[count >= max(least, most // OF_THE_MOST)]]
-        is_left, is_right = np.zeros(first, bool), np.zeros(first, bool)
-        is_left[best >> np.uint64(32)] = is_right[best & np.uint64(0xFFFFFFFF)] = True
-        hits = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]])
-        found = np.minimum(np.searchsorted(best, pairs[hits]), len(best) - 1)
-        same = best[found] == pairs[hits]
-        hits, found = hits[same], found[same]
+        hits, found = Places(best).of(pairs)
         new = np.append(True, hits[1:] != hits[:-1] + 1)
         start = np.maximum.accumulate(np.where(new, np.arange(len(hits)), 0))
         every = (np.arange(len(hits)) - start) % 2 == 0  # of overlapping pairs, every second
-        used, found = np.unique(found[every], return_inverse=True)
-        hits, best = hits[every], best[used]
+        hits, found = hits[every], found[every]
+        is_used = np.zeros(len(best), bool)
+        is_used[found] = True
+        found, best = (np.cumsum(is_used) - 1)[found], best[is_used]
         seq[hits] = first + found
         stay = np.ones(len(seq), bool)
         stay[hits + 1] = False
@@ -232,6 +282,11 @@ class Shard:
         self.rules = values(h["bits"], 2 * h["rules"]).reshape(-1, 2)
         self.lengths = values(h["length_bits"], h["rules"]).astype(np.int64)
         self.seq, self.base, self.n = values(h["bits"], h["symbols"]), h["base"], h["ids"]
+        n = np.ones(len(self.seq), np.int64)
+        deep = self.seq >= self.base
+        n[deep] = self.lengths[self.seq[deep] - self.base]
+        self.ends = np.cumsum(n)  # of each symbol, in ids
+        self.first = np.cumsum(self.lengths) - self.lengths
         self.flat = unfold(np.arange(self.base, self.base + h["rules"], dtype=np.uint32), self.rules, self.base)
 
     def expand(self, seq: np.ndarray) -> np.ndarray:
@@ -243,10 +298,9 @@ class Shard:
         out = np.empty(ends[-1] if len(ends) else 0, "<u4")
         out[(ends - n)[~deep]] = seq[~deep]
         if deep.any():
-            first = np.cumsum(self.lengths) - self.lengths
             which, m, to = seq[deep] - self.base, n[deep], (ends - n)[deep]
             inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            out[np.repeat(to, m) + inner] = self.flat[np.repeat(first[which], m) + inner]
+            out[np.repeat(to, m) + inner] = self.flat[np.repeat(self.first[which], m) + inner]
         return out
 
     def ids(self, lo: int = 0, hi: int | None = None) -> np.ndarray:
@@ -254,65 +308,64 @@ class Shard:
         hi = self.n if hi is None else hi
         if (lo, hi) == (0, self.n):
             return self.expand(self.seq)
-        n = np.ones(len(self.seq), np.int64)
-        deep = self.seq >= self.base
-        n[deep] = self.lengths[self.seq[deep] - self.base]
-        ends = np.cumsum(n)
-        a, b = np.searchsorted(ends, lo, "right"), np.searchsorted(ends, hi, "left") + 1
-        skip = lo - int(ends[a] - n[a]) if a < len(ends) else 0
+        a, b = np.searchsorted(self.ends, lo, "right"), np.searchsorted(self.ends, hi, "left") + 1
+        skip = lo - int(self.ends[a - 1] if a else 0) if a < len(self.ends) else 0
         return self.expand(self.seq[a:b])[skip : skip + hi - lo]
 
 
-WRITTEN = "shard int, path string, docs long, ids long"
+WRITTEN = "part int, shard int, name string, docs long, ids long"
 #: Ids of a shard, at most about: what a task holds at once.
 SHARD_IDS = 12_000_000
 
 
 def write_shards(folder: str, tokenizer: str, end_id: int | None, base: int):
-    """Partitions in key order -> shard files, and a row for each that tells its place in the order."""
+    """Partitions in key order -> shard files, and a row for each: partition, number in it, name, documents, ids."""
 
     def run(batches):
         enc, task = encoder(tokenizer), TaskContext.get()
-        first, k = (task.partitionId() if task else 0) << 10, 0
+        part, k = task.partitionId() if task else 0, 0
         keys, counts, parts, held = [], [], [], 0
         tail = np.array([] if end_id is None else [end_id], "<u4")
 
         def flush():
-            path = new_file(folder, f"shard-{first + k:09d}", ".rpg", pack_shard(keys, counts, np.concatenate(parts), base))
-            return pa.RecordBatch.from_arrays([pa.array([first + k], pa.int32()), pa.array([path]), pa.array([len(keys)], pa.int64()), pa.array([held], pa.int64())], ["shard", "path", "docs", "ids"])
+            path = new_file(folder, f"shard-{part:07d}-{k:07d}", ".rpg", pack_shard(keys, counts, np.concatenate(parts), base))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([path.rsplit("/", 1)[1]]), pa.array([len(keys)], pa.int64()), pa.array([held], pa.int64())], ["part", "shard", "name", "docs", "ids"])
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = enc.encode(text) if text else np.empty(0, "<u4")
-                parts += [ids, tail]
-                keys.append(key)
-                counts.append(len(ids) + len(tail))
-                held += counts[-1]
-                if held >= SHARD_IDS:
-                    yield flush()
-                    keys, counts, parts, held, k = [], [], [], 0, k + 1
+            for at, some in blocks(batch.column(1), ENCODED_AT_ONCE):
+                texts = [t.decode() if t else "" for t in some]
+                enc.learn(texts)
+                for key, text in zip(batch.column(0).slice(at, len(texts)).to_pylist(), texts, strict=True):
+                    ids = enc.encode(text) if text else np.empty(0, "<u4")
+                    parts += [ids, tail]
+                    keys.append(key)
+                    counts.append(len(ids) + len(tail))
+                    held += counts[-1]
+                    if held >= SHARD_IDS:
+                        yield flush()
+                        keys, counts, parts, held, k = [], [], [], 0, k + 1
         if keys:
             yield flush()
 
     return run
 
 
-READ = "shard int, doc_id long, at long, n_tokens long, ids_crc32 long"
+READ = "name string, doc_id long, at long, n_tokens long, ids_crc32 long"
 
 
 def read_shards(batches):
-    """(shard, content) -> its documents, each with the crc of its ids as unsigned 32-bit integers."""
+    """(name, content) -> its documents, each decoded by random access, with the crc of its ids as unsigned 32-bit."""
     for batch in batches:
-        for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for name, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             shard = Shard(blob)
-            ids, ends = shard.ids(), np.cumsum(shard.counts)
+            ends = np.cumsum(shard.counts)
             starts = ends - shard.counts
-            crc = [zlib.crc32(memoryview(ids[a:b])) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(crc), number, "i4")), pa.array(shard.keys, pa.int64()), pa.array(starts), pa.array(shard.counts), pa.array(crc, pa.int64())], ["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
+            crc = [zlib.crc32(memoryview(shard.ids(a, b))) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(crc)), pa.array(shard.keys, pa.int64()), pa.array(starts), pa.array(shard.counts), pa.array(crc, pa.int64())], ["name", "doc_id", "at", "n_tokens", "ids_crc32"])
 
 
 def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int | None = 0, base: int = 1 << 16) -> DataFrame:
-    """Shard files under ``folder`` in ascending key order (nulls first); returns WRITTEN, in order of ``shard``.
+    """Shard files under ``folder`` in ascending key order (nulls first); returns WRITTEN, in order of (part, shard).
 
     Files carry a name of their own for each attempt, so a task that runs twice leaves one that no row names.
     """
@@ -323,12 +376,14 @@ def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str, key: str = "do
 
 def read_tokens(spark, written: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the files."""
-    before = F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    base = written.select("shard", F.coalesce(before, F.lit(0)).alias("before"))
+    earlier = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = written.groupBy("part").agg(F.sum("ids").alias("ids"))
+    parts = parts.select("part", earlier(Window.orderBy("part")).alias("of_parts"))  # a row for each partition
+    base = written.select("part", "name", earlier(Window.partitionBy("part").orderBy("shard")).alias("in_part"))
+    base = base.join(parts, "part").select("name", (F.col("of_parts") + F.col("in_part")).alias("before"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.rpg").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    named = written.select("shard", F.element_at(F.split("path", "/"), -1).alias("name"))
-    got = files.join(named, "name").select("shard", "content").mapInArrow(read_shards, READ)
-    return got.join(base, "shard").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    got = files.join(written.select("name"), "name", "left_semi").mapInArrow(read_shards, READ)
+    return got.join(base, "name").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_output(docs: DataFrame, *, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int | None = 0, base: int = 50257) -> DataFrame:
