@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from tidemill.kernels import compositing, corruptions, images, signal
+from tidemill.kernels import compositing, corruptions, images, scene, signal
 
 RNG = np.random.default_rng(0)
 TONE = (0.35 * np.sin(2 * np.pi * 440 * np.arange(8000) / 16000) + 0.15 * np.sin(2 * np.pi * 1370 * np.arange(8000) / 16000)).astype(np.float32)
@@ -151,7 +151,7 @@ def test_mixing_and_erasing():
     assert (signal.partner_order(5, signal.rng_of(1)) != np.arange(5)).any()
 
 
-@pytest.mark.parametrize("name", sorted(n for n, _ in corruptions.REGISTRY if n != "jpeg_compression"))
+@pytest.mark.parametrize("name", sorted(n for n, _ in corruptions.REGISTRY))
 def test_image_corruptions(name):
     run = lambda s, k=1: corruptions.apply_corruption(IMAGE, name=name, severity=s, seed=(4, k))
     assert run(3).dtype == np.uint8 and run(3).shape == IMAGE.shape and (run(3) == run(3)).all() and (run(5) != IMAGE).any()
@@ -168,8 +168,6 @@ def test_stacks_round_once_and_tell_their_steps():
     out, records = corruptions.apply_stack(IMAGE, [("haze", 2.0), ("gaussian_noise", 1.0), ("gaussian_noise", 1.0)], seed=(1, 2))
     assert [r["strength"] for r in records] == [2.0, 1.0, 1.0] and out.shape == IMAGE.shape
     assert corruptions.stack_identity([("haze", 2.0)]) != corruptions.stack_identity([("haze", 2.5)])
-    with pytest.raises(ImportError):
-        corruptions.apply_corruption(IMAGE, name="jpeg_compression", severity=1, seed=(1, 1))
     with pytest.raises(ValueError):
         corruptions.apply_corruption(IMAGE.astype(float), name="noise", severity=1, seed=(1, 1))
     h = corruptions.Horizon(12.0, 14.0, 3.0, 50.0)
@@ -177,6 +175,35 @@ def test_stacks_round_once_and_tell_their_steps():
     assert np.linalg.norm(corruptions.illuminant(IMAGE)) == pytest.approx(1)
 
 
+def test_scene_kernels_against_plain_loops():
+    rng = np.random.default_rng(8)
+    x = rng.random((9, 21)) * 255
+    for axis in (0, 1):
+        got = scene.windowed_minimum(x, 5, axis)
+        rows = x if axis else x.T
+        want = np.array([[min(r[max(0, i - 2) : i + 3]) for i in range(len(r))] for r in rows])
+        assert np.array_equal(got if axis else got.T, want)
+    assert np.allclose(scene.box_mean(x, 1)[3, 4], x[2:5, 3:6].mean()) and np.allclose(scene.box_mean(x, 1)[0, 0], np.pad(x, 1, mode="reflect")[:3, :3].mean())
+    assert scene.folded(np.array([-1.0, 0, 3.5, 4, 5, 9]), 5).tolist() == [1, 0, 3.5, 4, 3, 1]
+    points, area = scene.streak(np.array([10.0, 3.0]), 1.0)
+    assert area * len(points) == pytest.approx(np.hypot(10, 3)) and np.allclose(points.mean(0), [5, 1.5])
+    wet = scene.rain(np.zeros((40, 30, 3)), 6.0, np.array([8.0, 2.0]), 1.0, 3.0, 1.0, 10, np.random.default_rng(1))
+    more = scene.rain(np.zeros((40, 30, 3)), 9.5, np.array([8.0, 2.0]), 1.0, 3.0, 1.0, 10, np.random.default_rng(1))
+    assert 0 < wet.sum() < more.sum() and (more >= wet - 1e-9).all()
+    values = rng.random(50)
+    assert (values >= scene.reached_by(values, 0.1)).sum() == 5 and not (values >= scene.reached_by(values, 0.01)).any()
+    field = scene.patches(np.random.default_rng(2), 30, 60)
+    assert field.shape == (30, 60) and 0 <= field.min() < field.max() <= 1
+    near = corruptions.Horizon(4.0, 4.0, 2.0, 100.0).water_distance_m(20, 20)
+    assert near[0, 0] == scene.FARTHEST_M and (np.diff(near[:, 10]) <= 0).all()
+    grey = np.full((16, 16, 3), 130.0)
+    assert np.abs(scene.jpeg(grey, 30) - grey).max() <= 4
+    smooth = np.add.outer(np.arange(32), np.arange(32))[..., None] * np.ones(3) * 4
+    errors = [np.abs(scene.jpeg(smooth, q) - smooth).mean() for q in (95, 50, 10)]
+    assert errors[0] < errors[1] < errors[2] and errors[0] < 2 and scene.jpeg(rng.random((7, 13, 3)) * 255, 75).shape == (7, 13, 3)
+    assert scene.quantisers(50)[0][0, 0] == 16 and scene.quantisers(100)[1].max() == 1
+
+
 def test_panoptic_targets_and_overflow():
     mask = np.zeros((6, 6), int)
     mask[0], mask[1, :4], mask[2, :3], mask[3, :2], mask[4] = 1, 2, 3, 4, 5

@@ -129,7 +129,7 @@ def _pictured(spark, d):
 
 @query()
 def vc15_image_corruptions(spark, d):
-    names = sorted(n for n, _ in corruptions.REGISTRY if n != "jpeg_compression")
+    names = sorted(n for n, _ in corruptions.REGISTRY)
     v = _pictured(spark, d).withColumn("corruption", F.get(F.array(*map(F.lit, names)), (F.col("vec_id") % len(names)).cast("int")))
     f = column_kernel(lambda x, n, i: float(corruptions.apply_corruption(_image(x), name=n, severity=1 + i % 5, seed=(1, i)).sum()), "double")
     return v.select("vec_id", "corruption", f(F.col("embedding"), F.col("corruption"), F.col("vec_id")).alias("total"))
