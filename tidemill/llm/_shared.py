@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -52,6 +54,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What this worker keeps at hand while a task runs: emptied by ``freed``.
+_kept: list = []
+
+
+def kept(table):
+    """``table``, to be emptied whenever a task ends."""
+    _kept.append(table)
+    return table
+
+
+def freed(f):
+    """A function over batches whose worker gives back at its end what it held: tables and freed memory.
+
+    Workers are used again by later stages, so what they keep would add up over a job.
+    """
+
+    @functools.wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    import pyarrow as pa
+
+    for table in _kept:
+        table.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 class WordHashes(dict):
     """Bytes of a word -> 64-bit hash."""
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm._shared import U64, WordHashes, blocks, components, mixed, ngrams, shared_dir, stage
+from tidemill.llm._shared import U64, WordHashes, blocks, components, freed, kept, mixed, ngrams, shared_dir, stage
 
 BASE = 0x9E3779B97F4A7C15
 #: Documents counted together for long lists, and how many of them must hold a shingle.
@@ -41,7 +41,7 @@ PARITY = 1024
 #: Postings for each hash range.
 RANGE_POSTINGS = 150_000
 
-_words = WordHashes()
+_words = kept(WordHashes())
 
 
 def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
@@ -297,7 +297,7 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     """
     spark, path = docs.sparkSession, shared_dir(docs.sparkSession, "jaccard-join")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    profile = stage(rows.mapInArrow(profiles(words), PROFILE), f"{path}/profiles")
+    profile = stage(rows.mapInArrow(freed(profiles(words)), PROFILE), f"{path}/profiles")
     each = profile.filter("hashes is null").select("doc_id", "n", "f")
     total, postings = each.agg(F.count("*"), F.sum(F.floor(F.col("n") * (100 - percent) / 100) + 1)).first()
     counts = profile.filter("hashes is not null").select("hashes", "counts").mapInArrow(_spread, "h long, c long")
@@ -314,7 +314,7 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
 
     parts = max(32, -(-(postings or 0) // RANGE_POSTINGS))
     keyed = rows.filter("doc_id is not null")
-    runs = keyed.mapInArrow(posting_runs(words, percent, parts, shared), POSTINGS)
+    runs = keyed.mapInArrow(freed(posting_runs(words, percent, parts, shared)), POSTINGS)
     lists = stage(runs.groupBy("part").applyInPandas(shared_lists, POSTINGS), f"{path}/lists")
 
     some = each.filter("doc_id is not null").groupBy("f").agg(F.min("doc_id").alias("doc_id"))
@@ -334,11 +334,11 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
         asked = pairs.select(F.col("a").alias("f")).union(pairs.select("b")).distinct()
         wanted = some.join(asked, "f").select("doc_id").distinct()
         # a key that repeats gives a set twice, which finds its links twice
-        sets = keyed.join(wanted, "doc_id", "left_semi").mapInArrow(packed_sets(words), "f long, shingles binary")
+        sets = keyed.join(wanted, "doc_id", "left_semi").mapInArrow(freed(packed_sets(words)), "f long, shingles binary")
         sets = stage(sets, f"{path}/{name}-sets")
         both = pairs.join(sets.select(F.col("f").alias("b"), F.col("shingles").alias("y")), "b")
         both = both.join(sets.select(F.col("f").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
-        return stage(both.mapInArrow(verified(percent), "a long, b long"), f"{path}/{name}-links")
+        return stage(both.mapInArrow(freed(verified(percent)), "a long, b long"), f"{path}/{name}-links")
 
     first = check(pairs_of(None, "first"), "first")
     known = components(first, "jaccard-first")

@@ -1,8 +1,9 @@
 """Sampled segmentations of texts into a SentencePiece model's pieces, without replacement, and their decoding.
 
 A text's lattice has a node between any two characters and an edge for each piece that matches there; characters
-that no piece covers are byte pieces. Pieces do not cross from one word into the next, so the lattice is a row of
-word lattices, and each distinct word's is built once, with the log-sum of all paths to its end at every node.
+that no piece covers are byte pieces. Pieces do not cross from one word into the next (nor, in a word without end,
+over a multiple of 65,536 characters), so the lattice is a row of word lattices, and each distinct word's is built
+once, with the log-sum of all paths to its end at every node.
 
 Gumbel top-k by perturbed A*: each subtree of the search (all segmentations with a given beginning) has as its bound
 the largest perturbed log-probability in it, which can be drawn without looking inside. The subtree with the largest
@@ -25,14 +26,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm._shared import U64, mixed
+from tidemill.llm._shared import U64, blocks, freed, kept, mixed
 
 SPACE = "▁"
-#: Edges after which a worker's lattices are dropped.
-EDGE_TABLE = 2_500_000
+#: Edges after which a worker's lattices are dropped, and characters whose lattices are made together.
+EDGE_TABLE, MADE_AT_ONCE = 1_500_000, 400_000
 BASE = U64(0x9E3779B97F4A7C15)
-#: Words that are sampled together.
-WORDS_AT_ONCE = 150_000
+#: Bytes of text that are sampled together.
+SAMPLED_AT_ONCE = 1 << 19
+#: Characters of a word after which the next piece begins anew, and what marks the rest of such a word: no character.
+LONGEST_WORD, CONTINUES = 1 << 16, "\ud800"
 
 
 class Lattices:
@@ -87,9 +90,15 @@ class Lattices:
         if self.edges > EDGE_TABLE:
             self.clear()
         known = self.words
-        new = sorted(set(words).difference(known))
-        for at in range(0, len(new), 20_000):
-            self.add(new[at : at + 20_000])
+        some, size = [], 0
+        for w in sorted(set(words).difference(known)):
+            some.append(w)
+            size += len(w) + 1
+            if size >= MADE_AT_ONCE:
+                self.add(some)
+                some, size = [], 0
+        if some:
+            self.add(some)
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def _room(self, nodes: int, edges: int) -> None:
@@ -102,19 +111,20 @@ class Lattices:
                     setattr(self, name, grown)
 
     def add(self, words: list[str]) -> None:
-        """Append the lattices of "a space and the word", all words at once.
+        """Append the lattices of "a space and the word", or of a long word's next stretch, all at once.
 
         A character that no piece starts at is a chain of byte pieces; a mark that stands for a space but is none too.
         """
-        text = "".join(SPACE + w for w in words)
-        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(U64)
-        sizes = np.array([len(w) + 1 for w in words], np.int64)
+        whole = np.array([w[:1] != CONTINUES for w in words], bool)
+        texts = [SPACE + w if is_whole else w[1:] for w, is_whole in zip(words, whole.tolist(), strict=True)]
+        code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(U64)
+        sizes = np.array(list(map(len, texts)), np.int64)
         ends = np.cumsum(sizes)
         starts = ends - sizes
         n = len(code)
         rest = np.repeat(ends, sizes) - np.arange(n)  # characters to the word's end
         inner = code == ord(SPACE)
-        inner[starts] = False
+        inner[starts[whole]] = False
         at, h = np.flatnonzero(~inner), np.zeros(n, U64)
         froms, pieces, lengths = [], [], []
         for size in range(1, self.longest + 1):
@@ -255,9 +265,17 @@ class Walk:
         self.doc, self.word = doc[of], word[of]
 
 
+def stretches(text: str) -> list[str]:
+    """Words, long ones in stretches."""
+    words = text.split(" ")
+    if len(text) <= LONGEST_WORD:
+        return words
+    return [x for w in words for x in [w[:LONGEST_WORD], *(CONTINUES + w[i : i + LONGEST_WORD] for i in range(LONGEST_WORD, len(w), LONGEST_WORD))]]
+
+
 def top_k(lattices: Lattices, texts: list[str], seeds: np.ndarray, k: int):
-    """For each text a list of at most k (ids, log_prob, perturbed, inclusion), best first."""
-    split = [t.split(" ") if t else [] for t in texts]
+    """For each text a list of at most k (ids, log_prob, perturbed, inclusion, its logarithm), best first."""
+    split = [stretches(t) if t else [] for t in texts]
     sizes = np.array([len(w) for w in split], np.int64)
     nodes = lattices.of([w for ws in split for w in ws])
     arrays = lattices.arrays()
@@ -293,8 +311,9 @@ def top_k(lattices: Lattices, texts: list[str], seeds: np.ndarray, k: int):
     for i in range(n):
         rows = []
         for ids, lp, g_i in found[i]:
-            inclusion = 1.0 if kappa[i] == -np.inf else float(-np.expm1(-np.exp(min(lp - kappa[i], 700.0))))
-            rows.append((ids, lp, g_i, inclusion))
+            over = min(lp - kappa[i], 700.0)  # for the least, the logarithm is that of exp(over) itself
+            log_inclusion = 0.0 if kappa[i] == -np.inf else float(over if over < -30 else np.log(-np.expm1(-np.exp(over))))
+            rows.append((ids, lp, g_i, float(np.exp(log_inclusion)), log_inclusion))
         out.append(rows)
     return out
 
@@ -312,8 +331,12 @@ def _extend(found, paths, live, walk, arrays, g, head, seeds, turn, prefix):
     before = np.append(0.0, total)[begins]
     at = np.repeat(np.arange(len(live)), ends - begins)
     phi = total - lp - before[at] + head[live][at] if len(lp) else lp  # of the node where the edge was chosen
-    rest = -np.expm1(lp)  # the share of the edges not taken
-    some = (rest > 1e-12) & (count[walk.node] > 1)
+    several = count[walk.node] > 1
+    rest = np.where(several, -np.expm1(lp), 0.0)  # the share of the edges not taken
+    for j in np.flatnonzero(several & (rest < 1e-6)).tolist():  # too little for a difference: their sum
+        at_node = range(int(first[walk.node[j]]), int(first[walk.node[j]] + count[walk.node[j]]))
+        rest[j] = sum(float(np.exp(logp[e])) for e in at_node if e != walk.edge[j])
+    some = rest > 0
     bound = np.full(len(lp), -np.inf)
     place = np.arange(len(lp)) - begins[at]
     u = uniform(seeds[live][at[some]], turn, place[some], 2)
@@ -359,7 +382,7 @@ def _branch(found, paths, live, where, best, arrays, nodes, starts, sizes, seeds
         e = edges[min(int(np.searchsorted(np.cumsum(weights), u * weights.sum())), len(edges) - 1)]
         used.add(e)
         left = float(sum(np.exp(logp[y]) for y in edges if y != e))
-        if left > 1e-12:
+        if left > 0:
             v = uniform(seeds[i : i + 1], turn, 0, 4)
             x.bound[at] = below(best[i : i + 1], np.array([x.phi[at] + np.log(left)]), v)[0]
         else:
@@ -385,11 +408,11 @@ _lattices: dict[str, Lattices] = {}
 
 def lattices(path: str) -> Lattices:
     if path not in _lattices:
-        _lattices[path] = Lattices(path)
+        _lattices[path] = kept(Lattices(path))
     return _lattices[path]
 
 
-SAMPLES = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, decodes boolean, piece_ids array<int>"
+SAMPLES = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, log_inclusion double, decodes boolean, piece_ids array<int>"
 NAMES = [x.split()[0] for x in SAMPLES.split(", ")]
 
 
@@ -397,29 +420,26 @@ def sampled(path: str, k: int, seed: int, ids: bool, carry: str | None = None):
     def run(batches):
         table = lattices(path)
         for batch in batches:
-            keys, texts, at = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()], 0
-            carried = batch.column(2).to_pylist() if carry else keys
-            while at < len(keys):
-                to, words = at, 0
-                while to < len(keys) and (to == at or words < WORDS_AT_ONCE):
-                    words += texts[to].count(" ") + 1
-                    to += 1
-                seeds = np.array([xxhash.xxh3_64_intdigest(repr(x).encode(), seed) for x in keys[at:to]], U64)
+            for at, raw in blocks(batch.column(1), SAMPLED_AT_ONCE):
+                texts = [t.decode() if t else "" for t in raw]
+                keys = batch.column(0).slice(at, len(texts)).to_pylist()
+                carried = batch.column(2).slice(at, len(texts)).to_pylist() if carry else keys
+                seeds = np.array([xxhash.xxh3_64_intdigest(repr(x).encode(), seed) for x in keys], U64)
                 rows = []
-                for key, text, other, got in zip(keys[at:to], texts[at:to], carried[at:to], top_k(table, texts[at:to], seeds, k), strict=True):
-                    for s, (p, lp, g, inclusion) in enumerate(got):
-                        rows.append((key, s, len(p), lp, g, inclusion, table.decode(p.tolist()) == text, p if ids else None, other))
+                for key, text, other, got in zip(keys, texts, carried, top_k(table, texts, seeds, k), strict=True):
+                    for s, (p, lp, g, inclusion, log_inclusion) in enumerate(got):
+                        rows.append((key, s, len(p), lp, g, inclusion, log_inclusion, table.decode(p.tolist()) == text, p if ids else None, other))
                 c = list(zip(*rows, strict=True))
-                arrays = [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64()), *(pa.array(x, pa.float64()) for x in c[3:6]), pa.array(c[6]), pa.array(c[7], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(c[8], pa.int64())] if carry else arrays, [*NAMES, carry] if carry else NAMES)
-                at = to
+                arrays = [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64()), *(pa.array(x, pa.float64()) for x in c[3:7]), pa.array(c[7]), pa.array(c[8], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(c[9], pa.int64())] if carry else arrays, [*NAMES, carry] if carry else NAMES)
 
     return run
 
 
 def sample_pieces(docs: DataFrame, *, model: str, k: int = 2, seed: int = 23, key: str = "doc_id", text: str = "text", ids: bool = False, carry: str | None = None) -> DataFrame:
     """k distinct sampled segmentations of every text, best first: doc_id, sample, n_pieces, log_prob, perturbed,
-    inclusion, decodes (the pieces give the text back), and with ``ids`` the piece ids.
+    inclusion and its logarithm (log_inclusion, the weight to use where texts are long and inclusion is next to
+    nothing), decodes (the pieces give the text back), and with ``ids`` the piece ids.
 
     A text with fewer segmentations gives all, with inclusion 1. A null or empty text gives one of no pieces. Rows
     that repeat a key get the same draws; a null key is a key. An empty table gives no rows. ``carry`` names a long
@@ -427,5 +447,5 @@ def sample_pieces(docs: DataFrame, *, model: str, k: int = 2, seed: int = 23, ke
     """
     kept = [F.col(carry).cast("long").alias(carry)] if carry else []
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *kept)
-    out = rows.mapInArrow(sampled(model, k, seed, ids, carry), f"{SAMPLES}, `{carry}` long" if carry else SAMPLES)
+    out = rows.mapInArrow(freed(sampled(model, k, seed, ids, carry)), f"{SAMPLES}, `{carry}` long" if carry else SAMPLES)
     return out if ids else out.drop("piece_ids")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm._shared import blocks
+from tidemill.llm._shared import blocks, freed
 
 STEP, WIDTH, FILTERS, HIDDEN = 8, 8, 40, 16
 #: Distances at which four bytes are looked for again.
@@ -23,6 +23,8 @@ LAGS = range(2, 21)
 #: Bytes that are laid out at once.
 BLOCK = 1 << 20
 PAD = 256
+#: Bytes before a piece of a very long text: what its first chunk and their recurrence look back to, in whole halves.
+BEFORE = 6 * STEP
 
 
 def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,22 +98,45 @@ class Network:
         return out
 
     def _scores(self, texts: list[bytes]) -> np.ndarray:
-        if len(texts) == 1 and len(texts[0]) > 2 * BLOCK:  # a very long text in pieces that share a chunk
+        if len(texts) == 1 and len(texts[0]) > 2 * BLOCK:  # a very long text in pieces, with the same chunks
             t, pooled = texts[0], None
             for at in range(0, len(t), BLOCK):
-                p = self._pooled([t[max(0, at - 2 * STEP) : at + BLOCK]])
+                p = self._pooled([t[max(0, at - BEFORE) : at + BLOCK]], (BEFORE - STEP) // STEP if at else 0)
                 pooled = p if pooled is None else np.maximum(pooled, p)
         else:
             pooled = self._pooled(texts)
         return 1 / (1 + np.exp(-np.clip(self.head(pooled)[2].astype(np.float64), -30, 30)))
 
-    def _pooled(self, texts: list[bytes]) -> np.ndarray:
+    def _pooled(self, texts: list[bytes], skip: int = 0) -> np.ndarray:
+        """Each filter's largest value; the first ``skip`` chunks only tell what comes before the others."""
         x, again, starts = laid_out(texts)
-        return np.maximum.reduceat(self.chunks(self.halves(x, again), starts), starts[:-1], axis=0)
+        got = self.chunks(self.halves(x, again), starts)
+        got[:skip] = -np.inf
+        return np.maximum.reduceat(got, starts[:-1], axis=0)
+
+    def gradients(self, x: np.ndarray, again: np.ndarray, starts: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean logistic loss; a chunk that gives a filter's largest value gets its gradient."""
+        h = self.halves(x, again)
+        values = self.chunks(h, starts)
+        best = np.stack([values[a:b].argmax(0) + a for a, b in zip(starts[:-1], starts[1:], strict=True)])  # [docs, filters]
+        pooled = np.take_along_axis(values, best, 0)
+        a, b, z = self.head(pooled)
+        dz = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(labels)).astype(np.float32)
+        db = dz[:, None] * self.out * (b > 0)
+        da = db @ self.dense.T * (a > 0)
+        grad = {"out": np.maximum(b, 0).T @ dz, "out_bias": dz.sum(keepdims=True), "dense": a.T @ db, "dense_bias": db.sum(0), "bias": da.sum(0)}
+        first, second = h[best], h[best + 1]  # [docs, filters, inputs]
+        grad["early"], grad["late"] = np.einsum("df,dfi->if", da, first), np.einsum("df,dfi->if", da, second)
+        back = np.zeros_like(self.vectors)
+        for side, w in ((best, self.early), (best + 1, self.late)):
+            d = (da[:, :, None] * w.T[None]).reshape(-1, STEP, WIDTH + 1)[:, :, :WIDTH].reshape(-1, WIDTH)
+            np.add.at(back, x.reshape(-1, STEP)[side].reshape(-1), d)
+        back[PAD] = 0
+        return grad | {"vectors": back}
 
 
 def train(texts: list[bytes], labels: np.ndarray, *, epochs: int = 10, batch: int = 32, rate: float = 4e-3, seed: int = 5) -> Network:
-    """Logistic loss, Adam, a rate that falls to a tenth; a chunk that gives a filter's largest value gets its gradient."""
+    """Logistic loss, Adam, a rate that falls to a tenth."""
     net, rng = Network.new(seed), np.random.default_rng(seed)
     weights = vars(net)
     m, v = ({k: np.zeros_like(w) for k, w in weights.items()} for _ in range(2))
@@ -124,23 +149,7 @@ def train(texts: list[bytes], labels: np.ndarray, *, epochs: int = 10, batch: in
             which = order[at : at + batch]
             x, again = np.concatenate([laid[i][0] for i in which]), np.concatenate([laid[i][1] for i in which])
             starts = np.append(0, np.cumsum([laid[i][2][1] for i in which]))
-            h = net.halves(x, again)
-            values = net.chunks(h, starts)
-            best = np.stack([values[a:b].argmax(0) + a for a, b in zip(starts[:-1], starts[1:], strict=True)])  # [docs, filters]
-            pooled = np.take_along_axis(values, best, 0)
-            a, b, z = net.head(pooled)
-            dz = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[which]) / len(which)).astype(np.float32)
-            db = dz[:, None] * net.out * (b > 0)
-            da = db @ net.dense.T * (a > 0)
-            grad = {"out": np.maximum(b, 0).T @ dz, "out_bias": dz.sum(keepdims=True), "dense": a.T @ db, "dense_bias": db.sum(0), "bias": da.sum(0)}
-            first, second = h[best], h[best + 1]  # [docs, filters, inputs]
-            grad["early"], grad["late"] = np.einsum("df,dfi->if", da, first), np.einsum("df,dfi->if", da, second)
-            back = np.zeros_like(net.vectors)
-            for side, w in ((best, net.early), (best + 1, net.late)):
-                d = (da[:, :, None] * w.T[None]).reshape(-1, STEP, WIDTH + 1)[:, :, :WIDTH].reshape(-1, WIDTH)
-                np.add.at(back, x.reshape(-1, STEP)[side].reshape(-1), d)
-            back[PAD] = 0
-            grad["vectors"] = back
+            grad = net.gradients(x, again, starts, labels[which])
             t += 1
             step = rate * (1 - 0.9 * t / total)
             for k, g in grad.items():
@@ -155,20 +164,28 @@ def held_out(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 4 == 2
 
 
-#: Labelled rows that are learned from, at most: the least by a hash of their key.
-LEARNED = 4000
+#: Labelled rows that are learned from, at most: the least by a hash of their key, as long as their texts add up to no
+#: more than so many bytes.
+LEARNED, LEARNED_BYTES = 4000, 32 << 20
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", learned: int = LEARNED, seed: int = 5) -> Network:
-    """A network from at most ``learned`` labelled rows that are not held out; without any, it scores 0.5."""
+def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", learned: int = LEARNED, learned_bytes: int = LEARNED_BYTES, seed: int = 5) -> Network:
+    """A network from at most ``learned`` labelled rows, of ``learned_bytes``, that are not held out; without rows of
+    both labels, it scores 0.5. Of rows that repeat a key, one is learned from: the least by a hash of its text."""
     known = labels.select(F.col(key).cast("long").alias("k"), F.col(label).cast("int").alias("y")).filter("k is not null and y is not null")
-    known = known.filter(~held_out(F.col("k"))).groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64(F.lit(seed), "k"), "k").limit(learned)
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
-    got = rows.join(F.broadcast(known), "k").select("k", "t", "y").toPandas()  # bounded by `learned`
-    got = got.sort_values(["k", "t"], na_position="first")
-    net = train([(t or "").encode() for t in got["t"]], got["y"].to_numpy(np.float32), seed=seed) if got["y"].nunique() > 1 else Network.new(seed)
-    if got["y"].nunique() < 2:
-        net.out[:] = 0
+    known = known.filter(~held_out(F.col("k"))).groupBy("k").agg(F.max("y").alias("y"))
+    known = known.orderBy(F.xxhash64(F.lit(seed), "k"), "k").limit(learned)
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    rows = rows.join(F.broadcast(known), "k").withColumn("h", F.xxhash64("t"))
+    sizes = rows.groupBy("k").agg(F.min_by(F.octet_length("t"), "h").alias("n"), F.min("h").alias("h")).orderBy(F.xxhash64(F.lit(seed), "k"), "k").toPandas()
+    some = sizes[sizes["n"].cumsum() <= learned_bytes]
+    chosen = docs.sparkSession.createDataFrame([(int(k), int(h)) for k, h in zip(some["k"], some["h"], strict=True)], "k long, h long")
+    got = rows.join(F.broadcast(chosen), ["k", "h"]).dropDuplicates(["k"]).select("k", "t", "y").toPandas().sort_values("k")
+    texts = [t.encode() for t in got["t"]]
+    if got["y"].nunique() > 1:
+        return train(texts, got["y"].to_numpy(np.float32), seed=seed)
+    net = Network.new(seed)
+    net.out[:] = 0
     return net
 
 
@@ -189,7 +206,7 @@ def quality_scores(docs: DataFrame, net: Network, *, key: str = "doc_id", text:
     Repeated rows get the same score. An empty table gives no rows. Only the text enters the score.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    got = rows.mapInArrow(scored(net), "doc_id long, score double")
+    got = rows.mapInArrow(freed(scored(net)), "doc_id long, score double")
     return got.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -204,4 +221,4 @@ def _keeps(net: Network, at: int, threshold: float):
 
 def keep_good(docs: DataFrame, net: Network, *, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs``, unchanged, whose score reaches ``threshold``."""
-    return docs.mapInArrow(_keeps(net, docs.columns.index(text), threshold), docs.schema)
+    return docs.mapInArrow(freed(_keeps(net, docs.columns.index(text), threshold)), docs.schema)
