@@ -39,6 +39,8 @@ ENCODED_AT_ONCE = 2 << 20
 OF_THE_MOST = 16
 #: Values that are packed into bits at once, a multiple of eight, and pairs that are looked up at once.
 PACKED, SCANNED = 1 << 18, 1 << 15
+#: What stands behind the last symbol.
+END = np.uint32(0xFFFFFFFF)
 #: How the byte-level alphabet writes the byte of a space.
 SPACE_BYTE = "\u0120"
 #: The byte-level rule by which these tokenizers cut a text before merging.
@@ -89,28 +91,46 @@ class Encoder(dict):
         got = self[word] = self.ids(" " + word)
         return got
 
-    def learn(self, texts: list[str]) -> None:
-        """Put the new words of ``texts`` into the table, LEARNED_AT_ONCE in a call of the library."""
-        if not self.plain:
-            return
+    def learn(self, words: list[str]) -> list[bytes | None]:
+        """The ids of words that are not in the table, LEARNED_AT_ONCE in a call of the library; None where the words
+        that it finds are not these."""
         if len(self) >= PIECE_TABLE:
             self.clear()
-        new = set(itertools.chain.from_iterable(t.split(" ") for t in texts)).difference(self)
-        words = [w for w in new if w and w.strip() == w]
+        out: list[bytes | None] = []
         for at in range(0, len(words), LEARNED_AT_ONCE):
             some = words[at : at + LEARNED_AT_ONCE]
-            line = " " + " ".join(some)
-            if self.added and self.added.search(line):
-                some = [w for w in some if not self.added.search(w)]
-                line = " " + " ".join(some)
-            if not some:
-                continue
-            (got,) = self.tokenizer.encode_batch_fast([line], add_special_tokens=False)
+            (got,) = self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
             ids = np.array(got.ids, "<u4")
             heads = np.flatnonzero(self.spaced[ids])  # a word starts with the id that holds its space
-            if len(heads) == len(some):  # else each word is asked for alone
-                raw, cuts = ids.tobytes(), (4 * np.append(heads, len(ids))).tolist()
-                self.update(zip(some, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=False))
+            if len(heads) != len(some):
+                out += [None] * len(some)
+                continue
+            raw, cuts = ids.tobytes(), (4 * np.append(heads, len(ids))).tolist()
+            found = list(map(raw.__getitem__, map(slice, cuts, cuts[1:])))
+            self.update(zip(some, found, strict=True))
+            out += found
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. The words of all are looked up together, so that each new one is asked for once."""
+        odd = [not self.plain or bool(self.added and self.added.search(t)) for t in texts]
+        split = [[] if other else t.split(" ") for t, other in zip(texts, odd, strict=True)]
+        local = dict.fromkeys(itertools.chain.from_iterable(w[1:] for w in split))
+        for w in local:
+            local[w] = self.get(w)
+        new = [w for w, ids in local.items() if ids is None and w and w.strip() == w]
+        local.update(zip(new, self.learn(new), strict=True))
+        out = []
+        for text, other, words in zip(texts, odd, split, strict=True):
+            first = words[0] if words else ""
+            if other or len(words) > 1 and (not first or first[-1].isspace()):
+                out.append(self.encode(text))
+                continue
+            try:  # words with white space at an end are never in the table, and None cannot be joined
+                out.append(np.frombuffer(b"".join([self.any(first), *map(local.__getitem__, words[1:])]), "<u4"))
+            except TypeError:
+                out.append(self.encode(text))
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         if not self.plain:
@@ -151,7 +171,7 @@ class Places:
         for k in range(64):
             if not len(left):
                 break
-            bits = (4 * len(left)).bit_length()
+            bits = (8 * len(left)).bit_length()
             factor, shift = np.uint64(0x9E3779B97F4A7C15 + (k << 17)), np.uint64(64 - bits)
             table, slots = np.full(1 << bits, -1, np.int32), (values[left] * factor) >> shift
             table[slots] = left
@@ -163,10 +183,14 @@ class Places:
         hits, found = [], []
         for at in range(0, len(x), SCANNED):
             part = x[at : at + SCANNED]
-            which = np.full(len(part), -1, np.int32)
-            for table, factor, shift in self.tables:
-                got = table[(part * factor) >> shift]
-                which = np.where(self.values[got] == part, got, which)
+            for k, (table, factor, shift) in enumerate(self.tables):
+                if k:  # those not found so far
+                    left = np.flatnonzero(which < 0)
+                    got = table[(part[left] * factor) >> shift]
+                    which[left] = np.where(self.values[got] == part[left], got, -1)
+                else:
+                    got = table[(part * factor) >> shift]
+                    which = np.where(self.values[got] == part, got, np.int32(-1))
             some = np.flatnonzero(which >= 0)
             hits.append(some + at)
             found.append(which[some])
@@ -176,33 +200,47 @@ class Places:
 def repair(ids: np.ndarray, base: int, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and rules: nonterminal base + k stands for the two symbols in rules[k].
 
-    A pair that is chosen is replaced, or gone because a neighbour was, everywhere, so each round shortens the sequence.
+    The sequence is a linked list. A round counts the pairs at all ``live`` places, replaces the most frequent ones,
+    and drops places whose pair is rarer than ``least``: a pair of old symbols is never made again, so it stays rare
+    until a neighbour is replaced, which makes its place live again. Every pair is counted at all its places, as long
+    as it is frequent. A pair that is chosen is replaced, or gone because a neighbour was, everywhere.
     """
-    seq, rules, first = ids.astype(np.uint32), [], base
-    while len(seq) > least:
-        pairs = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+    n, rules, first = len(ids), [], base
+    seq = np.append(ids.astype(np.uint32), END)
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    live, stays = np.ones(n + 1, bool), np.ones(n + 1, bool)
+    while True:
+        live[n] = False
+        at = np.flatnonzero(live)
+        pairs = seq[at].astype(np.uint64) << np.uint64(32) | seq[after[at]]
         ordered = np.sort(pairs)
-        at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        count = np.diff(at, append=len(ordered))
-        most = int(count.max())
-        if most < least:
+        heads = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+        count = np.diff(heads, append=len(ordered))
+        known, count = ordered[heads[count >= least]], count[count >= least]
+        if not len(known):
             break
-        best = ordered[at[count >= max(least, most // OF_THE_MOST)]]
-        hits, found = Places(best).of(pairs)
-        new = np.append(True, hits[1:] != hits[:-1] + 1)
+        places, which = Places(known).of(pairs)
+        live[at] = False
+        at = at[places]
+        live[at] = True
+        chosen = count >= int(count.max()) // OF_THE_MOST
+        hits, which = at[chosen[which]], which[chosen[which]]
+        new = np.append(True, hits[1:] != after[hits[:-1]])
         start = np.maximum.accumulate(np.where(new, np.arange(len(hits)), 0))
         every = (np.arange(len(hits)) - start) % 2 == 0  # of overlapping pairs, every second
-        hits, found = hits[every], found[every]
-        is_used = np.zeros(len(best), bool)
-        is_used[found] = True
-        found, best = (np.cumsum(is_used) - 1)[found], best[is_used]
-        seq[hits] = first + found
-        stay = np.ones(len(seq), bool)
-        stay[hits + 1] = False
-        seq = seq[stay]
+        hits, which = hits[every], which[every]
+        chosen[:] = False
+        chosen[which] = True
+        best = known[chosen]
+        seq[hits] = first + (np.cumsum(chosen) - 1)[which]
+        gone = after[hits]
+        follow = after[gone]
+        after[hits], before[follow] = follow, hits
+        stays[gone] = live[gone] = False
+        live[hits] = live[before[hits]] = True
         rules.append(np.stack([best >> np.uint64(32), best & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         first += len(best)
-    return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
+    return seq[:n][stays[:n]], np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
 
 
 def unfold(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
@@ -314,8 +352,8 @@ class Shard:
 
 
 WRITTEN = "part int, shard int, name string, docs long, ids long"
-#: Ids of a shard, at most about: what a task holds at once.
-SHARD_IDS = 12_000_000
+#: Ids of a shard, at most about: what a task holds at once. Ids that are decoded together.
+SHARD_IDS, DECODED_AT_ONCE = 12_000_000, 1 << 17
 
 
 def write_shards(folder: str, tokenizer: str, end_id: int | None, base: int):
@@ -334,9 +372,7 @@ def write_shards(folder: str, tokenizer: str, end_id: int | None, base: int):
         for batch in batches:
             for at, some in blocks(batch.column(1), ENCODED_AT_ONCE):
                 texts = [t.decode() if t else "" for t in some]
-                enc.learn(texts)
-                for key, text in zip(batch.column(0).slice(at, len(texts)).to_pylist(), texts, strict=True):
-                    ids = enc.encode(text) if text else np.empty(0, "<u4")
+                for key, ids in zip(batch.column(0).slice(at, len(texts)).to_pylist(), enc.encode_all(texts), strict=True):
                     parts += [ids, tail]
                     keys.append(key)
                     counts.append(len(ids) + len(tail))
@@ -354,13 +390,21 @@ READ = "name string, doc_id long, at long, n_tokens long, ids_crc32 long"
 
 
 def read_shards(batches):
-    """(name, content) -> its documents, each decoded by random access, with the crc of its ids as unsigned 32-bit."""
+    """(name, content) -> its documents, with the crc of their ids as unsigned 32-bit integers.
+
+    Some documents at a time are decoded by random access, so a shard is never held whole.
+    """
     for batch in batches:
         for name, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            shard = Shard(blob)
+            shard, crc = Shard(blob), []
             ends = np.cumsum(shard.counts)
             starts = ends - shard.counts
-            crc = [zlib.crc32(memoryview(shard.ids(a, b))) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            at = 0
+            while at < len(ends):
+                to = max(at + 1, int(np.searchsorted(ends, starts[at] + DECODED_AT_ONCE, "right")))
+                ids, lo = shard.ids(int(starts[at]), int(ends[to - 1])), starts[at]
+                crc += [zlib.crc32(memoryview(ids[a:b])) for a, b in zip((starts[at:to] - lo).tolist(), (ends[at:to] - lo).tolist(), strict=True)]
+                at = to
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(crc)), pa.array(shard.keys, pa.int64()), pa.array(starts), pa.array(shard.counts), pa.array(crc, pa.int64())], ["name", "doc_id", "at", "n_tokens", "ids_crc32"])
 
 
