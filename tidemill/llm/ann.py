@@ -5,62 +5,76 @@ squared length, scaled by D / d, estimates the whole, with an error that falls a
 dimensions a candidate is abandoned if the hypothesis that it lies within the k-th best distance found so far can be
 rejected. What survives all blocks is ranked by exact double-precision cosines of the original vectors.
 
-Every row is in the index; centroids are fitted on a bounded sample. Large lists are dealt into even shares, and so
-are the queries that probe them, so a list with a third of all rows is scanned by many tasks.
+Every row is in the index; centroids are fitted on a bounded sample, their number grows with the square root of the
+rows. Large lists are dealt into even shares, and so are the queries that probe them, so a list with a third of all
+rows is scanned by many tasks. A query that finds fewer than k in its lists is asked of all lists, without abandoning.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm._shared import shared_dir, stage
-from tidemill.llm._vectors import cosines, fitting_sample, kmeans, matrix, nearest, shares, squared, unit, usable
+from tidemill.llm._shared import freed, shared_dir, stage
+from tidemill.llm._vectors import brought_together, cosines, dealt, fitting_sample, kmeans, matrix, met, nearest, squared, unit, usable
 
 #: Dimensions of a block, and how many standard errors the test allows.
 BLOCK, ERRORS = 16, 2.1
 #: Share of true neighbours, measured on the sample, whose lists must be among those probed; vectors it is measured on.
 REACHED, MEASURED = 0.97, 400
-MOST_LISTS = 1024
-#: Vectors and queries that one task compares.
-SHARE_ROWS, SHARE_QUERIES = 16_384, 1024
+#: Lists at most, 8 MB of centroids in 64 dimensions; beyond that they get longer and are dealt into more shares.
+MOST_LISTS = 16_384
+#: Entries and queries of a share, and queries that are compared at once.
+SHARE_ROWS, SHARE_QUERIES, AT_ONCE = 16_384, 8192, 64
 
 
-def _placed(centroids, probes: int):
+def _placed(centroids, probes: int, kind: str):
     """(id, vector) -> a row for each of the ``probes`` nearest lists."""
 
     def run(batches):
         c = centroids.value
         for batch in batches:
             ids, x = batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1))
-            if not len(x):
-                continue
-            near = np.argpartition(squared(unit(x), c), min(probes, len(c)) - 1, axis=1)[:, :probes]
-            raw = [r.tobytes() for r in x]
-            yield pa.RecordBatch.from_arrays([pa.array(near.reshape(-1).astype(np.int32)), pa.array(np.repeat(ids, near.shape[1]), pa.int64()), pa.array(np.repeat(np.array(raw, object), near.shape[1]), pa.binary())], ["list", "id", "x"])
+            for i in range(0, len(x), PLACED):
+                part = x[i : i + PLACED]
+                near = np.argpartition(squared(unit(part), c), min(probes, len(c)) - 1, axis=1)[:, :probes]
+                raw = pa.array([r.tobytes() for r in part.astype(kind)], pa.binary())
+                where = pa.array(np.repeat(np.arange(len(part)), near.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(near.reshape(-1).astype(np.int32)), pa.array(ids[i : i + PLACED], pa.int64()).take(where), raw.take(where)], ["list", "id", "x"])
 
     return run
 
 
-def scan_list(q: np.ndarray, rotated: np.ndarray, k: int) -> np.ndarray:
-    """The rows of ``rotated`` that may be among the k nearest to ``q`` (both rotated unit vectors)."""
+#: Vectors that are placed together.
+PLACED = 512
+
+
+def scan_list(q: np.ndarray, rotated: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the rows that may be among the k nearest to each query; all are rotated unit vectors."""
     n, dims = rotated.shape
     if n <= k:
-        return np.arange(n)
+        return np.repeat(np.arange(len(q)), n), np.tile(np.arange(n), len(q))
     # the distance of the k-th best among those that the first block likes most
-    head = ((rotated[:, :BLOCK] - q[:BLOCK]) ** 2).sum(1)
-    first = np.argpartition(head, min(n, 4 * k) - 1)[: 4 * k]
-    limit = np.partition(((rotated[first] - q) ** 2).sum(1), k - 1)[k - 1]
-    alive, part = np.arange(n), np.zeros(n)
-    for at in range(0, dims, BLOCK):
+    head = squared(q[:, :BLOCK], rotated[:, :BLOCK])
+    some = min(n, 4 * k)
+    first = np.argpartition(head, some - 1, axis=1)[:, :some]
+    limit = np.partition(((rotated[first] - q[:, None]) ** 2).sum(2), k - 1, axis=1)[:, k - 1]
+    seen = min(BLOCK, dims)
+    a, b = np.nonzero(head * (dims / seen) <= _allowed(limit, seen, dims)[:, None])
+    part = head[a, b]
+    for at in range(seen, dims, BLOCK):
         to = min(dims, at + BLOCK)
-        part += ((rotated[alive, at:to] - q[at:to]) ** 2).sum(1)
-        keep = part * (dims / to) <= limit * (1 + (ERRORS / np.sqrt(to) if to < dims else 1e-9)) ** 2 + 1e-12
-        alive, part = alive[keep], part[keep]
-    return alive
+        part += ((rotated[b, at:to] - q[a, at:to]) ** 2).sum(1)
+        keep = part * (dims / to) <= _allowed(limit, to, dims)[a]
+        a, b, part = a[keep], b[keep], part[keep]
+    return a, b
+
+
+def _allowed(limit: np.ndarray, seen: int, dims: int) -> np.ndarray:
+    """What an estimate from ``seen`` dimensions may be, if the distance is within the limit."""
+    return limit * (1 + (ERRORS / np.sqrt(seen) if seen < dims else 1e-9)) ** 2 + 1e-9
 
 
 def probes_needed(sample: np.ndarray, centroids: np.ndarray, k: int) -> int:
@@ -78,20 +92,34 @@ def probes_needed(sample: np.ndarray, centroids: np.ndarray, k: int) -> int:
     return int(np.quantile(ranks, REACHED, method="higher")) + 1
 
 
-def searched(rotation: np.ndarray, k: int):
-    def run(key, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(queries):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        ids, x = rows["id"].to_numpy(), np.stack([np.frombuffer(b) for b in rows["x"]])
-        rotated, out = unit(x) @ rotation, []
-        for q, b in zip(queries["id"], queries["x"], strict=True):
-            y = np.frombuffer(b)
-            found = scan_list(unit(y[None])[0] @ rotation, rotated, k + int((ids == q).sum()))
-            found = found[ids[found] != q]
-            score = cosines(x[found], y)
-            best = np.lexsort((ids[found], -score))[:k]
-            out.append(pd.DataFrame({"query_id": q, "vec_id": ids[found][best], "score": score[best]}))
-        return pd.concat(out)
+FOUND = "query_id long, vec_id long, score double"
+
+
+def searched(rotation: np.ndarray, k: int, kind: str, everything: bool = False):
+    """Shares of lists -> the k best distinct ids of each query in it."""
+
+    def best(ids, x, rotated, who, y):
+        k_own = k + int((who[:, None] == ids).sum(1).max(initial=0))  # a query is nearest to itself
+        a, b = scan_list(unit(y) @ rotation, rotated, len(ids) if everything else k_own)
+        other = who[a] != ids[b]
+        a, b = a[other], b[other]
+        score = cosines(x[b], y[a])
+        order = np.lexsort((-score, ids[b], a))  # an id that repeats counts once, with its best
+        a, b, score = a[order], b[order], score[order]
+        new = np.append(True, (a[1:] != a[:-1]) | (ids[b[1:]] != ids[b[:-1]]))[: len(a)]
+        a, b, score = a[new], b[new], score[new]
+        order = np.lexsort((ids[b], -score, a))
+        a, b, score = a[order], b[order], score[order]
+        rank = np.arange(len(a)) - np.searchsorted(a, a)
+        return who[a[rank < k]], ids[b[rank < k]], score[rank < k]
+
+    def run(batches):
+        vectors = lambda t: np.frombuffer(b"".join(t.column("x").to_pylist()), kind).reshape(t.num_rows, -1).astype(np.float64)
+        for rows, queries in met(batches):
+            ids, x = rows.column("id").to_numpy(), vectors(rows)
+            rotated, who, y = unit(x) @ rotation, queries.column("id").to_numpy(), vectors(queries)
+            out = [best(ids, x, rotated, who[i : i + AT_ONCE], y[i : i + AT_ONCE]) for i in range(0, len(y), AT_ONCE)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -117,18 +145,24 @@ def nearest_neighbours(rows: DataFrame, queries: Column, *, k: int = 5, key: str
     rotation = np.linalg.qr(np.random.default_rng(seed).standard_normal((dims, dims)))[0]
     shared = spark.sparkContext.broadcast(centroids)  # at most MOST_LISTS vectors
     probes = probes_needed(sample, centroids, k)
+    kind = "<f4" if rows.schema[vector].dataType.simpleString() == "array<float>" else "<f8"  # as the table has them
 
     schema = "list int, id long, x binary"
-    index = stage(all_rows.select("id", "x").mapInArrow(_placed(shared, 1), schema), f"{path}/index")
-    asked = stage(all_rows.filter("asks").dropDuplicates(["id"]).select("id", "x").mapInArrow(_placed(shared, probes), schema), f"{path}/queries")
-    sizes = shares(index.groupBy("list").agg(F.count("*").alias("n")), SHARE_ROWS).select("list", F.col("shares").alias("parts"))
-    asks = shares(asked.groupBy("list").agg(F.count("*").alias("n")), SHARE_QUERIES).select("list", F.col("shares").alias("turns"))
-    both = F.broadcast(sizes.join(asks, "list"))  # at most MOST_LISTS rows
-    part, turn = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("id"), F.col("turns")).cast("int")
-    index = index.join(both, "list").select("list", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "id", "x")
-    asked = asked.join(both, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), turn.alias("turn"), "id", "x")
-    where = ["list", "part", "turn"]
-    found = index.groupBy(*where).cogroup(asked.groupBy(*where)).applyInPandas(searched(rotation, k), "query_id long, vec_id long, score double")
+    index = stage(all_rows.select("id", "x").mapInArrow(freed(_placed(shared, 1, kind)), schema), f"{path}/index")
+    asking = stage(all_rows.filter("asks").dropDuplicates(["id"]).select("id", "x"), f"{path}/asking")
+
+    def search(some: DataFrame, lists: int, everything: bool, name: str) -> DataFrame:
+        asked = stage(some.mapInArrow(freed(_placed(shared, lists, kind)), schema), f"{path}/{name}-queries")
+        cells = dealt(index, asked.groupBy("list").agg(F.count("*").alias("n")), ["list"], SHARE_ROWS, SHARE_QUERIES, f"{path}/{name}-cells")
+        met_rows = brought_together(index, asked, cells, ["list"])
+        return stage(met_rows.mapInArrow(freed(searched(rotation, k, kind, everything)), FOUND), f"{path}/{name}-found")
+
+    found = search(asking, probes, False, "probed")
+    wanted = min(k, all_rows.select("id").distinct().count() - 1)
+    enough = found.groupBy("query_id").agg(F.countDistinct("vec_id").alias("n")).filter(F.col("n") >= wanted)
+    short = asking.join(enough, asking["id"] == enough["query_id"], "left_anti")
+    if not short.isEmpty():
+        found = found.union(search(short, len(centroids), True, "short"))
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)

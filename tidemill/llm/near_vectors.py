@@ -1,10 +1,12 @@
 """Near-duplicate vectors by product quantisation: every link of a cosine limit, none lost.
 
-Vectors (of a label) lie in coarse inverted lists; what is left after the centroid is coded in subspaces. A query
-probes every list that can hold a partner: one within distance r lies beyond the bisector of two centroids only if
-the query is within r of it. In a list, distances come from tables (query's subvector to each code, summed by the
-codes of a vector). A code's own error is stored, so by the triangle inequality a table distance over r + error
-rules a vector out for certain; all others are verified by exact double-precision cosines.
+Vectors (of a label) lie in coarse inverted lists; what is left after the centroid is coded in subspaces. Two vectors
+at most r apart whose lists differ lie on two sides of the plane halfway between the centroids, so their distances to
+it add up to r at most, and one of them is within r / 2. So a vector that probes the lists whose plane is within r / 2
+of it meets every partner, or the partner meets it: half the radius rules out most lists and loses nothing. In a list,
+distances come from tables (query's subvector to each code, summed by the codes of a vector). A code's own error is
+stored, so by the triangle inequality a table distance over r + error rules a vector out for certain; all others are
+verified by exact double-precision cosines. The number of lists grows with the square root of the rows.
 
 Equal vectors of a label are one entry with a count. Links are counted where they are found and only a spanning
 forest of each task's links leaves it, so a group of copies sends as many rows as it has members.
@@ -13,43 +15,30 @@ forest of each task's links leaves it, so a group of copies sends as many rows a
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm._shared import components, shared_dir, stage
-from tidemill.llm._vectors import cosines, fitting_sample, kmeans, matrix, nearest, shares, squared, unit, usable
+from tidemill.llm._shared import components, freed, shared_dir, stage
+from tidemill.llm._vectors import brought_together, cosines, dealt, fitting_sample, kmeans, matrix, met, nearest, squared, unit, usable
 
-MOST_LISTS = 256
-#: Lists that a query probes, on average over the sample: where no list can be ruled out, fewer and larger lists are
-#: used, so that what is sent stays within this many times the table.
-MEAN_PROBES = 10.0
+#: Lists by the root of the distinct vectors, and the most: 8 MB of centroids in 64 dimensions. Beyond that lists get
+#: longer, and are dealt into more shares.
+LISTS, MOST_LISTS = 4, 16_384
 SUBSPACES, CODES = 8, 64
-SHARE_ROWS, SHARE_QUERIES = 8192, 4096
-#: Queries whose tables are made at once, and room for rounding in distances.
-AT_ONCE, ROUNDING = 32, 1e-6
+SHARE_ROWS, SHARE_QUERIES = 8192, 16_384
+#: Vectors or queries whose tables are made at once, room for rounding in distances, and how near to the limit a
+#: margin is worked out again in a way that does not depend on the rows beside it.
+AT_ONCE, ROUNDING, CLOSE = 128, 1e-6, 1e-9
 
 
 class Quantiser:
-    def __init__(self, sample: np.ndarray, lists: int, seed: int):
-        self.lists = kmeans(sample, lists, seed)
+    def __init__(self, sample: np.ndarray, lists: int, r: float, seed: int):
+        self.lists = kmeans(sample, lists, seed, rounds=4)
+        self.reach = r / 2 + ROUNDING
         self.cuts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
-        apart = np.sqrt(squared(self.lists, self.lists))
-        self.apart = np.where(apart > 0, apart, np.inf)  # an equal centroid behind another holds nothing
-
-    def learn_codes(self, sample: np.ndarray, seed: int) -> Quantiser:
         rest = sample - self.lists[nearest(sample, self.lists)]
         self.books = [kmeans(rest[:, c], CODES, seed + 1 + i) for i, c in enumerate(self.cuts)]
-        return self
-
-    @classmethod
-    def fitted(cls, sample: np.ndarray, lists: int, r: float, seed: int) -> Quantiser:
-        while True:
-            z = cls(sample, lists, seed)
-            if lists <= MEAN_PROBES or z.probes(sample[:2000], r).sum(1).mean() <= MEAN_PROBES:
-                return z
-            lists = max(1, lists // 2)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """List, codes and the distance between a vector and what its codes stand for."""
@@ -59,12 +48,31 @@ class Quantiser:
         stands = np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], 1)
         return home, codes.astype(np.uint8), np.sqrt(((rest - stands) ** 2).sum(1))
 
-    def probes(self, x: np.ndarray, r: float) -> np.ndarray:
-        """[vectors, lists]: whether a vector within r of x can have that list."""
-        d = squared(x, self.lists)
-        home = d.argmin(1)
-        beyond = (d - d[np.arange(len(x)), home][:, None]) / (2 * self.apart[home])
-        return beyond <= r + ROUNDING
+    def margin(self, x: np.ndarray, home: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """How far each vector is from the plane between two lists; negative on the other's side. Row by row."""
+        a, b = self.lists[home], self.lists[other]
+        apart = np.sqrt(((a - b) ** 2).sum(1))
+        away = ((x - b) ** 2).sum(1) - ((x - a) ** 2).sum(1)
+        return np.where(apart > 0, away / (2 * np.where(apart > 0, apart, 1)), 0.0)
+
+    def probes(self, x: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """[vectors, lists]: whether the list's plane is within reach."""
+        out = np.empty((len(x), len(self.lists)), bool)
+        for i in range(0, len(x), AT_ONCE):
+            part, own = x[i : i + AT_ONCE], home[i : i + AT_ONCE]
+            d, apart = squared(part, self.lists), np.sqrt(squared(self.lists[own], self.lists))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                away = np.where(apart > 0, (d - d[np.arange(len(part)), own][:, None]) / (2 * apart), 0.0)
+            got = away <= self.reach
+            near = np.nonzero((np.abs(away - self.reach) < CLOSE * 1e3) | (apart < 1e-3))
+            got[near] = self.margin(part[near[0]], own[near[0]], near[1]) <= self.reach
+            out[i : i + AT_ONCE] = got
+        out[np.arange(len(x)), home] = True
+        return out
+
+    def probe(self, x: np.ndarray, home: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Whether each vector probes one list: what ``probes`` says."""
+        return (home == other) | (self.margin(x, home, other) <= self.reach)
 
     def tables(self, x: np.ndarray, at: int) -> np.ndarray:
         rest = x - self.lists[at]
@@ -91,18 +99,33 @@ def _indexed(quantiser, kind: str):
     return run
 
 
-def _probing(quantiser, r: float, kind: str):
+def _probing(quantiser, kind: str, counts: bool):
+    """Entries -> a row for each list that one probes; or, with ``counts``, how many probe each list."""
+
     def run(batches):
         z = quantiser.value
         for batch in batches:
-            x = _vectors(batch.column(2).to_pylist(), kind)
-            if len(x):
-                who, where = np.nonzero(z.probes(unit(x), r))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), batch.column(1).take(pa.array(who)), pa.array(where.astype(np.int32)), batch.column(2).take(pa.array(who))], ["id", "label", "list", "x"])
+            label, home = batch.column(1), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            x = _vectors(batch.column(4).to_pylist(), kind)
+            for i in range(0, len(x), PROBING):
+                part = slice(i, i + PROBING)
+                who, where = np.nonzero(z.probes(unit(x[part]), home[part]))
+                labels = label.slice(i, len(home[part])).take(pa.array(who))
+                if counts:
+                    got = pa.table([labels, pa.array(where.astype(np.int32))], ["label", "list"]).group_by(["label", "list"]).aggregate([([], "count_all")])
+                    yield from got.select(["label", "list", "count_all"]).rename_columns(["label", "list", "n"]).combine_chunks().to_batches()
+                else:
+                    rows = batch.slice(i, len(home[part]))
+                    take = lambda k: rows.column(k).take(pa.array(who))  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([take(0), labels, pa.array(where.astype(np.int32)), take(2), take(3), take(4)], ["id", "label", "list", "home", "n", "x"])
 
     return run
 
 
+#: Vectors whose probes are sent together.
+PROBING = 2048
+
+
 def forest(rows: list[tuple[int, np.ndarray]], ids: np.ndarray) -> list[tuple[int, int]]:
     """Links of each query (id, places in ids) -> links that connect the same."""
     group = np.arange(len(ids))  # of each place
@@ -129,35 +152,45 @@ FOUND = "id long, n long, other long"
 
 
 def linked(quantiser, least: float, r: float, kind: str):
-    def run(key, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = {"id": [], "n": [], "other": []}
-        if len(rows) and len(queries):
-            z, at = quantiser.value, int(key[1])
-            ids, weight, error = rows["id"].to_numpy(), rows["n"].to_numpy(), rows["error"].to_numpy()
-            y = _vectors(rows["x"], kind)
-            codes = np.stack([np.frombuffer(b, np.uint8) for b in rows["codes"]]).astype(np.int64)
-            who, found = queries["id"].to_numpy(), []
-            x = _vectors(queries["x"], kind)
-            limit = (r + error + ROUNDING) ** 2
-            for i in range(0, len(x), AT_ONCE):
-                part = x[i : i + AT_ONCE]
-                tables = z.tables(unit(part), at)
-                d = sum(tables[:, m][:, codes[:, m]] for m in range(codes.shape[1]))
-                a, b = np.nonzero(d <= limit)
-                ok = np.concatenate([cosines(part[a[s : s + 20_000]], y[b[s : s + 20_000]]) >= least for s in range(0, len(a), 20_000)]) if len(a) else np.empty(0, bool)
-                ok &= who[i + a] != ids[b]
-                a, b = a[ok], b[ok]
-                count = np.bincount(a, weight[b], len(part)).astype(np.int64)
-                for j in np.flatnonzero(count).tolist():
-                    out["id"].append(int(who[i + j]))
-                    out["n"].append(int(count[j]))
-                    out["other"].append(None)
-                    found.append((int(who[i + j]), b[a == j]))
-            for q, o in forest(found, ids):
-                out["id"].append(q)
-                out["n"].append(0)
-                out["other"].append(o)
-        return pd.DataFrame({"id": pd.array(out["id"], "Int64"), "n": pd.array(out["n"], "Int64"), "other": pd.array(out["other"], "Int64")})
+    """Shares of lists -> FOUND: links of a query (n), or of an entry that does not meet the query from its own side,
+    and links that connect what was found (other)."""
+
+    def share(z, rows: pa.Table, queries: pa.Table):
+        at = rows.column("list")[0].as_py()
+        ids, weight, error = (rows.column(c).to_numpy() for c in ("id", "n", "error"))
+        y = _vectors(rows.column("x").to_pylist(), kind)
+        codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(y), -1).astype(np.int64)
+        who, home, own = (queries.column(c).to_numpy() for c in ("id", "home", "n"))
+        x, limit = _vectors(queries.column("x").to_pylist(), kind), (r + error + ROUNDING) ** 2
+        found, of_queries, of_entries = [], np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+        for i in range(0, len(x), AT_ONCE):
+            part = x[i : i + AT_ONCE]
+            tables = z.tables(unit(part), at)
+            d = sum(tables[:, m][:, codes[:, m]] for m in range(codes.shape[1]))
+            a, b = np.nonzero(d <= limit)
+            ok = np.concatenate([cosines(part[a[s : s + 20_000]], y[b[s : s + 20_000]]) >= least for s in range(0, len(a), 20_000)]) if len(a) else np.empty(0, bool)
+            ok &= who[i + a] != ids[b]
+            a, b = i + a[ok], b[ok]
+            if not len(a):
+                continue
+            of_queries += np.bincount(a, weight[b], len(x)).astype(np.int64)
+            alone = ~z.probe(unit(y[b]), np.full(len(b), at), home[a])
+            of_entries += np.bincount(b[alone], own[a[alone]], len(y)).astype(np.int64)
+            cuts = np.flatnonzero(np.append(True, a[1:] != a[:-1])).tolist()
+            found += [(int(who[a[p]]), b[p:q]) for p, q in zip(cuts, [*cuts[1:], len(a)], strict=True)]
+        for name, n in ((who, of_queries), (ids, of_entries)):
+            some = np.flatnonzero(n)
+            if len(some):
+                yield name[some].tolist(), n[some].tolist(), [None] * len(some)
+        if found:
+            a, b = zip(*forest(found, ids), strict=True)
+            yield list(a), [0] * len(a), list(b)
+
+    def run(batches):
+        z = quantiser.value
+        for rows, queries in met(batches):
+            for a, n, b in share(z, rows, queries):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(b, pa.int64())], ["id", "n", "other"])
 
     return run
 
@@ -189,21 +222,17 @@ def near_vectors(rows: DataFrame, *, least: float = 0.8, key: str = "vec_id", ve
     size = classes.count()
     r = float(np.sqrt(max(0.0, 2 - 2 * least)))
     sample = fitting_sample(classes, "id", "x")
-    quantiser = Quantiser.fitted(sample, min(MOST_LISTS, max(1, int(np.sqrt(size) / 2))), r, seed).learn_codes(sample, seed)
+    quantiser = Quantiser(sample, min(MOST_LISTS, len(sample), max(1, int(LISTS * np.sqrt(size)))), r, seed)
     shared = spark.sparkContext.broadcast(quantiser)  # at most MOST_LISTS centroids and SUBSPACES * CODES codes
 
     index = stage(classes.select("id", "label", "x", "n").mapInArrow(_indexed(shared, kind), "id long, label string, list int, n long, x binary, codes binary, error double"), f"{path}/index")
-    asked = index.select("id", "label", "x").mapInArrow(_probing(shared, r, kind), "id long, label string, list int, x binary")
-    asked = stage(asked, f"{path}/probes")
+    entries = index.select("id", "label", "list", "n", "x")
     both = ["label", "list"]
-    sizes = shares(index.groupBy(*both).agg(F.count("*").alias("n")), SHARE_ROWS).select(*both, F.col("shares").alias("parts"))
-    asks = shares(asked.groupBy(*both).agg(F.count("*").alias("n")), SHARE_QUERIES).select(*both, F.col("shares").alias("turns"))
-    dealt = sizes.join(asks, both)
-    slice_of, turn = F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int"), F.pmod(F.xxhash64("id", F.lit(8)), F.col("turns")).cast("int")
-    left = index.join(dealt, both).select(*both, slice_of.alias("part"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "id", "n", "x", "codes", "error")
-    right = asked.join(dealt, both).select(*both, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), turn.alias("turn"), "id", "x")
-    where = [*both, "part", "turn"]
-    found = stage(left.groupBy(*where).cogroup(right.groupBy(*where)).applyInPandas(linked(shared, least, r, kind), FOUND), f"{path}/found")
+    counts = entries.mapInArrow(freed(_probing(shared, kind, True)), "label string, list int, n long")
+    cells = dealt(index, counts, both, SHARE_ROWS, SHARE_QUERIES, f"{path}/cells")
+    asked = entries.mapInArrow(freed(_probing(shared, kind, False)), "id long, label string, list int, home int, n long, x binary")
+    index = index.select("id", "label", "list", F.col("list").alias("home"), "n", "x", "codes", "error")
+    found = stage(brought_together(index, asked, cells, both).mapInArrow(freed(linked(shared, least, r, kind)), FOUND), f"{path}/found")
 
     counted = found.groupBy("id").agg(F.sum("n").alias("links"))
     joined = components(found.filter("other is not null").select("id", "other"), "near-vectors-components")
