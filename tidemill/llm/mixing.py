@@ -26,8 +26,10 @@ PERIOD = 10**10
 LONGEST = 4
 #: Slots whose places are appended at once.
 CHUNK = 256
-#: Bits of the order hash that make a group; with 4,096 groups a source, none holds much of the hottest.
-RANGE_BITS = 12
+#: Blocks that a table is cut into, at most about: what the fold goes through. Larger tables have larger blocks.
+MOST_BLOCKS = 1 << 20
+#: Rows of a group, on average, if one source held all: a source's rows are numbered by groups of the order hash.
+GROUP_ROWS = 1 << 14
 
 
 def whole(a: Column, b: Column) -> Column:
@@ -93,26 +95,30 @@ def integer_weights(sizes: DataFrame, period: int, temperature: float, weights:
     return t.select("source", "rows", (F.col("base") + change).cast("long").alias("w"))
 
 
-def pfair_mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", weights: dict[str, float] | None = None, temperature: float = 0.5, block_rows: int = 8, period: int = PERIOD, seed: int = 17) -> DataFrame:
+def pfair_mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", weights: dict[str, float] | None = None, temperature: float = 0.5, block_rows: int | None = None, period: int = PERIOD, seed: int = 17) -> DataFrame:
     """``docs`` with columns ``mix_block, mix_release, mix_deadline, mix_slot, mix_position, in_mix``; no row is lost.
 
     ``weights``: source -> target weight; sources it leaves out get one part in ``period``. None: sizes to the power
-    ``temperature``. The order within a source is a seeded shuffle by key. ``mix_position`` orders the mixture:
+    ``temperature``. ``block_rows``: rows of a block; None: 8, or more where that would make over MOST_BLOCKS blocks.
+    The order within a source is a seeded shuffle of the rows. ``mix_position`` orders the mixture:
     slot * block_rows + place in the block. ``in_mix``: the row lies before the first slot that its source can no
     longer fill wholly, so the mixture up to there holds the targets; what follows is the surplus of the others.
     Blocks that have no place in LONGEST times as many slots as there are blocks follow in turns, each its own window.
 
-    A null source counts as the empty name. Null keys and repeated rows are rows like others (ties of the order hash
-    fall by the hash of the whole row, then in any order of equal rows). An empty table gives an empty result.
+    A null source counts as the empty name. Null keys and rows that repeat a key are rows like others: the shuffle is
+    by a hash of the whole row, so only equal rows stand together, in any order. An empty table gives an empty result.
     Columns of ``docs`` that carry one of the new names are replaced.
     """
+    total = docs.count()
+    block_rows = block_rows or max(8, -(-total // MOST_BLOCKS))
+    bits = (total // GROUP_ROWS).bit_length() + 2
     new = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position", "in_mix")
     kept = [c for c in docs.columns if c not in new]
     rows = docs.select(
         *kept,
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_mix_source"),
-        F.xxhash64(F.lit(seed), F.col(key)).alias("_mix_order"),
-    ).withColumn("_mix_range", F.shiftright("_mix_order", 64 - RANGE_BITS).cast("int"))
+        F.xxhash64(F.lit(seed), F.col(key), *[F.col(f"`{c}`") for c in kept]).alias("_mix_order"),
+    ).withColumn("_mix_range", F.shiftright("_mix_order", 64 - bits).cast("int"))
     counts = rows.groupBy("_mix_source", "_mix_range").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("_mix_source").orderBy("_mix_range").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("_mix_source", "_mix_range", F.coalesce(before, F.lit(0)).alias("_mix_before"))
@@ -133,7 +139,7 @@ def pfair_mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", w
     plan = plan.select("_mix_horizon", F.posexplode("slots").alias("slot", "x"))
     plan = plan.select(F.col("x.s").alias("_mix_s"), F.col("x.j").alias("mix_block"), F.col("slot").cast("long").alias("_mix_slot"), "_mix_horizon")
 
-    within = Window.partitionBy("_mix_source", "_mix_range").orderBy("_mix_order", F.xxhash64(*[F.col(f"`{c}`") for c in kept]))
+    within = Window.partitionBy("_mix_source", "_mix_range").orderBy("_mix_order")
     numbered = rows.withColumn("_mix_n", F.row_number().over(within) - 1).join(starts, ["_mix_source", "_mix_range"])
     at = F.col("_mix_before") + F.col("_mix_n")
     numbered = numbered.withColumn("_mix_at", at).withColumn("mix_block", F.floor(F.col("_mix_at") / block_rows))

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm._shared import new_file, shared_dir, stage
+from tidemill.llm._shared import freed, new_file, shared_dir, stage
 
 VERSION = b"WARC/1.1"
 MEMBER = b"\x1f\x8b\x08"
@@ -28,13 +28,24 @@ ARCHIVE_BYTES = 32 << 20
 #: The least payload that a revisit record may stand for.
 LEAST_REVISIT = 0
 DATE = "2020-01-01T00:00:00Z"
+#: Bytes within which a record's headers end, and that a member must inflate to before its first bytes are judged.
+HEAD_BYTES, JUDGED = 1 << 20, 5
 
 
 def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(kind: str, url: str, payload: bytes, digest: str, extra: list[tuple[str, str]], date: str = DATE) -> bytes:
+class DamagedArchive(ValueError):
+    """Bytes of an archive that just was written hold no valid record."""
+
+
+def record_id(page: int | None, digest: str) -> str:
+    """The same whenever a task runs again; a page without a key has none that others could name."""
+    return f"<urn:uuid:{uuid.uuid4() if page is None else uuid.uuid5(uuid.NAMESPACE_URL, f'{page}:{digest}')}>"
+
+
+def record(kind: str, url: str, payload: bytes, digest: str, extra: list[tuple[str, str]], date: str = DATE, page: int | None = None) -> bytes:
     """One record. A revisit's block is the HTTP head alone; its digest is that of the payload left out."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if kind == "revisit" else http + payload
@@ -42,7 +53,7 @@ def record(kind: str, url: str, payload: bytes, digest: str, extra: list[tuple[s
         ("WARC-Type", kind),
         ("WARC-Target-URI", url),
         ("WARC-Date", date),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"),
+        ("WARC-Record-ID", record_id(page, digest)),
         ("Content-Type", "application/http; msgtype=response"),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Block-Digest", f"sha1:{digest_of(block)}"),
@@ -67,7 +78,7 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the record at ``at``; ValueError tells which check failed."""
     if not data.startswith(b"WARC/", at):
         raise ValueError("no version line")
-    head = data.find(b"\r\n\r\n", at)
+    head = data.find(b"\r\n\r\n", at, at + HEAD_BYTES)
     if head < 0:
         raise ValueError("headers do not end")
     lines = data[at:head].decode("utf-8", "replace").split("\r\n")
@@ -109,6 +120,8 @@ def salvage(data: bytes):
                         raise ValueError("member does not end")
                     parts.append(z.decompress(view[fed : fed + (1 << 16)]))
                     fed = min(n, fed + (1 << 16))
+                    if len(parts) == 1 and len(parts[0]) >= JUDGED and not parts[0].startswith(b"WARC/"):
+                        raise ValueError("no version line")  # a false start is not inflated to its end
                 end, whole = fed - len(z.unused_data), b"".join(parts)
                 found, inner = [], 0
                 while inner < len(whole):
@@ -139,7 +152,7 @@ WRITTEN = "path string, records long, bytes long"
 
 
 def archives(folder: str):
-    """(page_id, url, html, digest, refers_to) -> archive files, a row for each."""
+    """(page_id, url, html, digest, refers_to, its url) -> archive files, a row for each."""
 
     def run(batches):
         task = TaskContext.get()
@@ -150,11 +163,12 @@ def archives(folder: str):
             return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(parts)], pa.int64()), pa.array([size], pa.int64())], ["path", "records", "bytes"])
 
         for batch in batches:
-            for page, url, html, digest, first in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for page, url, html, digest, first, first_url in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 payload, extra = (html or "").encode(), [] if page is None else [("X-Page-ID", str(page))]
                 if first is not None:
                     extra += [("X-Refers-To-Page-ID", str(first)), ("X-Payload-Length", str(len(payload))), ("WARC-Profile", PROFILE)]
-                data = member(record("response" if first is None else "revisit", url or "", payload, digest, extra))
+                    extra += [("WARC-Refers-To", record_id(first, digest)), ("WARC-Refers-To-Target-URI", first_url or ""), ("WARC-Refers-To-Date", DATE)]
+                data = member(record("response" if first is None else "revisit", url or "", payload, digest, extra, page=page))
                 parts.append(data)
                 size += len(data)
                 if size >= ARCHIVE_BYTES:
@@ -202,11 +216,11 @@ def write_warc(pages: DataFrame, folder: str, *, key: str = "page_id", url: str
     payload = F.coalesce("html", F.lit(""))
     # a base32 digest is 160 bits in 5-bit letters: made from the hexadecimal one, so grouping stays in the JVM
     rows = rows.withColumn("sha", F.sha1(payload.cast("binary")))
-    first = rows.filter("page_id is not null").groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").select("sha", "first")
+    first = rows.filter("page_id is not null").groupBy("sha").agg(F.min("page_id").alias("first"), F.min_by("url", F.struct("page_id", "url")).alias("first_url"), F.count("*").alias("copies")).filter("copies > 1").select("sha", "first", "first_url")
     joined = rows.join(first, "sha", "left")
     revisit = (F.col("first") != F.col("page_id")) & (F.octet_length(payload) >= least)
     digest = _base32(F.col("sha"))
-    return joined.select("page_id", "url", "html", digest.alias("digest"), F.when(revisit, F.col("first")).alias("refers_to")).mapInArrow(archives(folder), WRITTEN)
+    return joined.select("page_id", "url", "html", digest.alias("digest"), F.when(revisit, F.col("first")).alias("refers_to"), "first_url").mapInArrow(freed(archives(folder)), WRITTEN)
 
 
 def _base32(sha: Column) -> Column:
@@ -222,7 +236,7 @@ def read_warc(spark, written: DataFrame, folder: str) -> DataFrame:
     """READ of the archives that ``written`` names."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     named = written.select(F.element_at(F.split("path", "/"), -1).alias("name"))
-    return files.join(named, "name").select("name", "content").mapInArrow(read_archives, READ)
+    return files.join(named, "name").select("name", "content").mapInArrow(freed(read_archives), READ)
 
 
 def warc_round_trip(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
@@ -230,12 +244,15 @@ def warc_round_trip(pages: DataFrame, *, key: str = "page_id", url: str = "url",
 
     A null html is an empty payload, a null url an empty one; a row with a null key is stored as a response of its
     own and never referred to. Rows that repeat a key: those with the least key's payload are responses, as none
-    has a smaller key to refer to. An empty table gives no rows and no file. Other columns are ignored.
+    has a smaller key to refer to. An empty table gives no rows and no file. Other columns are ignored. Bytes that
+    had to be quarantined while reading are an error (DamagedArchive), which names the first; ``read_warc`` lists all.
     """
     spark = pages.sparkSession
     path = shared_dir(spark, "warc")
     written = stage(write_warc(pages, f"{path}/archives", key=key, url=url, html=html, least=least), f"{path}/written")
     if written.isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    read = read_warc(spark, written, f"{path}/archives")
+    read = stage(read_warc(spark, written, f"{path}/archives"), f"{path}/read")
+    if gap := read.filter("kind = 'gap'").orderBy("path", "at").first():
+        raise DamagedArchive(f"{gap['path']} from {gap['at']} to {gap['until']}: {gap['reason']}")
     return read.filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
