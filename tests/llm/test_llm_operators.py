@@ -267,6 +267,7 @@ def test_few_segmentations_are_all_given_however_unlikely():
     assert n > 1
     table.logp[first : first + n] = [-1e-18, *[-42.0] * (n - 1)]  # all but one next to impossible
     table.cdf[first : first + n] = 1.0
+    table.rest[first : first + n] = piece_sampling.others(np.exp(table.logp[first : first + n]), np.array([0]), np.array([n]))
     assert len(piece_sampling.top_k(table, ["the"], np.array([3], np.uint64), 50)[0]) == len(paths)
 
 
@@ -414,19 +415,37 @@ def test_windows_that_start_twice_go(spark, docs, window):
     assert sorted(map(tuple, got), key=str) == plain_dedup(rows, window)
 
 
-def test_batches_compaction_and_one_load_agree(spark, docs):
-    job = substring_dedup.SubstringDedup(spark, window=7, gram=4)
+def test_batches_compaction_and_growing_ranges_agree_with_one_load(spark, docs):
     keyed = docs.filter("doc_id is not null")
-    for k in range(4):
-        job.add(keyed.filter(F.col("doc_id") % 4 == k))
-        if k == 2:
-            job.index.compact()
     rows = [(r["doc_id"], r["text"]) for r in keyed.collect()]
-    got = job.result().select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
-    assert sorted(map(tuple, got), key=str) == plain_dedup(rows, 7)
+    want = plain_dedup(rows, 7)
+    read = lambda job: sorted(map(tuple, job.result().select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=str)
+    # ranges are halved again and again, as each is for 200 bytes of text
+    job = substring_dedup.SubstringDedup(spark, window=7, gram=4, range_bytes=200, least_parts=2)
+    parts = []
+    for k in range(5):
+        job.add(keyed.filter(F.col("doc_id") % 5 == k))
+        parts.append(job.parts)
+    assert parts == sorted(parts) and parts[-1] > parts[0] and job.index.compacted >= 1
+    assert read(job) == want
+    for batches in (1, 3):
+        job = substring_dedup.SubstringDedup(spark, window=7, gram=4)
+        job.add(keyed, batches=batches)
+        assert read(job) == want
     assert substring_dedup.substring_dedup(docs.limit(0)).count() == 0
 
 
+def test_an_earlier_chunk_is_told_once_when_its_anchor_comes_again(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    job = substring_dedup.SubstringDedup(spark, window=35, gram=20)
+    told = []
+    for k, t in enumerate([text, "other words", text, "x " + text, text]):
+        (hot,) = job.add(spark.createDataFrame([(k, t)], "doc_id long, text string"))
+        told.append({r["chunk"] >> 54 for r in hot.collect()})
+    assert told == [set(), set(), {0, 2}, {3}, {4}] and job.index.compacted == 2
+    assert {r["doc_id"]: r["n_removed"] for r in job.result().collect()} == {0: 40, 1: 0, 2: 40, 3: 40, 4: 40}
+
+
 # --- 6, 8
 
 

@@ -30,10 +30,10 @@ from tidemill.llm._shared import U64, blocks, freed, kept, mixed
 
 SPACE = "▁"
 #: Edges after which a worker's lattices are dropped, and characters whose lattices are made together.
-EDGE_TABLE, MADE_AT_ONCE = 1_500_000, 400_000
+EDGE_TABLE, MADE_AT_ONCE = 2_000_000, 250_000
 BASE = U64(0x9E3779B97F4A7C15)
 #: Bytes of text that are sampled together.
-SAMPLED_AT_ONCE = 1 << 19
+SAMPLED_AT_ONCE = 1 << 20
 #: Characters of a word after which the next piece begins anew, and what marks the rest of such a word: no character.
 LONGEST_WORD, CONTINUES = 1 << 16, "\ud800"
 
@@ -83,7 +83,7 @@ class Lattices:
         self.words: dict[str, int] = {}
         self.nodes = self.edges = 0
         self.first, self.count = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int32)  # of each node
-        self.cdf, self.logp = np.empty(1 << 18), np.empty(1 << 18)  # of each edge
+        self.cdf, self.logp, self.rest = (np.empty(1 << 18) for _ in range(3))  # of each edge; rest: of the others
         self.piece, self.next = np.empty(1 << 18, np.int32), np.empty(1 << 18, np.int64)
 
     def of(self, words: list[str]) -> np.ndarray:
@@ -102,7 +102,7 @@ class Lattices:
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def _room(self, nodes: int, edges: int) -> None:
-        for names, need in ((("first", "count"), self.nodes + nodes), (("cdf", "logp", "piece", "next"), self.edges + edges)):
+        for names, need in ((("first", "count"), self.nodes + nodes), (("cdf", "logp", "rest", "piece", "next"), self.edges + edges)):
             for name in names:
                 old = getattr(self, name)
                 if len(old) < need:
@@ -195,6 +195,8 @@ class Lattices:
         e, m = len(node), len(chain_from)
         self._room(extra, e + m)
         f = slice(self.edges, self.edges + e)
+        self.rest[self.edges : self.edges + e + m] = 0.0
+        self.rest[f] = others(p, heads, spans)
         self.cdf[f], self.logp[f], self.piece[f], self.next[f] = cdf, score, piece, target
         self.first[base + node[heads]], self.count[base + node[heads]] = self.edges + heads, spans
         if m:
@@ -208,13 +210,26 @@ class Lattices:
         self.words.update(zip(words, (starts + base).tolist(), strict=True))
 
     def arrays(self):
-        return self.first, self.count, self.cdf, self.logp, self.piece, self.next
+        return self.first, self.count, self.cdf, self.logp, self.piece, self.next, self.rest
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids))
         return text[1:].decode("utf-8", "surrogatepass") if text else ""
 
 
+def others(p: np.ndarray, heads: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """For values in groups that start at ``heads``: the sum of the group's others, without differences of sums."""
+    out = np.zeros(len(p))
+    for size in np.unique(spans[spans > 1]).tolist():
+        at = heads[spans == size][:, None] + np.arange(size)
+        x = p[at]
+        rest = np.zeros_like(x)
+        rest[:, 1:] = np.cumsum(x, axis=1)[:, :-1]
+        rest[:, :-1] += np.cumsum(x[:, ::-1], axis=1)[:, ::-1][:, 1:]
+        out[at] = rest
+    return out
+
+
 def uniform(seed: np.ndarray, turn: np.ndarray | int, at: np.ndarray, what: int = 0) -> np.ndarray:
     """Numbers in (0, 1) that depend on a row's seed, the search, a place in the text and the purpose alone."""
     with np.errstate(over="ignore"):
@@ -234,7 +249,7 @@ class Walk:
 
     def __init__(self, arrays, doc: np.ndarray, word: np.ndarray, node: np.ndarray, seeds: np.ndarray, turn: np.ndarray):
         """Follow ``node`` of each (doc, word), in that order, to the word's end; seeds and turn by document."""
-        first, count, cdf, logp, piece, to = arrays
+        first, count, cdf, logp, piece, to, _ = arrays
         n = len(node)
         steps, k, step = [], np.arange(n), 0
         with np.errstate(over="ignore"):
@@ -279,7 +294,7 @@ def top_k(lattices: Lattices, texts: list[str], seeds: np.ndarray, k: int):
     sizes = np.array([len(w) for w in split], np.int64)
     nodes = lattices.of([w for ws in split for w in ws])
     arrays = lattices.arrays()
-    first, count, cdf, logp, piece, to = arrays
+    first, count, cdf, logp, piece, to, _ = arrays
     n = len(texts)
     starts = np.cumsum(sizes) - sizes
     doc = np.repeat(np.arange(n), sizes)
@@ -323,7 +338,7 @@ def _extend(found, paths, live, walk, arrays, g, head, seeds, turn, prefix):
 
     prefix: of each document the ids that come before its path, with log-probability ``head``.
     """
-    first, count, cdf, logp, piece, _ = arrays
+    _, _, _, logp, piece, _, rest_of = arrays
     lp = logp[walk.edge]
     ends = np.searchsorted(walk.doc, live, "right")
     begins = np.searchsorted(walk.doc, live, "left")
@@ -331,11 +346,7 @@ def _extend(found, paths, live, walk, arrays, g, head, seeds, turn, prefix):
     before = np.append(0.0, total)[begins]
     at = np.repeat(np.arange(len(live)), ends - begins)
     phi = total - lp - before[at] + head[live][at] if len(lp) else lp  # of the node where the edge was chosen
-    several = count[walk.node] > 1
-    rest = np.where(several, -np.expm1(lp), 0.0)  # the share of the edges not taken
-    for j in np.flatnonzero(several & (rest < 1e-6)).tolist():  # too little for a difference: their sum
-        at_node = range(int(first[walk.node[j]]), int(first[walk.node[j]] + count[walk.node[j]]))
-        rest[j] = sum(float(np.exp(logp[e])) for e in at_node if e != walk.edge[j])
+    rest = rest_of[walk.edge]  # the share of the edges not taken
     some = rest > 0
     bound = np.full(len(lp), -np.inf)
     place = np.arange(len(lp)) - begins[at]
@@ -366,7 +377,7 @@ class Path:
 
 def _branch(found, paths, live, where, best, arrays, nodes, starts, sizes, seeds, turn):
     """Take the largest subtree of each live document: an edge not tried yet at its node, then the words after it."""
-    first, count, cdf, logp, piece, to = arrays
+    first, count, cdf, logp, piece, to, _ = arrays
     n = len(paths)
     prefix: list = [None] * n
     head = np.zeros(n)

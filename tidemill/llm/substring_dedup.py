@@ -3,9 +3,11 @@
 Documents are packed into chunks of whole texts. Within each run of ``window - gram + 1`` grams of a window the
 least gram hash is the window's anchor: equal windows have equal anchors, and there is about one anchor for eight
 words. A chunk's anchors, sorted and cut by hash range, are its run. ``FingerprintIndex`` keeps runs as immutable
-Parquet files; a new batch's runs are merge-joined with them range by range, which tells each chunk which of its
-anchors occur more than once. Only windows with such an anchor are then verified by a 128-bit fingerprint of the
-window itself, again merged range by range. ``compact`` merges runs into one that keeps each hash once.
+Parquet files; an entry that has been seen once also tells its chunk. A new batch's runs are merge-joined with them
+range by range: the batch's chunks learn which of their anchors occur more than once so far, and a chunk of an earlier
+batch learns it when its anchor is seen for the second time. So nothing is hashed again, whatever comes later.
+``compact`` merges runs into one that keeps each hash once, and ranges are halved as the index grows. Only windows with
+a repeated anchor are then verified by a 128-bit fingerprint of the window itself, again merged range by range.
 
 All exchanges carry sorted binary runs, one row for a chunk and a hash range, and a hash occurs in such a row once
 however often the chunk holds it: a passage that a third of all documents share adds one entry a chunk.
@@ -13,8 +15,10 @@ however often the chunk holds it: a passage that a third of all documents share
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm._shared import U64, WordHashes, mixed, ngrams, shared_dir, stage
+from tidemill.llm._shared import U64, WordHashes, freed, kept, mixed, ngrams, shared_dir, stage
 
 WINDOW, GRAM = 35, 20
 #: Bytes of text in a chunk, and for each hash range.
@@ -31,8 +35,11 @@ CHUNK_BYTES, RANGE_BYTES = 4 << 20, 3 << 20
 BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 CHUNK = "chunk long, bytes long, ids array<long>, sizes binary, texts binary"
-RUN = "chunk long, part int, n int, hashes binary, many binary"
-_words = WordHashes()
+#: ``many``: bits of the hashes that occur more than once; ``owners``: in merged runs, the chunk of each other one.
+RUN = "chunk long, part int, n int, hashes binary, many binary, owners binary"
+#: Batches that a table is dealt into, and runs that are merged into one when there are more.
+BATCHES, FAN_IN = 4, 2
+_words = kept(WordHashes())
 
 
 def pack(batches):
@@ -122,7 +129,7 @@ def _rows(chunk: int, parts: int, h: np.ndarray, many: np.ndarray, wide: np.ndar
     cuts = _cut(h, parts)
     rows = [(chunk, i, b - a, h[a:b].tobytes() + (wide[a:b].tobytes() if wide is not None else b""), _bits(many[a:b])) for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
     c = list(zip(*rows, strict=True)) or [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary()), pa.array(c[4], pa.binary())], ["chunk", "part", "n", "hashes", "many"])
+    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary()), pa.array(c[4], pa.binary()), pa.nulls(len(c[0]), pa.binary())], ["chunk", "part", "n", "hashes", "many", "owners"])
 
 
 def anchor_runs(parts: int, window: int, gram: int):
@@ -137,15 +144,15 @@ def anchor_runs(parts: int, window: int, gram: int):
 
 
 def repeated(keys: tuple, pdf):
-    """The runs of one hash range -> for each run of a chunk that has any, which of its hashes occur more than once."""
+    """The window runs of one hash range -> for each run of a chunk that has any, which of its pairs of hashes occur
+    more than once."""
     import pandas as pd
 
     table = pdf.sort_values("chunk")
-    wide = table["hashes"].str.len().sum() > 8 * table["n"].sum()
-    runs = [np.frombuffer(b, U64).reshape(2 if wide else 1, -1) for b in table["hashes"]]
+    runs = [np.frombuffer(b, U64).reshape(2, -1) for b in table["hashes"]]
     every = np.concatenate(runs, axis=1)
     many = np.concatenate([_unbits(b, n) for b, n in zip(table["many"], table["n"], strict=True)])
-    order = np.lexsort(every[::-1]) if wide else np.argsort(every[0], kind="stable")
+    order = np.lexsort(every[::-1])
     s = every[:, order]
     new = np.ones(s.shape[1], bool)
     new[1:] = (s[:, 1:] != s[:, :-1]).any(axis=0)
@@ -156,7 +163,7 @@ def repeated(keys: tuple, pdf):
     flag[order] = hot[group]
     out, at = [], 0
     for chunk, n in zip(table["chunk"], table["n"], strict=True):
-        if chunk >= 0 and flag[at : at + n].any():
+        if flag[at : at + n].any():
             out.append((chunk, keys[0], n, _bits(flag[at : at + n])))
         at += n
     return pd.DataFrame(out, columns=["chunk", "part", "n", "flags"])
@@ -165,54 +172,110 @@ def repeated(keys: tuple, pdf):
 FLAGS = "chunk long, part int, n int, flags binary"
 
 
+def _entries(pdf):
+    """The runs of one hash range, sorted by hash: hashes, whether many, owners, rows, and the number of each group."""
+    h = np.concatenate([np.frombuffer(b, U64) for b in pdf["hashes"]])
+    many = np.concatenate([_unbits(b, n) for b, n in zip(pdf["many"], pdf["n"], strict=True)])
+    owners = np.concatenate([np.full(n, c) if o is None else np.frombuffer(o, "<i8") for c, n, o in zip(pdf["chunk"], pdf["n"], pdf["owners"], strict=True)])
+    row = np.repeat(np.arange(len(pdf)), pdf["n"])
+    order = np.argsort(h, kind="stable")
+    h, many, owners, row = h[order], many[order], owners[order], row[order]
+    return h, many, owners, row, np.cumsum(np.append(True, h[1:] != h[:-1])[: len(h)]) - 1
+
+
+HOT = "chunk long, part int, hashes binary"
+
+
+def awakened(keys: tuple, pdf):
+    """Earlier runs and a batch's of one hash range -> the anchors that chunks learn to be repeated."""
+    import pandas as pd
+
+    if not pdf["fresh"].any():
+        return pd.DataFrame([], columns=["chunk", "part", "hashes"])
+    h, many, owners, row, group = _entries(pdf)
+    fresh = pdf["fresh"].to_numpy()[row]
+    earlier = np.bincount(group, ~fresh)
+    hot = (np.bincount(group) > 1) | (np.bincount(group, many) > 0)
+    knew = (earlier > 1) | (np.bincount(group, many & ~fresh) > 0)  # all chunks of earlier batches were told
+    tell = hot[group] & (fresh | (~knew & (np.bincount(group, fresh) > 0))[group])
+    chunk, h = owners[tell], h[tell]
+    if not len(h):
+        return pd.DataFrame([], columns=["chunk", "part", "hashes"])
+    order = np.argsort(chunk, kind="stable")
+    chunk, h = chunk[order], h[order]
+    cuts = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])[: len(chunk)]).tolist()
+    return pd.DataFrame([(chunk[a], keys[0], h[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(h)], strict=True)], columns=["chunk", "part", "hashes"])
+
+
 def merged(keys: tuple, pdf):
     """The runs of one hash range -> one run, marked by chunk -1."""
     import pandas as pd
 
-    every = np.concatenate([np.frombuffer(b, U64) for b in pdf["hashes"]])
-    many = np.concatenate([_unbits(b, n) for b, n in zip(pdf["many"], pdf["n"], strict=True)])
-    h, at, n = np.unique(every, return_inverse=True, return_counts=True)
-    return pd.DataFrame([(-1, keys[0], len(h), h.tobytes(), _bits((n > 1) | (np.bincount(at, many) > 0)))], columns=["chunk", "part", "n", "hashes", "many"])
+    h, many, owners, _, group = _entries(pdf)
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(group)])
+    several = (np.bincount(group) > 1) | (np.bincount(group, many) > 0)
+    owner = np.where(several, -1, owners[first]).astype("<i8")
+    return pd.DataFrame([(-1, keys[0], len(first), h[first].tobytes(), _bits(several), owner.tobytes())], columns=["chunk", "part", "n", "hashes", "many", "owners"])
+
+
+def split_ranges(times: int):
+    """Runs of hash ranges -> of ``times`` as many (a power of two)."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for x in batch.to_pylist():
+                h, many = np.frombuffer(x["hashes"], U64), _unbits(x["many"], x["n"])
+                owners = None if x["owners"] is None else np.frombuffer(x["owners"], "<i8")
+                bits = int(x["parts"]).bit_length() - 1 + times.bit_length() - 1
+                cuts = np.searchsorted(h >> U64(64 - bits), np.arange(times, dtype=U64) + U64(x["part"] * times)).tolist()
+                for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(h)], strict=True)):
+                    if b > a:
+                        out.append((x["chunk"], x["part"] * times + k, b - a, h[a:b].tobytes(), _bits(many[a:b]), None if owners is None else owners[a:b].tobytes()))
+            c = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), *(pa.array(x, pa.binary()) for x in c[3:])], ["chunk", "part", "n", "hashes", "many", "owners"])
+
+    return run
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of anchor hashes under ``path``, ``parts`` hash ranges each.
+    """Sorted immutable runs of anchor hashes under ``path``, each cut into as many hash ranges as it was made for.
 
-    ``append`` stores a batch's runs, ``compact`` merges all runs into one (older files stay until the caller
-    removes the folder, so readers are never cut off), ``probe`` merge-joins a batch's runs with the others.
+    ``append`` merge-joins a batch's run with the others, then stores it; ``compact`` merges all runs into one. Older
+    files stay until the caller removes the folder, so readers are never cut off.
     """
 
-    def __init__(self, spark, path: str, parts: int, fan_in: int = 8):
-        self.spark, self.path, self.parts, self.fan_in, self.runs, self.made = spark, path, parts, fan_in, [], 0
+    def __init__(self, spark, path: str, fan_in: int = FAN_IN):
+        self.spark, self.path, self.fan_in, self.made = spark, path, fan_in, 0
+        self.runs: list[tuple[DataFrame, int]] = []
+        self.compacted = 0
 
-    def append(self, batch: DataFrame) -> DataFrame:
+    def append(self, batch: DataFrame, parts: int) -> DataFrame:
+        """HOT: what the chunks of the batch, and those of earlier ones, learn."""
         self.made += 1
         run = stage(batch, f"{self.path}/run-{self.made}")
-        self.runs.append(run)
+        rows = run.withColumn("fresh", F.lit(True))
+        if self.runs:
+            rows = rows.union(self.all(parts).withColumn("fresh", F.lit(False)))
+        hot = stage(rows.groupBy("part").applyInPandas(awakened, HOT), f"{self.path}/hot-{self.made}")
+        self.runs.append((run, parts))
         if len(self.runs) > self.fan_in:
-            self.compact()
-        return run
-
-    def all(self) -> DataFrame:
-        out = self.runs[0]
-        for r in self.runs[1:]:
-            out = out.union(r)
+            self.compact(parts)
+        return hot
+
+    def all(self, parts: int) -> DataFrame:
+        """The rows of all runs, in ``parts`` ranges (no fewer than any run has)."""
+        out = None
+        for run, own in self.runs:
+            if own < parts:
+                run = run.withColumn("parts", F.lit(own)).mapInArrow(split_ranges(parts // own), RUN)
+            out = run if out is None else out.union(run)
         return out
 
-    def compact(self) -> None:
+    def compact(self, parts: int) -> None:
         self.made += 1
-        self.runs = [stage(self.all().groupBy("part").applyInPandas(merged, RUN), f"{self.path}/run-{self.made}")]
-
-    def probe(self, own: DataFrame | None = None) -> DataFrame:
-        """FLAGS of the chunks of ``own`` (a run that was appended; default: of every run that isn't compacted)."""
-        rows = self.all() if own is None else self.others(own).withColumn("chunk", F.lit(-1).cast("long")).union(own)
-        return rows.groupBy("part").applyInPandas(repeated, FLAGS)
-
-    def others(self, own: DataFrame) -> DataFrame:
-        out = own.limit(0)
-        for r in self.runs:
-            out = out if r is own else out.union(r)
-        return out
+        self.compacted += 1
+        self.runs = [(stage(self.all(parts).groupBy("part").applyInPandas(merged, RUN), f"{self.path}/run-{self.made}"), parts)]
 
 
 def _by_chunk(flags: DataFrame, name: str) -> DataFrame:
@@ -220,6 +283,11 @@ def _by_chunk(flags: DataFrame, name: str) -> DataFrame:
     return flags.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "n", "flags"))).alias(name))
 
 
+def _hot_of_chunk(hot: DataFrame) -> DataFrame:
+    """One row a chunk: its repeated anchors, in sorted pieces."""
+    return hot.groupBy("chunk").agg(F.collect_list("hashes").alias("anchors"))
+
+
 def _flagged(h: np.ndarray, flags: list | None, parts: int) -> np.ndarray:
     got = np.zeros(len(h), bool)
     cuts = _cut(h, parts)
@@ -229,11 +297,10 @@ def _flagged(h: np.ndarray, flags: list | None, parts: int) -> np.ndarray:
     return got
 
 
-def _suspects(x: dict, parts: int, window: int, gram: int):
+def _suspects(x: dict, window: int, gram: int):
     """The windows of a chunk whose anchor occurs more than once: the chunk, their starts, their two hashes."""
     w = Windows(x["sizes"], x["texts"], window, gram)
-    h = np.unique(w.picked)
-    hot = h[_flagged(h, x["anchor_flags"], parts)]
+    hot = np.sort(np.frombuffer(b"".join(x["anchors"] or []), U64))
     if not len(hot):
         return w, np.empty(0, np.int64), np.empty(0, U64), np.empty(0, U64)
     at = np.minimum(np.searchsorted(hot, w.anchors), len(hot) - 1)
@@ -256,7 +323,7 @@ def window_runs(parts: int, window: int, gram: int):
     def run(batches):
         for batch in batches:
             for x in batch.to_pylist():
-                _, _, a, b = _suspects(x, parts, window, gram)
+                _, _, a, b = _suspects(x, window, gram)
                 ua, ub, _, n = _unique_prints(a, b)
                 yield _rows(x["chunk"], parts, ua, n > 1, ub)
 
@@ -270,7 +337,7 @@ def cleaned(parts: int, window: int, gram: int, texts: bool):
     def run(batches):
         for batch in batches:
             for x in batch.to_pylist():
-                w, starts, a, b = _suspects(x, parts, window, gram)
+                w, starts, a, b = _suspects(x, window, gram)
                 gone = np.zeros(len(w.h) + 1, np.int64)
                 if len(starts):
                     ua, _, inverse, _ = _unique_prints(a, b)
@@ -293,67 +360,53 @@ def cleaned(parts: int, window: int, gram: int, texts: bool):
 class SubstringDedup:
     """Incremental deduplication: ``add`` batches of documents, then ``result`` over all that were added."""
 
-    def __init__(self, spark, *, window: int = WINDOW, gram: int = GRAM, parts: int | None = None):
-        self.spark, self.window, self.gram, self.parts = spark, window, gram, parts
+    def __init__(self, spark, *, window: int = WINDOW, gram: int = GRAM, range_bytes: int = RANGE_BYTES, least_parts: int = 32):
+        self.spark, self.window, self.gram = spark, window, gram
         self.path = shared_dir(spark, "substring-dedup")
-        self.index: FingerprintIndex | None = None
+        self.index = FingerprintIndex(spark, f"{self.path}/index")
+        self.range_bytes, self.parts, self.bytes = range_bytes, least_parts, 0
         self.chunks: list[DataFrame] = []
+        self.hot: list[DataFrame] = []
 
-    def add(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-        """Index a batch; FLAGS: which anchors of the batch's chunks occur more than once so far."""
+    def add(self, docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = 1) -> list[DataFrame]:
+        """Index documents, in ``batches`` one after the other; HOT of each: the anchors that chunks, new or old, learn
+        to be repeated."""
         b = len(self.chunks)
-        rows = docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(pack, CHUNK).withColumn("chunk", F.col("chunk") + F.lit(b << 54))
-        chunks = stage(rows, f"{self.path}/chunks-{b}")
-        if self.index is None:
-            size = chunks.agg(F.sum("bytes")).first()[0] or 0
-            self.parts = self.parts or max(32, -(-size // RANGE_BYTES))
-            self.index = FingerprintIndex(self.spark, f"{self.path}/index", self.parts)
-        self.chunks.append(chunks)
-        self.run = self.index.append(self.runs_of(chunks))
-        return self.index.probe(self.run)
-
-    def runs_of(self, chunks: DataFrame) -> DataFrame:
-        return chunks.mapInArrow(anchor_runs(self.parts, self.window, self.gram), RUN)
+        rows = docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(freed(pack), CHUNK)
+        rows = rows.withColumn("chunk", F.col("chunk") + F.lit(b << 54)).withColumn("batch", F.pmod(F.xxhash64("chunk"), F.lit(batches)).cast("int"))
+        path = f"{self.path}/chunks-{b}"
+        rows.write.partitionBy("batch").parquet(path)
+        chunks = self.spark.read.schema(rows.schema).parquet(path)
+        self.chunks.append(chunks.drop("batch"))
+        sizes = {r["batch"]: r["n"] for r in chunks.groupBy("batch").agg(F.sum("bytes").alias("n")).collect()}
+        told = []
+        for k in range(batches):
+            self.bytes += sizes.get(k, 0)
+            while self.parts * self.range_bytes < self.bytes:
+                self.parts *= 2
+            own = chunks.filter(F.col("batch") == k).drop("batch")
+            told.append(self.index.append(own.mapInArrow(freed(anchor_runs(self.parts, self.window, self.gram)), RUN), self.parts))
+        self.hot += told
+        return told
 
     def result(self, texts: bool = False) -> DataFrame:
         """doc_id, n_words, n_removed, kept_sha256 (and kept) of every document of every batch."""
-        chunks = self.chunks[0]
-        for c in self.chunks[1:]:
-            chunks = chunks.union(c)
-        single = len(self.index.runs) == 1 and len(self.chunks) == 1
-        # compacted runs no longer know their chunks; those of every chunk are then sent against them
-        rows = self.index.all() if single else self.index.all().withColumn("chunk", F.lit(-1).cast("long")).union(self.runs_of(chunks).withColumn("many", F.expr("repeat('\\0', 0)").cast("binary")))
-        first = stage((rows if single else rows).groupBy("part").applyInPandas(repeated if single else _seen, FLAGS), f"{self.path}/anchor-flags")
-        both = chunks.join(_by_chunk(first, "anchor_flags"), "chunk", "left")
-        windows = both.filter("anchor_flags is not null").mapInArrow(window_runs(self.parts, self.window, self.gram), RUN)
-        second = stage(windows.groupBy("part").applyInPandas(repeated, FLAGS), f"{self.path}/window-flags")
-        out = both.join(_by_chunk(second, "window_flags"), "chunk", "left").mapInArrow(cleaned(self.parts, self.window, self.gram, texts), CLEAN)
+        every = lambda parts: functools.reduce(DataFrame.union, parts)
+        both = every(self.chunks).join(_hot_of_chunk(every(self.hot)), "chunk", "left")
+        windows = both.filter("anchors is not null").mapInArrow(freed(window_runs(self.parts, self.window, self.gram)), RUN)
+        flags = stage(windows.groupBy("part").applyInPandas(repeated, FLAGS), f"{self.path}/window-flags-{len(self.chunks)}-{uuid.uuid4().hex}")
+        out = both.join(_by_chunk(flags, "window_flags"), "chunk", "left").mapInArrow(freed(cleaned(self.parts, self.window, self.gram, texts)), CLEAN)
         return out if texts else out.drop("kept")
 
 
-def _seen(keys: tuple, pdf):
-    """Like ``repeated``, where the rows of chunk -1 hold every chunk's hashes: counts come from those alone."""
-    import pandas as pd
-
-    old = pdf[pdf["chunk"] < 0]
-    once = merged(keys, old).iloc[0]
-    h, many = np.frombuffer(once["hashes"], U64), _unbits(once["many"], once["n"])
-    hot, out = h[many], []
-    for chunk, n, b in pdf.loc[pdf["chunk"] >= 0, ["chunk", "n", "hashes"]].itertuples(index=False):
-        flag = np.isin(np.frombuffer(b, U64), hot, assume_unique=True)
-        if flag.any():
-            out.append((chunk, keys[0], n, _bits(flag)))
-    return pd.DataFrame(out, columns=["chunk", "part", "n", "flags"])
-
-
-def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, texts: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, texts: bool = False, batches: int = BATCHES) -> DataFrame:
     """Words ``[^\\x20\\x09-\\x0D]+`` of ``docs`` without those covered by a window that starts anywhere else too.
 
     One row a document: doc_id, n_words, n_removed, kept_sha256, with ``texts`` also the kept words joined by one
     space. A null or empty text has no words; documents shorter than a window lose none; repeated rows (a key twice)
     are documents of their own and remove each other; a null key stays null; an empty table gives no rows. Columns
-    other than key and text are ignored.
+    other than key and text are ignored. The table enters the index in ``batches``; their number changes no result.
     """
     job = SubstringDedup(docs.sparkSession, window=window, gram=max(1, window * 4 // 7))
-    job.add(docs, key, text)
+    job.add(docs, key, text, batches)
     return job.result(texts)

@@ -32,7 +32,7 @@ from tidemill.llm._shared import blocks, new_file, shared_dir, stage
 
 MAGIC = b"RPGRAM02"
 #: Words after which a worker's table is emptied, and how many new ones are encoded in a call.
-PIECE_TABLE, LEARNED_AT_ONCE = 800_000, 1000
+PIECE_TABLE, LEARNED_AT_ONCE = 500_000, 1000
 #: Bytes of text that are encoded together.
 ENCODED_AT_ONCE = 2 << 20
 #: A round replaces the pairs that are at least this share of the most frequent one.
@@ -41,6 +41,8 @@ OF_THE_MOST = 16
 PACKED, SCANNED = 1 << 18, 1 << 15
 #: What stands behind the last symbol.
 END = np.uint32(0xFFFFFFFF)
+#: Marks that the rule cuts from the letters before them.
+MARKS = frozenset(".,;:!?)|")
 #: How the byte-level alphabet writes the byte of a space.
 SPACE_BYTE = "\u0120"
 #: The byte-level rule by which these tokenizers cut a text before merging.
@@ -116,10 +118,16 @@ class Encoder(dict):
         odd = [not self.plain or bool(self.added and self.added.search(t)) for t in texts]
         split = [[] if other else t.split(" ") for t, other in zip(texts, odd, strict=True)]
         local = dict.fromkeys(itertools.chain.from_iterable(w[1:] for w in split))
-        for w in local:
-            local[w] = self.get(w)
+        local = dict(zip(local, map(self.get, local), strict=True))
         new = [w for w, ids in local.items() if ids is None and w and w.strip() == w]
+        # a word and its mark are two pieces, and the word is often there without it
+        marked = [w for w in new if w[-1] in MARKS and w[:-1].isalpha()]
+        bare = dict.fromkeys(w[:-1] for w in marked)
+        new = list(dict.fromkeys([*(w for w in new if not (w[-1] in MARKS and w[:-1].isalpha())), *(w for w in bare if w not in self)]))
         local.update(zip(new, self.learn(new), strict=True))
+        for w in marked:
+            ids = local.get(w[:-1]) or self.get(w[:-1])
+            local[w] = ids and ids + self.part(w[-1])
         out = []
         for text, other, words in zip(texts, odd, split, strict=True):
             first = words[0] if words else ""
