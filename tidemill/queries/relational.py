@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemill.functions import hashing
-from tidemill.operators import batching, filters, metrics, segments, sidecar, snapshot, stats
+from tidemill.operators import batching, contracts, filters, metrics, segments, sidecar, snapshot, stats
 from tidemill.operators.positions import POS, concatenate, enumerate_rows, shuffled
+from tidemill.plans import stages
 from tidemill.queries._registry import query, table
 from tidemill.queries.text import HASH
 
@@ -365,3 +366,33 @@ def life02_pipeline(spark, d):
     stages = Stages(preprocess=lambda df: df.select("doc_id", "lang", "n_chars"), postprocess=lambda df: df.withColumn("n_chars", F.col("n_chars").cast("double")))
     batches, _ = load(spark, ["query-documents"], ["all"], "validation", 64, seed=1, order=["doc_id"], stages=stages, data_dir=d, filter_by=F.col("lang") == "en")
     return batches.select("batch_id", metrics.real_rows(F.col("padding_mask")).cast("long").alias("n_real"), F.size("rows").cast("long").alias("n"))
+
+
+# --- contracts and pipelines by name
+
+
+@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' ELSE 'unknown' END AS issue FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL")
+def set02_identities(spark, d):
+    return contracts.identity_difference(_docs(spark, d), table(spark, d, "labels").filter("quality = 1"), "doc_id")
+
+
+@query("SELECT conv_id, count(*)::BIGINT AS copies FROM conversations GROUP BY 1 HAVING count(*) > 1")
+def set03_repeated(spark, d):
+    return contracts.repeated(table(spark, d, "conversations"), "conv_id")
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 'shape_differs' ELSE 'undeclared_label' END AS issue FROM embeddings WHERE vec_id % 7 = 0 OR len(list_filter(embedding, lambda v: floor(abs(v::DOUBLE) * 10) > 3)) > 0")
+def geo06_dense(spark, d):
+    label = lambda v: F.floor(F.abs(v.cast("double")) * 10).cast("int")
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.transform(F.slice("embedding", r * 8 + 1, F.lit(8)), label))
+    t = table(spark, d, "embeddings").select("vec_id", rows.alias("mask"), F.lit(8).alias("h"), F.when(F.col("vec_id") % 7 == 0, 9).otherwise(8).alias("w"))
+    return contracts.validate_dense(t, height="h", width="w", mask="mask", classes=[0, 1, 2, 3]).select("vec_id", "issue")
+
+
+@query("SELECT vec_id, 64::INT AS samples, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE)), 5) AS total, label::BIGINT AS label FROM embeddings")
+def ctl10_acoustic(spark, d):
+    made = stages.acoustic_pipeline("audio_default_16k_waveform")
+    t = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<float>").alias("waveform"), F.lit(16000).alias("sample_rate"), "label")
+    t = made.postprocess(made.preprocess(t))
+    total = F.aggregate(F.col("audio")["data"], F.lit(0.0), lambda a, v: a + v.cast("double"))
+    return t.select("vec_id", F.col("audio")["shape"][0].alias("samples"), F.round(total, 5).alias("total"), "label")
