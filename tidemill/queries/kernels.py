@@ -1,4 +1,7 @@
-"""Numeric kernels over arrays as queries; none of them is SQL."""
+"""Numeric kernels over arrays as queries; those that draw nothing are held against the formulas written out in SQL.
+
+Kernels compute in 32 bits, so digests are rounded to where that does not show.
+"""
 
 from __future__ import annotations
 
@@ -24,26 +27,47 @@ def _features(name: str, **options):
     return column_kernel(f, "array<double>")
 
 
-def _digest(df, x):
-    return df.select("vec_id", F.size(x).alias("n"), F.round(F.aggregate(x, F.lit(0.0), lambda a, v: a + v), 4).alias("total"), F.round(F.array_max(x), 4).alias("most"))
+def _digest(df, x, total: int | None = 4, most: int | None = 4):
+    rounded = lambda v, digits: v if digits is None else F.round(v, digits) + 0.0
+    return df.select("vec_id", F.size(x).alias("n"), rounded(F.aggregate(x, F.lit(0.0), lambda a, v: a + v), total).alias("total"), rounded(F.array_max(x), most).alias("most"))
 
 
-@query()
+def _digested(ctes: str, of: str, total: int = 4, most: int = 4) -> str:
+    return f"WITH {ctes} SELECT vec_id, count(*)::INT AS n, round(sum(v), {total}) + 0.0 AS total, round(max(v), {most}) + 0.0 AS most FROM {of} GROUP BY 1"
+
+
+#: Samples (vec_id, i, v); frames of 32 at steps of 8 over samples mirrored by 16 at both ends, under a periodic Hann
+#: window; powers of 17 bins; triangles between points that are even in mel, for a rate of 64.
+_SAMPLES = "x AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)"
+_MIRRORED = "places AS (SELECT t, k, CASE WHEN p < 0 THEN -p WHEN p > {last} THEN 2 * {last} - p ELSE p END AS i FROM (SELECT a.t, b.k, 8 * a.t + b.k - 16 AS p FROM range({frames}) a(t), range(32) b(k)))"
+_POWERS = """y AS (SELECT vec_id, t, k, v * (0.5 - 0.5 * cos(2 * pi() * k / 32)) AS v FROM places JOIN x USING (i)),
+p AS (SELECT vec_id, t, f, pow(sum(v * cos(2 * pi() * k * f / 32)), 2) + pow(sum(v * sin(2 * pi() * k * f / 32)), 2) AS v FROM y, range(17) b(f) GROUP BY ALL)"""
+_MEL = "1127 * ln(1 + ({}) / 700.0)"
+_EDGES = f"e AS (SELECT m, {_MEL.format('32')} * m / 9 AS l, {_MEL.format('32')} * (m + 1) / 9 AS c, {_MEL.format('32')} * (m + 2) / 9 AS h FROM range(8) a(m))"
+_BANK = f"w AS (SELECT m, f, greatest(0, least(({_MEL.format('2 * f')} - l) / (c - l), (h - {_MEL.format('2 * f')}) / (h - c))) AS w FROM e, range(1, 17) b(f))"
+_HERTZ = "700 * (exp(({}) / 1127.0) - 1)"
+_HERTZ_BANK = f"w AS (SELECT m, f, greatest(0, least((2 * f - {_HERTZ.format('l')}) / ({_HERTZ.format('c')} - {_HERTZ.format('l')}), ({_HERTZ.format('h')} - 2 * f) / ({_HERTZ.format('h')} - {_HERTZ.format('c')}))) AS w FROM e, range(16) b(f))"
+_BANDS = "b AS (SELECT vec_id, t, m, sum(v * w) AS v FROM p JOIN w USING (f) GROUP BY ALL)"
+_FRAMED = ", ".join([_SAMPLES, _MIRRORED.format(last=63, frames=9), _POWERS])
+_EMPHASISED = "x AS (SELECT vec_id, i - 1 AS i, v - 0.97 * p AS v FROM (SELECT vec_id, i, v, lag(v) OVER (PARTITION BY vec_id ORDER BY i) AS p FROM (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)) WHERE i > 0)"
+
+
+@query(_digested(_FRAMED, "p", 1, 1))
 def fe02_stft(spark, d):
     v = _vectors(spark, d)
-    return _digest(v, _features("stft_magnitude")(F.col("embedding")))
+    return _digest(v, _features("stft_magnitude")(F.col("embedding")), 1, 1)
 
 
-@query()
+@query(_digested(f"{_FRAMED}, {_EDGES}, {_BANK}, {_BANDS}", "(SELECT vec_id, ln(greatest(v, 1e-10)) AS v FROM b)", 1, 1))
 def fe08_logmel(spark, d):
     v = _vectors(spark, d)
-    return _digest(v, _features("logmel")(F.col("embedding")))
+    return _digest(v, _features("logmel")(F.col("embedding")), 1, 1)
 
 
-@query()
+@query(_digested(f"{_FRAMED}, {_EDGES}, {_BANK}, {_BANDS}", "(SELECT vec_id, t, j, sum(ln(greatest(v, 1e-6)) * 0.5 * cos(pi() / 8 * (m + 0.5) * j)) AS v FROM b, range(6) a(j) GROUP BY ALL)", 1, 1))
 def fe10_mfcc(spark, d):
     v = _vectors(spark, d)
-    return _digest(v, _features("mfcc", count=6)(F.col("embedding")))
+    return _digest(v, _features("mfcc", count=6)(F.col("embedding")), 1, 1)
 
 
 @query()
@@ -52,22 +76,22 @@ def fe11_clip_fbank(spark, d):
     return _digest(v, _features("ast_kaldi_fbank")(F.col("embedding")))
 
 
-@query()
+@query(_digested(f"{_EMPHASISED}, {_MIRRORED.format(last=62, frames=8)}, {_POWERS}, {_EDGES}, {_HERTZ_BANK}, {_BANDS}", "(SELECT vec_id, 0.2 * ln(v + 1e-5) + 0.9 AS v FROM b)", 1, 2))
 def fe12_emphasised_logmel(spark, d):
     v = _vectors(spark, d)
-    return _digest(v, _features("efficientat_logmel")(F.col("embedding")))
+    return _digest(v, _features("efficientat_logmel")(F.col("embedding")), 1, 2)
 
 
-@query()
+@query(_digested(f"{_SAMPLES}, w AS (SELECT o, i, greatest(0, 1 - abs(i - ((o + 0.5) / 0.375 - 0.5)) * 0.375) AS w FROM range(24) a(o), range(64) b(i))", "(SELECT vec_id, o, sum(v * w) / sum(w) AS v FROM x JOIN w USING (i) GROUP BY ALL)", 2, 2))
 def arr10_resampled(spark, d):
     f = column_kernel(lambda x: signal.resample(np.asarray(x, np.float32), 64, 24), "array<double>")
-    return _digest(_vectors(spark, d), f(F.col("embedding")))
+    return _digest(_vectors(spark, d), f(F.col("embedding")), 2, 2)
 
 
-@query()
+@query(f"WITH {_SAMPLES} SELECT vec_id, count(*)::INT AS n, sum(s) AS total, max(s) AS most FROM (SELECT vec_id, least(greatest(round_even(v * 32768, 0), -32768), 32767) / 32768.0 AS s FROM x) GROUP BY 1")
 def arr01_wav(spark, d):
     f = column_kernel(lambda x: signal.decode_wav(signal.encode_wav(np.clip(x, -1, 1), 64))[0], "array<double>")
-    return _digest(_vectors(spark, d), f(F.col("embedding")))
+    return _digest(_vectors(spark, d), f(F.col("embedding")), None, None)
 
 
 @query()
@@ -124,7 +148,7 @@ def _image(x) -> np.ndarray:
 
 
 def _pictured(spark, d):
-    return _vectors(spark, d).filter("vec_id < 200")
+    return _vectors(spark, d)
 
 
 @query()
@@ -148,10 +172,17 @@ def im16_sampled_ops(spark, d):
     return _pictured(spark, d).select("vec_id", f(F.col("embedding"), F.col("vec_id")).alias("rand"), g(F.col("embedding"), F.col("vec_id")).alias("trivial"))
 
 
-@query()
+#: Pixels of ``_image`` (vec_id, y, x, c, v); 24 rows to 20 and 32 columns to 27 by triangles, rows 2 to 17 and columns 5
+#: to 20 of those; channels less their mean, by their deviation.
+_PICTURE = "e AS (SELECT vec_id, unnest(range(64)) AS i, abs(unnest(embedding)::DOUBLE) AS v FROM embeddings), px AS (SELECT a.vec_id, a.i AS y, b.i - 24 AS x, c, floor((a.v * b.v * s) % 256) AS v FROM e a JOIN e b USING (vec_id), (VALUES (0, 900.0::DOUBLE), (1, 600.0), (2, 300.0)) t(c, s) WHERE a.i < 24 AND b.i BETWEEN 24 AND 55)"
+_TRIANGLE = "{name} AS (SELECT o, i, greatest(0, 1 - abs(i - ((o + 0.5) * {source} / {target}::DOUBLE - 0.5)) / greatest(1, {source} / {target}::DOUBLE)) AS w FROM range({low}, {low} + 16) a(o), range({source}) b(i))"
+_RESIZED = f"{_PICTURE}, {_TRIANGLE.format(name='wy', source=24, target=20, low=2)}, {_TRIANGLE.format(name='wx', source=32, target=27, low=5)}, r AS (SELECT vec_id, o AS y, x, c, sum(v * w) / sum(w) AS v FROM px JOIN wy ON wy.i = px.y WHERE w > 0 GROUP BY ALL), q AS (SELECT vec_id, y, o AS x, c, sum(v * w) / sum(w) AS v FROM r JOIN wx ON wx.i = r.x WHERE w > 0 GROUP BY ALL)"
+
+
+@query(_digested(_RESIZED, "(SELECT vec_id, (v / 255 - mean) / (std + 1e-8) AS v FROM q JOIN (VALUES (0, 0.485, 0.229), (1, 0.456, 0.224), (2, 0.406, 0.225)) t(c, mean, std) USING (c))", 0, 1))
 def im07_resize_normalise(spark, d):
     f = column_kernel(lambda x: images.resize_and_normalise(_image(x), 16, 20), "array<double>")
-    return _digest(_pictured(spark, d), f(F.col("embedding")))
+    return _digest(_pictured(spark, d), f(F.col("embedding")), 0, 1)
 
 
 @query()

@@ -29,11 +29,11 @@ def src02_concatenate(spark, d):
 def src01_fetch(spark, d):
     from tidemill.sources.registry import fetch, register_adapter, register_source
 
-    register_source("query-tables:", lambda spark, name, splits, data_dir: [table(spark, data_dir, name.split(":")[1]) for _ in splits], replace=True)
-    register_adapter("query-tables:supplier", lambda df: df.select(F.lit("supplier").alias("source"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation")), replace=True)
-    register_adapter("query-tables:customer", lambda df: df.select(F.lit("customer").alias("source"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")), replace=True)
-    got = fetch(spark, ["query-tables:supplier", "query-tables:customer"], ["all"], d, source_filter=None)
-    return got.filter("nation < 12").select("source", "id", "name")
+    register_source("query-tables:", lambda spark, name, splits, data_dir: [table(spark, data_dir, name.split(":")[1]).withColumnRenamed(f"{name.split(':')[1][0]}_nationkey", "nation") for _ in splits], replace=True)
+    register_adapter("query-tables:supplier", lambda df: df.select(F.lit("supplier").alias("source"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), replace=True)
+    register_adapter("query-tables:customer", lambda df: df.select(F.lit("customer").alias("source"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), replace=True)
+    got = fetch(spark, ["query-tables:supplier", "query-tables:customer"], ["all"], d, source_filter=F.col("nation") < 12)
+    return got.select("source", "id", "name")
 
 
 @query("SELECT split, count(*)::BIGINT AS n FROM (SELECT coalesce(nullif(CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang END, ''), 'en') AS split FROM documents) WHERE split = 'en' GROUP BY 1")
