@@ -11,7 +11,9 @@ and 1,024 parity bits of each set, whose differing bits are differing shingles.
 Links are found in two rounds. First, each entry of a list is paired with one earlier entry of each group that the
 bounds allow, which takes as many pairs as entries; most of them are verified, and join groups of copies. Then every
 two entries that lie in different components so far, and that the bounds allow, are verified. Pairs within a component
-need no check, as only components are asked for, so a group of copies costs what it has members, not pairs.
+need no check where only components are asked for, so a group of copies costs what it has members, not pairs. Where
+links are to be counted, every two entries that the bounds allow are verified, in one round.
+Long lists are cut into blocks of entries of like size, and each two blocks are a group of their own.
 Verification is T-occurrence search: a document's candidates form a small inverted index; its short lists are
 heap-merged, its longest T - 1 lists only probed by binary search, and those that reach T stay.
 """
@@ -38,8 +40,8 @@ COUNT_DOCS, COUNT_LEAST = 8192, 2
 MOST_LONG = 400_000
 #: Bits of a set's parity.
 PARITY = 1024
-#: Postings for each hash range.
-RANGE_POSTINGS = 150_000
+#: Postings for each hash range, and entries of a list after which it is cut into blocks.
+RANGE_POSTINGS, BLOCK = 150_000, 20_000
 
 _words = kept(WordHashes())
 
@@ -161,21 +163,47 @@ def posting_runs(n: int, percent: int, parts: int, long_lists):
     return run
 
 
-def shared_lists(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """The lists of a hash range that several classes are on."""
-    a = np.concatenate([np.frombuffer(b, POSTING) for b in pdf["postings"]])
-    h = np.sort(a["h"])
-    several = h[1:][h[1:] == h[:-1]]  # far fewer than all; only those are sorted by class
-    if not len(several):
-        return pd.DataFrame([], columns=["part", "n", "postings"])
-    at = np.minimum(np.searchsorted(several, a["h"]), len(several) - 1)
-    a = a[several[at] == a["h"]]
-    a = a[np.lexsort((a["f"], a["h"]))]
-    a = a[np.append(True, (a["h"][1:] != a["h"][:-1]) | (a["f"][1:] != a["f"][:-1]))]
-    starts = np.flatnonzero(np.append(True, a["h"][1:] != a["h"][:-1]))
-    count = np.diff(np.append(starts, len(a)))
-    a = a[np.repeat(count > 1, count)]
-    return pd.DataFrame([(key[0], len(a), a.tobytes())] if len(a) else [], columns=["part", "n", "postings"])
+#: ``number`` is 0 for the short lists of a range, else tells long ones apart; ``block`` and ``blocks`` are of those,
+#: with the sizes of the block's sets.
+LISTS = "part int, number int, block int, blocks int, low int, high int, n int, postings binary"
+
+
+def shared_lists(most: int):
+    """The lists of a hash range that several classes are on; those of over ``most`` entries in blocks by size."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        a = np.concatenate([np.frombuffer(b, POSTING) for b in pdf["postings"]])
+        h = np.sort(a["h"])
+        several = h[1:][h[1:] == h[:-1]]  # far fewer than all; only those are sorted by class
+        names = [x.split()[0] for x in LISTS.split(", ")]
+        if not len(several):
+            return pd.DataFrame([], columns=names)
+        at = np.minimum(np.searchsorted(several, a["h"]), len(several) - 1)
+        a = a[several[at] == a["h"]]
+        a = a[np.lexsort((a["f"], a["h"]))]
+        a = a[np.append(True, (a["h"][1:] != a["h"][:-1]) | (a["f"][1:] != a["f"][:-1]))]
+        starts = np.flatnonzero(np.append(True, a["h"][1:] != a["h"][:-1]))
+        count = np.diff(np.append(starts, len(a)))
+        short = a[np.repeat((count > 1) & (count <= most), count)]
+        rows = [(key[0], 0, 0, 1, 0, 0, len(short), short.tobytes())] if len(short) else []
+        for number, (i, n) in enumerate(zip(starts[count > most].tolist(), count[count > most].tolist(), strict=True), 1):
+            x = a[i : i + n]
+            x = x[np.argsort(x["size"], kind="stable")]
+            blocks = -(-n // most)
+            for k in range(blocks):
+                own = x[k * most : (k + 1) * most]
+                rows.append((key[0], number, k, blocks, int(own["size"][0]), int(own["size"][-1]), len(own), own.tobytes()))
+        return pd.DataFrame(rows, columns=names)
+
+    return run
+
+
+def in_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Blocks of long lists with each block (itself too) whose sizes allow a link: ``first`` and ``second`` block."""
+    blocks = lists.select("part", "number", F.col("block").alias("other"), F.col("low").alias("other_low"), F.col("high").alias("other_high")).filter("number > 0")
+    long = lists.filter("number > 0").join(blocks, ["part", "number"]).filter(f"100L * least(high, other_high) >= {percent}L * greatest(low, other_low) or block = other")
+    long = long.select("part", "number", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "postings")
+    return lists.filter("number = 0").select("part", "number", F.lit(0).alias("first"), F.lit(0).alias("second"), "block", "postings").union(long)
 
 
 def _distinct(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,40 +214,51 @@ def _distinct(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], b[new]
 
 
+#: What a group of lists is told by.
+KEYS = ["part", "number", "first", "second"]
+MEMBERS = "part int, number int, first int, second int, f long"
+
+
 def _members(batches):
-    """Lists -> the classes on each range's lists."""
+    """Groups of lists -> the classes on each one's lists."""
     for batch in batches:
-        for part, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for *key, b in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5)), strict=True):
             f = np.unique(np.frombuffer(b, POSTING)["f"])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), part, "i4")), pa.array(f)], ["part", "f"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(f), k, "i4")) for k in key), pa.array(f)], [*KEYS, "f"])
 
 
-def partners(percent: int, all_pairs: bool):
-    """The lists of a range and what is known of their classes (f, parity, component c) -> pairs to verify.
+def partners(percent: int, all_pairs: bool, within: bool = False):
+    """The lists of a group and what is known of their classes (f, parity, component c) -> pairs to verify.
 
-    Only pairs of different components that sizes, places and parities allow. With ``all_pairs`` each of them;
-    else for each entry one of each group that earlier pairs of its list would make.
+    Only pairs of different components (or, with ``within``, any) that sizes, places and parities allow. With
+    ``all_pairs`` each of them; else for each entry one of each group that earlier pairs of its list would make. Of two
+    different blocks, only pairs across.
     """
 
     def run(key, lists: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         out = [(np.empty(0, "<i8"), np.empty(0, "<i8"))]
         if len(lists):
-            known = members.sort_values("f")
+            known = members.drop_duplicates("f").sort_values("f")
             f_of, c_of = known["f"].to_numpy(), known["c"].to_numpy()
             bits_of = np.frombuffer(b"".join(known["parity"]), np.uint64).reshape(len(known), -1)
             x = np.concatenate([np.frombuffer(b, POSTING) for b in lists["postings"]])
-            x = x[np.lexsort((x["f"], x["size"], x["h"]))]
+            block = np.repeat(lists["block"].to_numpy(), [len(b) // POSTING.itemsize for b in lists["postings"]])
+            order = np.lexsort((x["f"], x["size"], x["h"]))
+            x, block, across = x[order], block[order], key[2] != key[3]
             row = np.searchsorted(f_of, x["f"])
             f, c, size = x["f"], c_of[row], x["size"].astype(np.int64)
             after = size - x["place"]
             starts = np.flatnonzero(np.append(True, x["h"][1:] != x["h"][:-1]))
-            several = np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)
-            for i, j in zip(starts[several].tolist(), np.append(starts[1:], len(x))[several].tolist(), strict=True):
+            some = np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)
+            some |= within
+            for i, j in zip(starts[some].tolist(), np.append(starts[1:], len(x))[some].tolist(), strict=True):
                 group = c[i:j].copy()
                 for k in range(i + 1, j):  # sizes ascend: those too small for k come first
                     lo = i + int(np.searchsorted(size[i:k], -(-percent * size[k] // 100)))
                     own = group[k - i]
-                    place = lo + np.flatnonzero(group[lo - i : k - i] != own)
+                    place = np.arange(lo, k) if within else lo + np.flatnonzero(group[lo - i : k - i] != own)
+                    if across:
+                        place = place[block[place] != block[k]]
                     need = least_overlap(size[place], size[k], percent)
                     ok = np.minimum(after[place], after[k]) >= need
                     place, need = place[ok], need[ok]
@@ -287,9 +326,12 @@ def packed_sets(n: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, count_links: bool = False, block: int = BLOCK) -> DataFrame:
     """One row a document: doc_id, n_shingles (its set's size), component_id (least doc_id reachable by links).
 
+    With ``count_links`` also n_links, the other rows that it links with: all pairs that the bounds allow are then
+    verified, also within a component.
+
     Texts are lower-cased in A-Z and cut into words at ASCII white space; a set holds the distinct runs of ``words``
     words, or the whole sequence where there are fewer. Documents link when 100 * intersection >= percent * union.
     A null, empty or blank text has an empty set and links with nothing. A row with a null key has a null component
@@ -315,18 +357,20 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     parts = max(32, -(-(postings or 0) // RANGE_POSTINGS))
     keyed = rows.filter("doc_id is not null")
     runs = keyed.mapInArrow(freed(posting_runs(words, percent, parts, shared)), POSTINGS)
-    lists = stage(runs.groupBy("part").applyInPandas(shared_lists, POSTINGS), f"{path}/lists")
+    lists = stage(runs.groupBy("part").applyInPandas(shared_lists(block), LISTS), f"{path}/lists")
 
     some = each.filter("doc_id is not null").groupBy("f").agg(F.min("doc_id").alias("doc_id"))
     marks = profile.filter("doc_id is not null").groupBy("f").agg(F.first("parity").alias("parity"))
-    members = stage(lists.mapInArrow(_members, "part int, f long").join(marks, "f"), f"{path}/members")
+    alone = lists.select("part", "number", F.col("block").alias("first"), F.col("block").alias("second"), "block", "postings")
+    every = in_pairs(lists, percent)
 
-    def pairs_of(known: DataFrame | None, name: str) -> DataFrame:
+    def pairs_of(groups: DataFrame, known: DataFrame | None, all_pairs: bool, name: str) -> DataFrame:
+        placed = groups.mapInArrow(_members, MEMBERS).distinct().join(marks, "f")
         if known is None:
-            placed = members.withColumn("c", F.col("f"))
+            placed = placed.withColumn("c", F.col("f"))
         else:
-            placed = members.join(known.select(F.col("node").alias("f"), "component"), "f", "left").withColumn("c", F.coalesce("component", "f")).drop("component")
-        got = lists.groupBy("part").cogroup(placed.groupBy("part")).applyInPandas(partners(percent, known is not None), "a long, b long")
+            placed = placed.join(known.select(F.col("node").alias("f"), "component"), "f", "left").withColumn("c", F.coalesce("component", "f")).drop("component")
+        got = groups.groupBy(*KEYS).cogroup(placed.groupBy(*KEYS)).applyInPandas(partners(percent, all_pairs, count_links), "a long, b long")
         return stage(got.distinct(), f"{path}/{name}-pairs")
 
     def check(pairs: DataFrame, name: str) -> DataFrame:
@@ -340,14 +384,27 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
         both = both.join(sets.select(F.col("f").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
         return stage(both.mapInArrow(freed(verified(percent)), "a long, b long"), f"{path}/{name}-links")
 
-    first = check(pairs_of(None, "first"), "first")
-    known = components(first, "jaccard-first")
-    links = first.union(check(pairs_of(known, "second"), "second"))
+    if count_links:
+        links = check(pairs_of(every, None, True, "all"), "all")
+    else:
+        first = check(pairs_of(alone, None, False, "first"), "first")
+        known = components(first, "jaccard-first")
+        links = first.union(check(pairs_of(every, known, True, "second"), "second"))
 
     found = components(links, "jaccard-all").select(F.col("node").alias("f"), "component")
     classes = some.join(found, "f", "left").withColumn("component", F.coalesce("component", "f"))
     names = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = classes.join(names, "component").select("f", "component_id")
+    counted = []
+    if count_links:
+        links = links.distinct()  # a key that repeats found its links twice
+        sizes = each.filter("doc_id is not null").groupBy("f").agg(F.count("*").alias("rows"))
+        ends = links.select(F.col("a").alias("f"), F.col("b").alias("g")).union(links.select("b", "a"))
+        linked = ends.join(sizes.select(F.col("f").alias("g"), "rows"), "g").groupBy("f").agg(F.sum("rows").alias("others"))
+        own = F.coalesce("others", F.lit(0)) + F.col("rows") - 1
+        named = named.join(sizes, "f").join(linked, "f", "left").select("f", "component_id", own.alias("links"))
+        takes_part = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+        counted = [F.when(takes_part, F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links")]
     out = each.join(named, "f", "left")
-    alone = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), alone).alias("component_id"))
+    reached = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), reached).alias("component_id"), *counted)
