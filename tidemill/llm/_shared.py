@@ -38,18 +38,36 @@ def stage(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def new_file(folder: str, name: str, suffix: str, blob: bytes) -> str:
-    """Write a file of a name that no other attempt of the task has, in a shared folder; returns its path."""
+def _store(path: str):
+    """What reads and writes a shared path, and the path as it names it."""
     from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def open_new(folder: str, name: str, suffix: str):
+    """A stream to a file of a name that no other attempt of the task has, in a shared folder; and its path."""
+    store, path = _store(folder)
     store.create_dir(path, recursive=True)
-    path = f"{path}/{name}-{uuid.uuid4().hex}{suffix}"
-    with store.open_output_stream(path, compression=None) as out:
+    name = f"{name}-{uuid.uuid4().hex}{suffix}"
+    return store.open_output_stream(f"{path}/{name}", compression=None), f"{folder}/{name}"
+
+
+def new_file(folder: str, name: str, suffix: str, blob: bytes) -> str:
+    """Write such a file whole; returns its path."""
+    out, path = open_new(folder, name, suffix)
+    with out:
         out.write(blob)
     return path
 
 
+def read_range(path: str, start: int, length: int) -> bytes:
+    """Some bytes of a file in a shared folder."""
+    store, path = _store(path)
+    with store.open_input_file(path) as f:
+        return f.read_at(length, start)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,14 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm._shared import U64, WordHashes, freed, kept, mixed, ngrams, shared_dir, stage
+from tidemill.llm._shared import U64, WordHashes, blocks, freed, kept, mixed, ngrams, open_new, read_range, shared_dir, stage
 
 WINDOW, GRAM = 35, 20
 #: Bytes of text in a chunk, and for each hash range.
 CHUNK_BYTES, RANGE_BYTES = 4 << 20, 3 << 20
 BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
-CHUNK = "chunk long, bytes long, ids array<long>, sizes binary, texts binary"
+#: A chunk's texts lie in a file of the task that packed it: rows that are exchanged stay small.
+CHUNK = "chunk long, bytes long, ids array<long>, sizes binary, file string, start long, length long"
 #: ``many``: bits of the hashes that occur more than once; ``owners``: in merged runs, the chunk of each other one.
 RUN = "chunk long, part int, n int, hashes binary, many binary, owners binary"
 #: Batches that a table is dealt into, and runs that are merged into one when there are more.
@@ -42,33 +43,49 @@ BATCHES, FAN_IN = 4, 2
 _words = kept(WordHashes())
 
 
-def pack(batches):
+def pack(folder: str):
     """(doc_id, text) batches -> chunk rows; a null text has size -1."""
-    ids, texts, held, k = [], [], 0, 0
-    task = TaskContext.get()
-    first = (task.partitionId() if task else 0) << 24
-
-    def row():
-        sizes = np.array([-1 if t is None else len(t) for t in texts], "<i8")
-        blob = zstandard.ZstdCompressor(level=1).compress(b"".join(t for t in texts if t))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([first + k]), pa.array([held]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes.tobytes()]), pa.array([blob], pa.binary())],
-            ["chunk", "bytes", "ids", "sizes", "texts"],
-        )
-
-    for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            ids.append(i)
-            texts.append(t)
-            held += len(t or b"")
-            if held >= CHUNK_BYTES:
+
+    def run(batches):
+        ids, texts, held, k, at = [], [], 0, 0, 0
+        task = TaskContext.get()
+        number = task.partitionId() if task else 0
+        out = path = None
+
+        def row():
+            sizes = np.array([-1 if t is None else len(t) for t in texts], "<i8")
+            blob = zstandard.ZstdCompressor(level=1).compress(b"".join(t for t in texts if t))
+            out.write(blob)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([(number << 24) + k]), pa.array([held]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes.tobytes()]), pa.array([path]), pa.array([at]), pa.array([len(blob)])],
+                ["chunk", "bytes", "ids", "sizes", "file", "start", "length"],
+            )
+
+        try:
+            for batch in batches:
+                for first, raw in blocks(batch.column(1)):
+                    if out is None:
+                        out, path = open_new(folder, f"texts-{number:07d}", ".zst")
+                    for i, t in zip(batch.column(0).slice(first, len(raw)).to_pylist(), raw, strict=True):
+                        ids.append(i)
+                        texts.append(t)
+                        held += len(t or b"")
+                        if held >= CHUNK_BYTES:
+                            made = row()
+                            yield made
+                            ids, texts, held, k, at = [], [], 0, k + 1, at + made.column(6)[0].as_py()
+            if ids:
                 yield row()
-                ids, texts, held, k = [], [], 0, k + 1
-    if ids:
-        yield row()
+        finally:
+            if out is not None:
+                out.close()
+
+    return run
 
 
-def unpack(sizes: bytes, blob: bytes) -> list[bytes]:
+def unpack(x: dict) -> list[bytes]:
+    """The texts of a chunk row, with nothing for null."""
+    sizes, blob = x["sizes"], read_range(x["file"], x["start"], x["length"])
     sizes = np.maximum(np.frombuffer(sizes, "<i8"), 0)
     text = zstandard.ZstdDecompressor().decompress(blob) if sizes.sum() else b""
     ends = np.cumsum(sizes).tolist()
@@ -78,8 +95,8 @@ def unpack(sizes: bytes, blob: bytes) -> list[bytes]:
 class Windows:
     """Word windows of a chunk: ``words`` by document, ``starts`` of the valid windows, their anchors."""
 
-    def __init__(self, sizes: bytes, blob: bytes, window: int = WINDOW, gram: int = GRAM):
-        self.words = [t.split() for t in unpack(sizes, blob)]
+    def __init__(self, texts: list[bytes], window: int = WINDOW, gram: int = GRAM):
+        self.words = [t.split() for t in texts]
         self.counts = np.array([len(w) for w in self.words], np.int64)
         self.h = _words.of(list(itertools.chain.from_iterable(self.words)))
         self.window = window
@@ -136,7 +153,7 @@ def anchor_runs(parts: int, window: int, gram: int):
     def run(batches):
         for batch in batches:
             for x in batch.to_pylist():
-                w = Windows(x["sizes"], x["texts"], window, gram)
+                w = Windows(unpack(x), window, gram)
                 h, n = np.unique(w.picked, return_counts=True)
                 yield _rows(x["chunk"], parts, h, n > 1)
 
@@ -299,7 +316,7 @@ def _flagged(h: np.ndarray, flags: list | None, parts: int) -> np.ndarray:
 
 def _suspects(x: dict, window: int, gram: int):
     """The windows of a chunk whose anchor occurs more than once: the chunk, their starts, their two hashes."""
-    w = Windows(x["sizes"], x["texts"], window, gram)
+    w = Windows(unpack(x), window, gram)
     hot = np.sort(np.frombuffer(b"".join(x["anchors"] or []), U64))
     if not len(hot):
         return w, np.empty(0, np.int64), np.empty(0, U64), np.empty(0, U64)
@@ -372,7 +389,7 @@ class SubstringDedup:
         """Index documents, in ``batches`` one after the other; HOT of each: the anchors that chunks, new or old, learn
         to be repeated."""
         b = len(self.chunks)
-        rows = docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(freed(pack), CHUNK)
+        rows = docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(freed(pack(f"{self.path}/texts")), CHUNK)
         rows = rows.withColumn("chunk", F.col("chunk") + F.lit(b << 54)).withColumn("batch", F.pmod(F.xxhash64("chunk"), F.lit(batches)).cast("int"))
         path = f"{self.path}/chunks-{b}"
         rows.write.partitionBy("batch").parquet(path)
