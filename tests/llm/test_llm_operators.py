@@ -631,6 +631,21 @@ def test_jaccard_components_are_those_of_all_pairs(spark, docs, n, percent):
     assert all(r["component_id"] is None for r in got if r["doc_id"] is None)
 
 
+@pytest.mark.parametrize("block", [3, 20_000])
+def test_links_are_counted_and_long_lists_are_cut(spark, docs, block):
+    n, percent = 2, 50
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.filter("doc_id is not null").collect()]
+    words = [words_of(t.translate({c: c + 32 for c in range(65, 91)})) for _, t in rows]
+    sets = [{tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set() for w in words]
+    linked = lambda a, b: bool(a & b) and 100 * len(a & b) >= percent * len(a | b)
+    want = sorted((i, sum(linked(s, t) for k, t in enumerate(sets) if k != j)) for j, ((i, _), s) in enumerate(zip(rows, sets, strict=True)))
+    got = jaccard_join.jaccard_components(docs, words=n, percent=percent, count_links=True, block=block)
+    assert sorted((r["doc_id"], r["n_links"]) for r in got.filter("doc_id is not null").collect()) == want
+    plain = jaccard_join.jaccard_components(docs, words=n, percent=percent, block=block)
+    key = lambda df: sorted(map(str, df.select("doc_id", "n_shingles", "component_id").collect()))
+    assert key(got) == key(plain) == key(jaccard_join.jaccard_components(docs, words=n, percent=percent))
+
+
 def test_divide_skip_counts_like_sets():
     rng = np.random.default_rng(5)
     for _ in range(200):
@@ -741,6 +756,23 @@ def test_pipeline_stages_keep_columns_and_clean_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
 
 
+def test_pipeline_stages_take_empty_tables_nulls_and_repeated_keys(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(1, "a text of some words that stands here", None, None, None), (1, "quite another text with other words in it", "en", "x", 3), (None, None, None, None, None), (2, None, None, None, None), (3, "", "en", "x", 0), (None, "a text of some words that stands here", "en", "x", 1), (2, None, None, None, None)]
+    for k, data in enumerate(([], rows)):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/docs-{k}")
+        for name, f in corpus_pipeline.STAGES:
+            out = f(spark, spark.read.parquet(f"{tmp_path}/docs-{k}"), str(tmp_path))
+            n = {"jaccard_join": 6}.get(name, len(data)) if data else 0
+            if name == "piece_sampling":
+                assert out.filter("sample = 0").count() == n
+            else:
+                assert out.columns == [c.split()[0] for c in schema.split(", ")] and out.count() == n
+
+
 def test_the_mixture_reaches_the_last_rows_of_the_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -220,5 +220,7 @@ def _keeps(net: Network, at: int, threshold: float):
 
 
 def keep_good(docs: DataFrame, net: Network, *, text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose score reaches ``threshold``."""
+    """The rows of ``docs``, unchanged, whose score reaches ``threshold``; all of them where nothing was learned."""
+    if not net.out.any():
+        return docs
     return docs.mapInArrow(freed(_keeps(net, docs.columns.index(text), threshold)), docs.schema)
