@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemill.llm._shared import shared_dir, stage, table
 from tidemill.llm.jaccard_join import jaccard_components
@@ -20,33 +21,45 @@ from tidemill.llm.quality import fit, keep_good
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is 0.7 or more, by a network fitted on the labelled ones among ``docs``."""
+    """Documents whose score is 0.7 or more, by a network fitted on the labelled ones among ``docs``.
+
+    A null text is scored as an empty one. Without labels of both kinds nothing can be learned and nothing is dropped.
+    """
     return keep_good(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the least doc_id.
 
-    A key that repeats is one document and stays once. Rows without a key take no part and stay.
+    A key that repeats with different texts is as many documents, each told by a hash of key and text; of rows that
+    are equal in both, one stays. Rows without a key take no part and stay. An empty table stays empty.
     """
-    found = jaccard_components(docs)
-    stay = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.filter("doc_id is null")).select(*docs.columns)
+    node = F.xxhash64("doc_id", "text").alias("_node")
+    keyed = docs.filter("doc_id is not null").select("*", node)
+    found = jaccard_components(keyed, key="_node").select(F.col("doc_id").alias("_node"), "component_id").distinct()
+    least = keyed.select("doc_id", "_node").join(found, "_node").groupBy("component_id").agg(F.min(F.struct("doc_id", "_node"))["_node"].alias("_node"))
+    kept = keyed.join(least.select("_node"), "_node", "left_semi").dropDuplicates(["_node"])
+    return kept.select(*docs.columns).union(docs.filter("doc_id is null"))
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span of personal data replaced by its kind; n_chars follows."""
+    """Every span of personal data replaced by its kind; n_chars follows. A null text stays null."""
     return without_pii(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, in files that follow the mixture of sources to their target weights."""
+    """Every document, in files that follow the mixture of sources to their target weights.
+
+    Null sources are one source, null keys and texts rows like others; an empty table stays empty.
+    """
     return in_mixed_order(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of every text, with their piece ids and the document's place in the mixture."""
+    """Two sampled segmentations of every text, with their piece ids and the document's place in the mixture.
+
+    A null or empty text has one, of no pieces; an empty table gives no rows.
+    """
     return sample_pieces(with_file_order(docs), model=public_tokenizers.path("piece_bpe_32k.model"), ids=True, carry="mix_position")
 
 
