@@ -116,6 +116,49 @@ def ac12_audio_corruptions(spark, d):
     return v.withColumn("x", x).select("vec_id", "corruption", F.size("x").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, b: a + b), 3).alias("total"))
 
 
+def _corrupted(names: list[str]):
+    """Digests of vectors as signals at 32 kHz under each corruption, at a severity that depends on the vector."""
+
+    def run(spark, d):
+        v = _vectors(spark, d).withColumn("corruption", F.explode(F.array(*map(F.lit, names))))
+        f = column_kernel(lambda x, n, i: signal.corrupt(np.asarray(x, np.float32), n, 1 + i % 5, seed=(3, i), rate=32000), "array<double>")
+        x = f(F.col("embedding"), F.col("corruption"), F.col("vec_id"))
+        rounded = lambda c: F.round(c, 2) + 0.0
+        return v.withColumn("x", x).select("vec_id", "corruption", rounded(F.aggregate("x", F.lit(0.0), lambda a, b: a + b)).alias("total"), rounded(F.array_max("x")).alias("most"))
+
+    return run
+
+
+def _by_severity(*columns) -> str:
+    return "(VALUES " + ", ".join(f"({k}, {', '.join(map(repr, row))})" for k, row in enumerate(zip(*columns, strict=True))) + ")"
+
+
+_INF = (1e9,) * 5
+_LIMITS = " UNION ALL ".join(
+    f"SELECT '{name}' AS corruption, k, lo, hi FROM {_by_severity(low, high)} t(k, lo, hi)"
+    for name, low, high in (("low_pass", (0.0,) * 5, signal.LOW_PASS), ("high_pass", signal.HIGH_PASS, _INF), ("band_pass", [b[0] for b in signal.BAND_PASS], [b[1] for b in signal.BAND_PASS]))
+)
+#: Gains of the 33 bins of 64 samples at 32 kHz, and the circular kernel that they stand for.
+_GAINS = f"""g AS (SELECT corruption, k, f, (500 * f >= lo AND 500 * f <= hi)::INT::DOUBLE AS g FROM ({_LIMITS}), range(33) a(f)
+UNION ALL SELECT 'equalization_tilt', k, f, greatest(0.125, least(4.0, pow(10, db * log2(greatest(500.0 * f, 1) / 1000) / 20))) FROM {_by_severity(signal.TILT_DB)} t(k, db), range(33) a(f)),
+h AS (SELECT corruption, k, m, sum(g * CASE WHEN f IN (0, 32) THEN 1 ELSE 2 END * cos(2 * pi() * f * m / 64)) / 64 AS h FROM g, range(64) b(m) GROUP BY ALL)"""
+
+
+@query(f"WITH {_SAMPLES}, {_GAINS} SELECT vec_id, corruption, round(sum(y), 2) + 0.0 AS total, round(max(y), 2) + 0.0 AS most FROM (SELECT vec_id, corruption, o, sum(v * h) AS y FROM x, range(64) c(o) JOIN h ON m = (o - i + 64) % 64 AND k = vec_id % 5 GROUP BY ALL) GROUP BY ALL".replace("FROM x, range(64) c(o) JOIN", "FROM (SELECT * FROM x, range(64) c(o)) JOIN"))
+def ac08_filters(spark, d):
+    return _corrupted(["low_pass", "high_pass", "band_pass", "equalization_tilt"])(spark, d)
+
+
+_LENGTHS = f"""t AS (SELECT 'time_stretch' AS corruption, k, round_even(64 * f, 0)::INT AS n FROM {_by_severity(signal.STRETCH)} s(k, f)
+UNION ALL SELECT 'pitch_shift', k, round_even(64 / pow(2, f / 12), 0)::INT FROM {_by_severity(signal.SEMITONES)} s(k, f)),
+w AS (SELECT corruption, k, n, o, i, greatest(0, 1 - abs(i - ((o + 0.5) * 64 / n - 0.5)) / greatest(1, 64.0 / n)) AS w FROM t, range(64) a(o), range(64) b(i) WHERE o < n)"""
+
+
+@query(f"WITH {_SAMPLES}, {_LENGTHS} SELECT vec_id, corruption, round(sum(y), 2) + 0.0 AS total, round(greatest(max(y), CASE WHEN min(n) < 64 THEN 0 ELSE max(y) END), 2) + 0.0 AS most FROM (SELECT vec_id, corruption, n, o, sum(v * w) / sum(w) AS y FROM x JOIN w ON w.i = x.i AND k = vec_id % 5 WHERE w > 0 GROUP BY ALL) GROUP BY ALL")
+def ac10_time(spark, d):
+    return _corrupted(["time_stretch", "pitch_shift"])(spark, d)
+
+
 @query()
 def ba03_cut_mix(spark, d):
     v = _vectors(spark, d).withColumn("batch", F.floor(F.col("vec_id") / 16))
