@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.queries import arrays, details, kernels, relational, text
+from tidemill.queries import arrays, details, kernels, lifecycle, relational, text
 from tidemill.queries._registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "arrays", "details", "kernels", "relational", "text"]
+__all__ = ["ORACLES", "QUERIES", "arrays", "details", "kernels", "lifecycle", "relational", "text"]
