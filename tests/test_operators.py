@@ -209,6 +209,10 @@ def test_replay_goes_on_where_it_was(spark, tmp_path):
     assert ids(b) == ids(a)[1:] and (b.remaining_batches, b.remaining_rows) == (1, 2)
     with pytest.raises(ValueError, match="epoch"):
         run(state=state, epoch=1)
+    some = snapshot.admit(spark, [_source(spark, tmp_path)], {"s": ("test", "train")}, inventory_id="i", path=f"{tmp_path}/some", schema=SIZE, selection=("not r2", F.col("record_id") != "r2"))
+    kept = pipeline.replay(some, stages=pipeline.Stages(), dataset_type="test", batch_size=2, seed=1, epoch=0, stateless=True)
+    sizes = [sum(r["padding_mask"]) for r in kept.batches.orderBy("batch_id").collect()]
+    assert len(sizes) == kept.remaining_batches and sum(sizes) == kept.remaining_rows and all(n == 2 for n in sizes[:-1])
     with pytest.raises(ValueError, match="stateless"):
         pipeline.replay(admitted, stages=pipeline.Stages(), dataset_type="train", batch_size=4, seed=1, epoch=0)
 

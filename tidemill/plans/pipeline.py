@@ -213,7 +213,8 @@ def replay(admitted: Admitted, *, stages: Stages, dataset_type: str, batch_size:
     n = admitted.manifest["retained"]
     left = batching.remaining(n, batch_size, cursor, drop_remainder)
     keep = Stages(_kept(stages.preprocess), stages.augment, _kept(stages.postprocess), stages.late_augment)
-    rows = keep.preprocess(admitted.data)
+    rows = _numbered(admitted.data) if admitted.manifest["excluded"] else admitted.data  # records that were left out leave gaps
+    rows = keep.preprocess(rows)
     out = finalized(rows, options, keep, seed=epoch_seed(REPLAY_SCHEMA, seed, epoch, view))
     return Replay(batching.resumed(out, cursor), state or fresh, *left)
 

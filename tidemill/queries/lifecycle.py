@@ -142,25 +142,25 @@ def _admitted(spark, d):
     df = spark.createDataFrame(records, "record_id string, split string, path string, sha256 string")
     source = snapshot.Source("nations", df, ("train", "test"), adapt=lambda t: t.withColumn("name", F.col("content").cast("string")))
     schema = T.StructType([T.StructField("name", T.StringType())])
-    return snapshot.admit(spark, [source], {"nations": ("test", "train")}, inventory_id="i", path=f"{folder}/snapshot", schema=schema, selection=("no C", ~F.col("name").startswith("C")))
+    return snapshot.admit(spark, [source], {"nations": ("test", "train")}, inventory_id="i", path=f"{folder}/snapshot", schema=schema, selection=("none that ends in 3", ~F.col("name").endswith("3")))
 
 
 _ADMITTED = "(SELECT n_name AS name, row_number() OVER (ORDER BY n_regionkey <> 0, n_nationkey) - 1 AS pos FROM nation)"
 
 
-@query(f"SELECT pos::BIGINT AS position, name FROM {_ADMITTED} WHERE name NOT LIKE 'C%'")
+@query(f"SELECT pos::BIGINT AS position, name FROM {_ADMITTED} WHERE name NOT LIKE '%3'")
 def snk01_admission(spark, d):
     return _admitted(spark, d).data.select(F.col(POS).alias("position"), "name")
 
 
-@query("SELECT count(*)::BIGINT AS retained, ((SELECT count(*) FROM nation) - count(*))::BIGINT AS excluded, true AS same FROM nation WHERE n_name NOT LIKE 'C%'")
+@query("SELECT count(*)::BIGINT AS retained, ((SELECT count(*) FROM nation) - count(*))::BIGINT AS excluded, true AS same FROM nation WHERE n_name NOT LIKE '%3'")
 def snk06_reopened(spark, d):
     first = _admitted(spark, d)
     again = snapshot.open_snapshot(spark, first.path)
     return spark.createDataFrame([(again.manifest["retained"], again.manifest["excluded"], again.digest == first.digest)], "retained long, excluded long, same boolean")
 
 
-@query(f"SELECT batch::BIGINT AS batch, count(*)::BIGINT AS real, min(name) AS least FROM (SELECT name, (row_number() OVER (ORDER BY pos) - 1) // 4 AS batch FROM {_ADMITTED} WHERE name NOT LIKE 'C%') WHERE batch >= 2 GROUP BY 1")
+@query(f"SELECT batch::BIGINT AS batch, count(*)::BIGINT AS real, min(name) AS least FROM (SELECT name, (row_number() OVER (ORDER BY pos) - 1) // 4 AS batch FROM {_ADMITTED} WHERE name NOT LIKE '%3') WHERE batch >= 2 GROUP BY 1")
 def life04_replayed(spark, d):
     """An evaluation epoch of a snapshot, from a saved state on."""
     admitted = _admitted(spark, d)
