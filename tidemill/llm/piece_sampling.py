@@ -30,7 +30,7 @@ from tidemill.llm._shared import U64, blocks, freed, kept, mixed
 
 SPACE = "▁"
 #: Edges after which a worker's lattices are dropped, and characters whose lattices are made together.
-EDGE_TABLE, MADE_AT_ONCE = 2_000_000, 250_000
+EDGE_TABLE, MADE_AT_ONCE = 5_000_000, 250_000
 BASE = U64(0x9E3779B97F4A7C15)
 #: Bytes of text that are sampled together.
 SAMPLED_AT_ONCE = 1 << 20
@@ -63,10 +63,16 @@ class Lattices:
         prints = self._prints(known)
         order = np.argsort(prints)
         self.prints, self.print_ids = prints[order], np.array([self.id_of[p] for p in known], np.int32)[order]
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.prints & U64((1 << 20) - 1)).astype(np.int64)] = True
+        self.maybe, self.extends = np.zeros(1 << 20, bool), np.zeros(1 << 20, bool)
+        self.maybe[self._low(self.prints)] = True
+        # so does one of the beginnings of pieces: where none stands, no longer piece can
+        self.extends[self._low(self._prints(sorted({p[:n] for p in known for n in range(1, len(p))})))] = True
         self.clear()
 
+    @staticmethod
+    def _low(prints: np.ndarray) -> np.ndarray:
+        return (prints & U64((1 << 20) - 1)).astype(np.int64)
+
     @staticmethod
     def _prints(pieces: list[str]) -> np.ndarray:
         out, size = np.empty(len(pieces), U64), np.array(list(map(len, pieces)))
@@ -125,20 +131,25 @@ class Lattices:
         rest = np.repeat(ends, sizes) - np.arange(n)  # characters to the word's end
         inner = code == ord(SPACE)
         inner[starts[whole]] = False
-        at, h = np.flatnonzero(~inner), np.zeros(n, U64)
+        at = np.flatnonzero(~inner)
+        h, left = np.zeros(len(at), U64), rest[at]
         froms, pieces, lengths = [], [], []
         for size in range(1, self.longest + 1):
-            at = at[rest[at] >= size]
+            on = np.flatnonzero(left >= size)
+            at, h, left = at[on], h[on], left[on]
             if not len(at):
                 break
-            h[at] = h[at] * BASE + code[at + size - 1]
-            p = mixed(h[at])
-            hit = np.flatnonzero(self.maybe[(p & U64((1 << 20) - 1)).astype(np.int64)])
+            h = h * BASE + code[at + size - 1]
+            p = mixed(h)
+            low = self._low(p)
+            hit = np.flatnonzero(self.maybe[low])
             k = np.minimum(np.searchsorted(self.prints, p[hit]), len(self.prints) - 1)
             same = self.prints[k] == p[hit]
             froms.append(at[hit[same]])
             pieces.append(self.print_ids[k[same]])
             lengths.append(np.full(len(froms[-1]), size))
+            on = np.flatnonzero(self.extends[low])
+            at, h, left = at[on], h[on], left[on]
         node, piece, size = np.concatenate(froms), np.concatenate(pieces).astype(np.int64), np.concatenate(lengths)
         weight = self.weight[piece]
         bare = np.ones(n, bool)

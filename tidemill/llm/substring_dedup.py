@@ -32,6 +32,8 @@ from tidemill.llm._shared import U64, WordHashes, blocks, freed, kept, mixed, ng
 WINDOW, GRAM = 35, 20
 #: Bytes of text in a chunk, and for each hash range.
 CHUNK_BYTES, RANGE_BYTES = 4 << 20, 3 << 20
+#: Tasks that chunks are dealt to, at least, and bytes of text for each beyond that.
+LEAST_TASKS, TASK_BYTES = 32, 64 << 20
 BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 #: A chunk's texts lie in a file of the task that packed it: rows that are exchanged stay small.
@@ -401,18 +403,22 @@ class SubstringDedup:
             self.bytes += sizes.get(k, 0)
             while self.parts * self.range_bytes < self.bytes:
                 self.parts *= 2
-            own = chunks.filter(F.col("batch") == k).drop("batch")
+            own = self._spread(chunks.filter(F.col("batch") == k).drop("batch"))
             told.append(self.index.append(own.mapInArrow(freed(anchor_runs(self.parts, self.window, self.gram)), RUN), self.parts))
         self.hot += told
         return told
 
+    def _spread(self, rows: DataFrame) -> DataFrame:
+        """Chunk rows over tasks by the bytes that they stand for: the rows are small, and would be put together."""
+        return rows.repartition(max(LEAST_TASKS, self.bytes // TASK_BYTES), "chunk")
+
     def result(self, texts: bool = False) -> DataFrame:
         """doc_id, n_words, n_removed, kept_sha256 (and kept) of every document of every batch."""
         every = lambda parts: functools.reduce(DataFrame.union, parts)
-        both = every(self.chunks).join(_hot_of_chunk(every(self.hot)), "chunk", "left")
+        both = self._spread(every(self.chunks).join(_hot_of_chunk(every(self.hot)), "chunk", "left"))
         windows = both.filter("anchors is not null").mapInArrow(freed(window_runs(self.parts, self.window, self.gram)), RUN)
         flags = stage(windows.groupBy("part").applyInPandas(repeated, FLAGS), f"{self.path}/window-flags-{len(self.chunks)}-{uuid.uuid4().hex}")
-        out = both.join(_by_chunk(flags, "window_flags"), "chunk", "left").mapInArrow(freed(cleaned(self.parts, self.window, self.gram, texts)), CLEAN)
+        out = self._spread(both.join(_by_chunk(flags, "window_flags"), "chunk", "left")).mapInArrow(freed(cleaned(self.parts, self.window, self.gram, texts)), CLEAN)
         return out if texts else out.drop("kept")
 
 
