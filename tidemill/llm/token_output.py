@@ -39,12 +39,15 @@ ENCODED_AT_ONCE = 2 << 20
 OF_THE_MOST = 16
 #: Values that are packed into bits at once, a multiple of eight, and pairs that are looked up at once.
 PACKED, SCANNED = 1 << 18, 1 << 15
+#: Share of the live places with frequent pairs below which the others are dropped.
+DROPPED_BELOW = 0.6
 #: What stands behind the last symbol.
 END = np.uint32(0xFFFFFFFF)
-#: Marks that the rule cuts from the letters before them.
-MARKS = frozenset(".,;:!?)|")
 #: How the byte-level alphabet writes the byte of a space.
 SPACE_BYTE = "\u0120"
+#: Its letter for each byte: printable ones stand for themselves, the others for the letters from 256 on, in order.
+PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_LEVEL = [chr(b) if b in PRINTABLE else chr(256 + b - sum(p < b for p in PRINTABLE)) for b in range(256)]
 #: The byte-level rule by which these tokenizers cut a text before merging.
 RULE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -94,24 +97,28 @@ class Encoder(dict):
         return got
 
     def learn(self, words: list[str]) -> list[bytes | None]:
-        """The ids of words that are not in the table, LEARNED_AT_ONCE in a call of the library; None where the words
-        that it finds are not these."""
+        """The ids of words that are not in the table; None where the library finds other words.
+
+        Letters alone are one piece, which goes to the library's model as the byte-level alphabet writes it. Other
+        words are cut by the library, LEARNED_AT_ONCE in a call.
+        """
         if len(self) >= PIECE_TABLE:
             self.clear()
-        out: list[bytes | None] = []
-        for at in range(0, len(words), LEARNED_AT_ONCE):
-            some = words[at : at + LEARNED_AT_ONCE]
+        merge = self.tokenizer.model.tokenize
+        letters = [w for w in words if w.isalpha()]
+        written = [SPACE_BYTE + (w if w.isascii() else "".join(map(BYTE_LEVEL.__getitem__, w.encode()))) for w in letters]
+        found = dict(zip(letters, [array("I", [t.id for t in merge(w)]).tobytes() for w in written], strict=True))
+        rest = [w for w in words if w not in found] if len(found) < len(words) else []
+        for at in range(0, len(rest), LEARNED_AT_ONCE):
+            some = rest[at : at + LEARNED_AT_ONCE]
             (got,) = self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
             ids = np.array(got.ids, "<u4")
             heads = np.flatnonzero(self.spaced[ids])  # a word starts with the id that holds its space
-            if len(heads) != len(some):
-                out += [None] * len(some)
-                continue
-            raw, cuts = ids.tobytes(), (4 * np.append(heads, len(ids))).tolist()
-            found = list(map(raw.__getitem__, map(slice, cuts, cuts[1:])))
-            self.update(zip(some, found, strict=True))
-            out += found
-        return out
+            if len(heads) == len(some):
+                raw, cuts = ids.tobytes(), (4 * np.append(heads, len(ids))).tolist()
+                found.update(zip(some, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=False))
+        self.update(found)
+        return list(map(found.get, words))
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. The words of all are looked up together, so that each new one is asked for once."""
@@ -120,14 +127,7 @@ class Encoder(dict):
         local = dict.fromkeys(itertools.chain.from_iterable(w[1:] for w in split))
         local = dict(zip(local, map(self.get, local), strict=True))
         new = [w for w, ids in local.items() if ids is None and w and w.strip() == w]
-        # a word and its mark are two pieces, and the word is often there without it
-        marked = [w for w in new if w[-1] in MARKS and w[:-1].isalpha()]
-        bare = dict.fromkeys(w[:-1] for w in marked)
-        new = list(dict.fromkeys([*(w for w in new if not (w[-1] in MARKS and w[:-1].isalpha())), *(w for w in bare if w not in self)]))
         local.update(zip(new, self.learn(new), strict=True))
-        for w in marked:
-            ids = local.get(w[:-1]) or self.get(w[:-1])
-            local[w] = ids and ids + self.part(w[-1])
         out = []
         for text, other, words in zip(texts, odd, split, strict=True):
             first = words[0] if words else ""
@@ -227,11 +227,15 @@ def repair(ids: np.ndarray, base: int, least: int = 8) -> tuple[np.ndarray, np.n
         known, count = ordered[heads[count >= least]], count[count >= least]
         if not len(known):
             break
-        places, which = Places(known).of(pairs)
-        live[at] = False
-        at = at[places]
-        live[at] = True
         chosen = count >= int(count.max()) // OF_THE_MOST
+        if int(count.sum()) > DROPPED_BELOW * len(at):  # few places are rare, and stay for now
+            known, chosen = known[chosen], chosen[chosen]
+            places, which = Places(known).of(pairs)
+        else:
+            places, which = Places(known).of(pairs)
+            live[at] = False
+            live[at[places]] = True
+        at = at[places]
         hits, which = at[chosen[which]], which[chosen[which]]
         new = np.append(True, hits[1:] != after[hits[:-1]])
         start = np.maximum.accumulate(np.where(new, np.arange(len(hits)), 0))
