@@ -51,7 +51,7 @@ def main() -> None:
     took = {}
     for name in HEADLINE:
         times = []
-        for _ in range(4):  # the first run compiles
+        for _ in range(6):  # the first run compiles
             t = time.perf_counter()
             QUERIES[name](spark, d).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - t)

@@ -9,7 +9,7 @@ from tidemill.functions import arrays, hashing, labels, views
 from tidemill.functions import images as image_columns
 from tidemill.kernels import corruptions, images, scene, signal
 from tidemill.operators import batching, contracts, filters, metrics, snapshot, stats
-from tidemill.operators.arrow import column_kernel
+from tidemill.operators.arrow import column_kernel, stacked_kernel
 from tidemill.operators.positions import POS, concatenate, enumerate_rows, shuffled
 from tidemill.plans import stages
 from tidemill.queries._registry import query, table
@@ -163,7 +163,7 @@ def fe01_raw(spark, d):
 @query(_digested(_FRAMED, "(SELECT vec_id, sqrt(v) AS v FROM p)", 1, 2))
 def fe03_magnitude(spark, d):
     s = signal.Stft(n_fft=32, window=32, hop=8, rate=64, power=1.0)
-    return _digest(_embeddings(spark, d), _kernel(lambda x: signal.frontend(_f32(x), "stft_magnitude", s))(F.col("embedding")), 1, 2)
+    return _digest(_embeddings(spark, d), stacked_kernel(lambda x: signal.frontend(x, "stft_magnitude", s))(F.col("embedding")), 1, 2)
 
 
 @query(f"WITH {_EDGES}, {_BANK} SELECT 'htk' AS bank, m, round(sum(round(w, 4)), 3) AS total FROM w GROUP BY ALL UNION ALL (WITH {_EDGES}, {_HERTZ_BANK} SELECT 'no_nyquist', m, round(sum(round(w, 4)), 3) FROM w GROUP BY ALL)")
@@ -174,7 +174,7 @@ def fe04_mel_banks(spark, d):
 
 @query(_digested(f"{_FRAMED}, {_EDGES}, {_BANK}", "(SELECT vec_id, t, m, sum(v * w) AS v FROM p JOIN w USING (f) GROUP BY ALL)", 1, 1))
 def fe05_mel_power(spark, d):
-    return _digest(_embeddings(spark, d), _kernel(lambda x: signal.frontend(_f32(x), "mel_power", SPECTRUM, BANDS))(F.col("embedding")), 1, 1)
+    return _digest(_embeddings(spark, d), stacked_kernel(lambda x: signal.frontend(x, "mel_power", SPECTRUM, BANDS))(F.col("embedding")), 1, 1)
 
 
 #: The triangles in Hz that also weigh the last bin.
@@ -183,7 +183,7 @@ _ALL_HERTZ = _HERTZ_BANK.replace("range(16) b(f)", "range(17) b(f)")
 
 @query(_digested(f"{_FRAMED}, {_EDGES}, {_ALL_HERTZ}", "(SELECT vec_id, ln(greatest(v, 1e-10)) AS v FROM (SELECT vec_id, t, m, sum(v * w) AS v FROM p JOIN w USING (f) GROUP BY ALL))", 1, 1))
 def fe09_fbank(spark, d):
-    return _digest(_embeddings(spark, d), _kernel(lambda x: signal.frontend(_f32(x), "kaldi_fbank", SPECTRUM, BANDS))(F.col("embedding")), 1, 1)
+    return _digest(_embeddings(spark, d), stacked_kernel(lambda x: signal.frontend(x, "kaldi_fbank", SPECTRUM, BANDS))(F.col("embedding")), 1, 1)
 
 
 @query("WITH x AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), h(j, h) AS (VALUES (0, 0.5), (1, 0.25), (2, -0.125), (3, 0.0625)), y AS (SELECT vec_id, i + j - 1 AS o, sum(v * h) AS v FROM x, h GROUP BY ALL) SELECT vec_id, count(*)::INT AS n, round(sum(v), 2) + 0.0 AS total, round(max(v), 2) + 0.0 AS most FROM y WHERE o BETWEEN 0 AND 63 GROUP BY 1")

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemill.kernels import compositing, corruptions, images, signal
-from tidemill.operators.arrow import batch_kernel, column_kernel
+from tidemill.operators.arrow import batch_kernel, column_kernel, stacked_kernel
 from tidemill.queries._registry import query, table
 
 SPECTRUM = signal.Stft(n_fft=32, window=32, hop=8, rate=64)
@@ -24,7 +24,8 @@ def _features(name: str, **options):
     def f(x):
         return signal.frontend(np.asarray(x, np.float32), name, SPECTRUM, BANDS, **options)
 
-    return column_kernel(f, "array<double>")
+    # all but one treat channels alike, and take a batch of clips as channels
+    return column_kernel(f, "array<double>") if name == "ast_kaldi_fbank" else stacked_kernel(f)
 
 
 def _digest(df, x, total: int | None = 4, most: int | None = 4):
