@@ -21,7 +21,7 @@ from tidemill.operators import filters, metrics, sidecar, snapshot
 from tidemill.operators.positions import POS, enumerate_rows
 from tidemill.plans import pipeline, presets
 from tidemill.queries._registry import query, table
-from tidemill.sources import files, manifests, registry
+from tidemill.sources import files, hub, manifests, registry  # noqa: F401  hub registers its loaders
 
 
 def _folder(spark) -> str:
@@ -332,3 +332,30 @@ def flt04_after_cache(spark, d):
     folder = _folder(spark)
     rows = snapshot.protected_cache(table(spark, d, "labels"), f"{folder}/cache", stage="pre", policy=snapshot.CachePolicy(), fingerprint="f")
     return filters.filter_by_metadata(rows, toxic=0).groupBy("quality").agg(F.count("*").alias("n"))
+
+
+# --- datasets as a hub lays them out
+
+
+@query("SELECT vec_id % 3 AS label, count(*)::BIGINT AS n, 16000 AS sample_rate, sum(len(embedding))::BIGINT AS samples FROM embeddings WHERE vec_id % 4 > 0 GROUP BY 1")
+def src11_hub_audio(spark, d):
+    folder = _folder(spark)
+    t = table(spark, d, "embeddings")
+    audio = F.struct(F.lit(None).cast("binary").alias("bytes"), F.lit("x.wav").alias("path"), F.col("embedding").alias("array"), F.lit(16000).alias("sampling_rate"))
+    t = t.select(audio.alias("audio"), (F.col("vec_id") % 3).alias("label"), "vec_id")
+    for split, rows in (("train", t.filter("vec_id % 4 > 0")), ("test", t.filter("vec_id % 4 = 0"))):
+        rows.drop("vec_id").coalesce(1).write.parquet(f"{folder}/{split}")
+        os.makedirs(f"{folder}/clips/data", exist_ok=True)
+        part = next(n for n in os.listdir(f"{folder}/{split}") if n.endswith(".parquet"))
+        os.rename(f"{folder}/{split}/{part}", f"{folder}/clips/data/{split}-00000-of-00001.parquet")
+    got = registry.fetch(spark, ["hf_audio:clips"], ["train"], folder)
+    return got.groupBy("label").agg(F.count("*").alias("n"), F.max("sample_rate").alias("sample_rate"), F.sum(F.size("waveform")).alias("samples"))
+
+
+@query("SELECT n_regionkey AS label, n_name AS image FROM nation WHERE n_nationkey % 2 = 0")
+def src12_hub_images(spark, d):
+    folder = _folder(spark)
+    t = table(spark, d, "nation").filter("n_nationkey % 2 = 0")
+    t.select(F.struct(F.col("n_name").cast("binary").alias("bytes"), F.lit("x.png").alias("path")).alias("image"), F.col("n_regionkey").alias("label")).write.parquet(f"{folder}/flags/train")
+    got = registry.fetch(spark, ["hf:flags"], ["train"], folder)
+    return got.select("label", F.col("image").cast("string").alias("image"))
