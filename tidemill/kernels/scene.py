@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from tidemill.kernels.images import blur, reflect_pad, resize, splat
+from tidemill.kernels.images import blur, correlate, nearest, reflect_pad, resize, rotate, splat
 
 # --- compositing
 
@@ -141,6 +141,60 @@ def rain(image: np.ndarray, drops: float, fall: np.ndarray, width: float, blur_s
     return np.clip(image + DROP_VALUE * cover[..., None], 0, 255) * brightness
 
 
+# --- defocus and snow
+
+#: Taps of the blur that softens a disk's edge; deviations and taps of a flake's trail down and across,
+#: its angle; the threshold of the noise that flakes are cut from, its fall with intensity, and how much coarser it is.
+SOFTENING_TAPS, TRAIL_DOWN, TRAIL_ACROSS, TRAIL_DEGREES = 5, (4.0, 17), (0.5, 3), -15.0
+FLAKES_OVER, MORE_FLAKES, FLAKE_PIXELS = 2.5, 0.5, 4
+
+
+def bell(sigma: float, taps: int) -> np.ndarray:
+    """An odd number of weights of a Gaussian, that add up to one."""
+    k = np.exp(-0.5 * ((np.arange(taps) - taps // 2) / sigma) ** 2)
+    return k / k.sum()
+
+
+def spread(x: np.ndarray, down: np.ndarray, across: np.ndarray) -> np.ndarray:
+    """Correlated along both sides with odd kernels; nothing lies outside."""
+    for axis, kernel in ((0, down), (1, across)):
+        x = np.apply_along_axis(np.convolve, axis, np.pad(x, [(len(kernel) // 2,) * 2 if a == axis else (0, 0) for a in range(x.ndim)]), kernel[::-1], "valid")
+    return x
+
+
+def defocus(image: np.ndarray, radius: float, softening: float) -> np.ndarray:
+    """The mean over a disk (a round aperture's point spread), then a slight blur; mirrored borders."""
+    side = math.ceil(2 * radius) + 1 | 1
+    off_axis = np.abs(np.arange(side) - side // 2)
+    disk = (np.hypot(off_axis, off_axis[:, None]) <= radius).astype(np.float64)
+    soft = bell(softening, SOFTENING_TAPS)
+    return correlate(correlate(image, disk / (disk.sum() + 1e-8)), np.outer(soft, soft))
+
+
+def snow(image: np.ndarray, intensity: float, whiteness: float, rng) -> np.ndarray:
+    """Flakes are peaks of coarse noise that leave slanted trails; they are added to a whitened image."""
+    h, w = image.shape[:2]
+    peaks = rng.standard_normal((max(h // FLAKE_PIXELS, 1), max(w // FLAKE_PIXELS, 1))) > FLAKES_OVER - MORE_FLAKES * intensity
+    trails = rotate(spread(nearest(peaks.astype(np.float64), h, w), bell(*TRAIL_DOWN), bell(*TRAIL_ACROSS)), TRAIL_DEGREES)
+    return mixed(image, 255.0, whiteness) + 255 * intensity * trails[..., None]
+
+
+# --- motion
+
+
+def trail(image: np.ndarray, angle: float, radius: float, sigma: float) -> np.ndarray:
+    """What a moving camera sees: the image now and where it was, a pixel apart, ever fainter, over twice the radius.
+
+    The farthest place counts by the part of its pixel that is still within reach.
+    """
+    reach = 2 * radius + 1
+    back = np.arange(math.ceil(reach))
+    share = np.exp(-0.5 * (back / sigma) ** 2) * np.minimum(reach - back, 1.0)
+    rows, columns = (np.arange(n, dtype=np.float64) for n in image.shape[:2])
+    seen = sum(w * bilinear(image, rows + t * math.sin(angle), columns + t * math.cos(angle)) for t, w in zip(back, share, strict=True))
+    return seen / share.sum()
+
+
 # --- droplets on the lens
 
 #: How many are laid out, their aspects, how much smaller they show the scene, their blur, their rim.
