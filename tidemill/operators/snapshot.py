@@ -6,16 +6,16 @@ do not depend on how tasks were run. A folder without its manifest is not a snap
 
 from __future__ import annotations
 
-import hashlib
 import json
-import os
-import shutil
 from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.hashing import canonical_json, digest_of
+from tidemill.operators import storage
 from tidemill.operators.positions import POS
 
 CACHE_STATES = ("missing", "incomplete", "corrupt", "complete")
@@ -127,7 +127,7 @@ def admit(spark, sources: list[Source], requested: dict[str, tuple[str, ...]], *
     Codes: those of ``preflight``, asset_missing, digest_mismatch, schema_mismatch, validation_failed,
     selection_failed. Assets are read by Spark, so any store that it reads will do.
     """
-    if os.path.exists(path):
+    if storage.exists(path):
         raise AdmissionError("path_exists", detail=path)
     issues = preflight(sources, requested)
     if issues is not None and (bad := issues.orderBy("source", "record_id", "issue").first()):
@@ -139,10 +139,14 @@ def admit(spark, sources: list[Source], requested: dict[str, tuple[str, ...]], *
             continue
         rank = F.array_position(F.array(*map(F.lit, wanted)), F.col("split"))
         rows = s.records.filter(F.col("split").isin(*wanted)).withColumn("_source", F.lit(order)).withColumn("_split", rank)
-        paths = [r["path"] for r in rows.select("path").distinct().toLocalIterator()]
-        files = spark.read.format("binaryFile").load(sorted(paths)) if paths else None
-        if files is None:
+        # folders, not files, are listed on the driver
+        folders = [r[0] for r in rows.select(F.regexp_replace("path", "/[^/]*$", "")).distinct().collect()]
+        there = sorted(f for f in folders if storage.exists(f))
+        if not folders:
             continue
+        if not there:
+            raise AdmissionError("asset_missing", rows.orderBy("_split", "record_id").first()["record_id"], s.name)
+        files = spark.read.format("binaryFile").load(there)
         files = files.select(F.regexp_replace("path", "^file:(//)?", "").alias("_path"), "content")
         rows = rows.join(files, F.col("path") == F.col("_path"), "left").drop("_path")
         issue = F.when(F.col("content").isNull(), "asset_missing").when(F.sha2("content", 256) != F.col("sha256"), "digest_mismatch")
@@ -182,27 +186,25 @@ def admit(spark, sources: list[Source], requested: dict[str, tuple[str, ...]], *
             raise AdmissionError("reconciliation_failed")
         counts = {r["disposition"]: r["n"] for r in report.groupBy("disposition").agg(F.count("*").alias("n")).collect()}
         body = {"inventory": inventory_id, "schema": json.loads(schema.json()), "retained": counts.get("retained", 0), "excluded": counts.get("excluded", 0), "selection": selection[0] if selection else None, "rows": table_digest(data, data.columns), "report": table_digest(report, report.columns)}
-        shutil.rmtree(f"{path}/admitted")
+        storage.remove(f"{path}/admitted")
         publish(path, body | {"digest": digest_of(body)})
     except BaseException:
-        shutil.rmtree(path, ignore_errors=True)
+        storage.remove(path)
         raise
     return open_snapshot(spark, path)
 
 
 def publish(path: str, manifest: dict) -> None:
     """The manifest under its final name, at once."""
-    with open(f"{path}/manifest.pending", "w", encoding="utf-8") as out:
-        out.write(canonical_json(manifest))
-        out.flush()
-        os.fsync(out.fileno())
-    os.replace(f"{path}/manifest.pending", f"{path}/manifest.json")
+    storage.write_text(f"{path}/manifest.json", canonical_json(manifest))
 
 
 def open_snapshot(spark, path: str) -> Admitted:
     """SNK06: check the manifest, the digests, the report and the rows; no source is needed."""
     try:
-        manifest = json.load(open(f"{path}/manifest.json", encoding="utf-8"))
+        manifest = json.loads(storage.read_text(f"{path}/manifest.json"))
+    except storage.Damaged as e:
+        raise AdmissionError("corrupt", detail=str(e)) from None
     except (OSError, ValueError) as e:
         raise AdmissionError("incomplete", detail=str(e)) from None
     body = {k: v for k, v in manifest.items() if k != "digest"}
@@ -229,29 +231,23 @@ def fingerprint(**parts) -> str:
     return digest_of(parts)
 
 
-def _files(path: str) -> dict[str, str]:
-    out = {}
-    for folder, _, names in os.walk(path):
-        for n in sorted(names):
-            if n.endswith(".parquet"):
-                with open(f"{folder}/{n}", "rb") as f:
-                    out[os.path.relpath(f"{folder}/{n}", path)] = hashlib.file_digest(f, "sha256").hexdigest()
-    return out
-
-
 def inspect_cache(path: str) -> str:
     """SNK10: missing, incomplete, corrupt or complete, from its files alone."""
-    if not os.path.exists(path):
+    if not storage.exists(path):
         return "missing"
-    if not os.path.exists(f"{path}/manifest.json"):
+    if not storage.exists(f"{path}/manifest.json"):
         return "incomplete"
     try:
-        manifest = json.load(open(f"{path}/manifest.json", encoding="utf-8"))
-        return "complete" if _files(path) == manifest["files"] else "corrupt"
-    except (ValueError, KeyError):
+        manifest = json.loads(storage.read_text(f"{path}/manifest.json"))
+        return "complete" if _digests(path) == manifest["files"] else "corrupt"
+    except (ValueError, KeyError, PySparkException, Py4JError):  # a store that keeps check sums refuses to read a changed file
         return "corrupt"
 
 
+def _digests(path: str) -> dict[str, str]:
+    return {name: digest for name, (digest, _) in storage.data_files(f"{path}/data").items()}
+
+
 def protected_cache(df: DataFrame, path: str, *, stage: str, policy: CachePolicy, fingerprint: str) -> DataFrame:
     """SNK09: the rows from a complete cache of the same fingerprint, else stored and read again.
 
@@ -259,21 +255,21 @@ def protected_cache(df: DataFrame, path: str, *, stage: str, policy: CachePolicy
     """
     spark, state = df.sparkSession, inspect_cache(path)
     if state == "complete":
-        manifest = json.load(open(f"{path}/manifest.json", encoding="utf-8"))
+        manifest = json.loads(storage.read_text(f"{path}/manifest.json"))
         if manifest["fingerprint"] != fingerprint or manifest["stage"] != stage or manifest["schema"] != df.schema.jsonValue():
             raise CacheError("incompatible", path)
         return spark.read.schema(df.schema).parquet(f"{path}/data")
     if state != "missing":
         raise CacheError(state, path)
-    os.makedirs(path)
+    storage.make_folder(path)
     rows = df if policy.most_rows is None else df.limit(policy.most_rows + 1)
     rows.write.parquet(f"{path}/data")
     stored = spark.read.schema(df.schema).parquet(f"{path}/data")
-    n, size = stored.count(), sum(os.path.getsize(f"{path}/{f}") for f in _files(path))
+    n, kept = stored.count(), storage.data_files(f"{path}/data")
+    size = sum(length for _, length in kept.values())
     over = policy.most_rows is not None and n > policy.most_rows or policy.most_bytes is not None and size > policy.most_bytes
     if over:
-        with open(f"{path}/failure.json", "w", encoding="utf-8") as out:
-            out.write(canonical_json({"code": "quota_exceeded", "rows": n, "bytes": size, "policy": asdict(policy)}))
+        storage.write_text(f"{path}/failure.json", canonical_json({"code": "quota_exceeded", "rows": n, "bytes": size, "policy": asdict(policy)}))
         raise CacheError("quota_exceeded", f"{n} rows, {size} bytes")
-    publish(path, {"fingerprint": fingerprint, "stage": stage, "schema": df.schema.jsonValue(), "rows": n, "bytes": size, "files": _files(path)})
+    publish(path, {"fingerprint": fingerprint, "stage": stage, "schema": df.schema.jsonValue(), "rows": n, "bytes": size, "files": {name: digest for name, (digest, _) in kept.items()}})
     return stored
