@@ -216,15 +216,15 @@ def _distinct(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 #: What a group of lists is told by.
 KEYS = ["part", "number", "first", "second"]
-MEMBERS = "part int, number int, first int, second int, f long"
+MEMBERS = "part int, number int, block int, f long"
 
 
 def _members(batches):
-    """Groups of lists -> the classes on each one's lists."""
+    """Lists -> the classes on each one's."""
     for batch in batches:
-        for *key, b in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5)), strict=True):
+        for part, number, block, b in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 7)), strict=True):
             f = np.unique(np.frombuffer(b, POSTING)["f"])
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(f), k, "i4")) for k in key), pa.array(f)], [*KEYS, "f"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(f), k, "i4")) for k in (part, number, block)), pa.array(f)], ["part", "number", "block", "f"])
 
 
 def partners(percent: int, all_pairs: bool, within: bool = False):
@@ -361,15 +361,19 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
 
     some = each.filter("doc_id is not null").groupBy("f").agg(F.min("doc_id").alias("doc_id"))
     marks = profile.filter("doc_id is not null").groupBy("f").agg(F.first("parity").alias("parity"))
+    members = stage(lists.mapInArrow(_members, MEMBERS).join(marks, "f"), f"{path}/members")
     alone = lists.select("part", "number", F.col("block").alias("first"), F.col("block").alias("second"), "block", "postings")
     every = in_pairs(lists, percent)
 
     def pairs_of(groups: DataFrame, known: DataFrame | None, all_pairs: bool, name: str) -> DataFrame:
-        placed = groups.mapInArrow(_members, MEMBERS).distinct().join(marks, "f")
         if known is None:
-            placed = placed.withColumn("c", F.col("f"))
+            placed = members.withColumn("c", F.col("f"))
         else:
-            placed = placed.join(known.select(F.col("node").alias("f"), "component"), "f", "left").withColumn("c", F.coalesce("component", "f")).drop("component")
+            placed = members.join(known.select(F.col("node").alias("f"), "component"), "f", "left").withColumn("c", F.coalesce("component", "f")).drop("component")
+        # short lists are a group as they are; the members of a block go with it
+        short = placed.filter("number = 0").select("part", "number", F.lit(0).alias("first"), F.lit(0).alias("second"), "f", "parity", "c")
+        where = groups.filter("number > 0").select(*KEYS, "block")
+        placed = short.union(where.join(placed, ["part", "number", "block"]).select(*KEYS, "f", "parity", "c"))
         got = groups.groupBy(*KEYS).cogroup(placed.groupBy(*KEYS)).applyInPandas(partners(percent, all_pairs, count_links), "a long, b long")
         return stage(got.distinct(), f"{path}/{name}-pairs")
 

@@ -30,7 +30,7 @@ from tidemill.llm._shared import U64, blocks, freed, kept, mixed
 
 SPACE = "▁"
 #: Edges after which a worker's lattices are dropped, and characters whose lattices are made together.
-EDGE_TABLE, MADE_AT_ONCE = 5_000_000, 250_000
+EDGE_TABLE, MADE_AT_ONCE = 3_000_000, 250_000
 BASE = U64(0x9E3779B97F4A7C15)
 #: Bytes of text that are sampled together.
 SAMPLED_AT_ONCE = 1 << 20
