@@ -8,6 +8,8 @@ the place of its document in that order (``mix_position``): the mixture is read
 
 from __future__ import annotations
 
+import itertools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +36,11 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A key that repeats with different texts is as many documents, each told by a hash of key and text; of rows that
     are equal in both, one stays. Rows without a key take no part and stay. An empty table stays empty.
     """
-    node = F.xxhash64("doc_id", "text").alias("_node")
-    keyed = docs.filter("doc_id is not null").select("*", node)
-    found = jaccard_components(keyed, key="_node").select(F.col("doc_id").alias("_node"), "component_id").distinct()
-    least = keyed.select("doc_id", "_node").join(found, "_node").groupBy("component_id").agg(F.min(F.struct("doc_id", "_node"))["_node"].alias("_node"))
-    kept = keyed.join(least.select("_node"), "_node", "left_semi").dropDuplicates(["_node"])
+    node = next(n for n in (f"_node{k}" for k in itertools.count()) if n not in docs.columns)
+    keyed = docs.filter("doc_id is not null").select("*", F.xxhash64("doc_id", "text").alias(node))
+    found = jaccard_components(keyed, key=node).select(F.col("doc_id").alias(node), "component_id").distinct()
+    least = keyed.select("doc_id", node).join(found, node).groupBy("component_id").agg(F.min(F.struct("doc_id", node))[node].alias(node))
+    kept = keyed.join(least.select(node), node, "left_semi").dropDuplicates([node])
     return kept.select(*docs.columns).union(docs.filter("doc_id is null"))
 
 
