@@ -11,7 +11,6 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemill.functions.hashing import canonical_json, digest_of, epoch_seed
 from tidemill.operators import batching
