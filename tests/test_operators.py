@@ -155,6 +155,20 @@ def test_segments_over_capacity(spark):
     assert {r["issue"] for r in segments.index_problems(index, 5, public="p", number="r").collect()} == {"duplicate_public", "duplicate_raw", "out_of_range"}
 
 
+def test_targets_keep_segment_zero_where_no_number_is_void(spark, tmp_path):
+    pixels = spark.createDataFrame([(1, 0), (1, 0), (1, 4), (1, 6), (1, None)], "image long, segment_id long")
+    table = spark.createDataFrame([(1, 0, 2, False), (1, 4, 0, False), (1, 6, 0, False)], "image long, segment_id long, category_id int, is_crowd boolean")
+    of = lambda **void: {tuple(r) for r in segments.panoptic_targets(pixels, table, "image", classes=(0, 2), things=(2,), capacity=5, **void).select("target", "class_id", "segment_id", "pixels").collect()}
+    assert of(void=None) == {(0, 0, None, 2), (1, 2, 0, 2)} and of() == {(0, 0, 0, 2)}
+    # the query: order 0 is a thing of image 2, orders 1 and 2 are stuff of image 0, order 3 is a crowd
+    orders = [(0, 2, "O"), (1, 0, "F"), (2, 100, "O"), (3, 2, "P")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, 7, n) for k in range(4) for n in range(3)], "l_orderkey long, l_partkey long, l_linenumber long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    from tidemill.queries import QUERIES
+
+    assert sorted(map(tuple, QUERIES["tgt04_targets"](spark, str(tmp_path)).collect())) == [(0, 0, 0, 6), (2, 2, 0, 3)]
+
+
 def _source(spark, folder, n=6, **change):
     recs = []
     for i in range(n):

@@ -84,14 +84,14 @@ def things_with_targets(things: DataFrame, image: str, *, capacity: Column, poli
     return t.drop(*[c for c in ("_rank", "_room", "_n", "_last", "_needed", "_fits") if c in t.columns])
 
 
-def panoptic_targets(pixels: DataFrame, segments: DataFrame, image: str, *, classes: tuple[int, ...], things: tuple[int, ...], capacity: int, void: int = 0, policy: str = "error", valid: str | None = None) -> DataFrame:
+def panoptic_targets(pixels: DataFrame, segments: DataFrame, image: str, *, classes: tuple[int, ...], things: tuple[int, ...], capacity: int, void: int | None = 0, policy: str = "error", valid: str | None = None) -> DataFrame:
     """TGT04: one row a target: image, target, class_id, segment_id (void for stuff and merged), is_thing, pixels.
 
     Stuff classes that are seen come first, in class order, then things by class and number, then merged rests.
-    Crowds, void and invalid pixels give none.
+    Crowds, void and invalid pixels give none. Without a number for void (None) every number is a segment's, and null is void.
     """
     keys = [image, "segment_id"]
-    seen = pixels.filter(F.col("segment_id") != void)
+    seen = pixels.filter("segment_id is not null" if void is None else F.col("segment_id") != void)
     if valid:
         seen = seen.filter(valid)
     counted = seen.groupBy(*keys).agg(F.count("*").alias("area"))
