@@ -42,6 +42,16 @@ def test_frontends_are_finite(name):
     assert np.isfinite(got).all() and got.ndim in (2, 3)
 
 
+#: Vectors whose sums lie within 1e-6 of where rounding turns, and the digests of the SQL.
+@pytest.mark.parametrize(("name", "seed", "want"), [("fe08_logmel", 183729, (72, 183.3, 4.5))])
+def test_digests_round_as_64_bits_do(spark, tmp_path, name, seed, want):
+    from tidemill.queries import QUERIES
+
+    x = np.random.default_rng(seed).standard_normal(64).astype(np.float32)
+    spark.createDataFrame([(5, 1, x.tolist())], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()] == [(5, *want)]
+
+
 def test_normalisation_and_compression():
     x = signal.mel_spectrogram(TONE, signal.Stft(512, 400, 160, rate=16000), signal.Mel(16))
     y = signal.normalise(x, signal.Norm("per_clip_mean_std"))

@@ -1,6 +1,7 @@
 """Numeric kernels over arrays as queries; those that draw nothing are held against the formulas written out in SQL.
 
-Kernels compute in 32 bits, so digests are rounded to where that does not show.
+Kernels compute in 32 bits unless told otherwise, so digests are rounded to where that seldom shows; a sum next to where
+rounding turns needs the 64 bits of the SQL.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def fe02_stft(spark, d):
 @query(_digested(f"{_FRAMED}, {_EDGES}, {_BANK}, {_BANDS}", "(SELECT vec_id, ln(greatest(v, 1e-10)) AS v FROM b)", 1, 1))
 def fe08_logmel(spark, d):
     v = _vectors(spark, d)
-    return _digest(v, _features("logmel")(F.col("embedding")), 1, 1)
+    return _digest(v, _features("logmel", dtype=np.float64)(F.col("embedding")), 1, 1)
 
 
 @query(_digested(f"{_FRAMED}, {_EDGES}, {_BANK}, {_BANDS}", "(SELECT vec_id, t, j, sum(ln(greatest(v, 1e-6)) * 0.5 * cos(pi() / 8 * (m + 0.5) * j)) AS v FROM b, range(6) a(j) GROUP BY ALL)", 1, 1))
