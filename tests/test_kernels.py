@@ -43,7 +43,7 @@ def test_frontends_are_finite(name):
 
 
 #: Vectors whose sums lie within 1e-6 of where rounding turns, and the digests of the SQL.
-@pytest.mark.parametrize(("name", "seed", "want"), [("fe08_logmel", 183729, (72, 183.3, 4.5))])
+@pytest.mark.parametrize(("name", "seed", "want"), [("fe08_logmel", 183729, (72, 183.3, 4.5)), ("fe10_mfcc", 45029, (54, 97.2, 14.4))])
 def test_digests_round_as_64_bits_do(spark, tmp_path, name, seed, want):
     from tidemill.queries import QUERIES
 
@@ -52,6 +52,13 @@ def test_digests_round_as_64_bits_do(spark, tmp_path, name, seed, want):
     assert [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()] == [(5, *want)]
 
 
+def test_coefficients_of_bands_below_the_floor_are_those_of_the_sql(spark, tmp_path):
+    from tidemill.queries import QUERIES
+
+    spark.createDataFrame([(0, 1, [0.0] * 64), (1, 1, [1.0] * 64)], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted(map(tuple, QUERIES["fe10_mfcc"](spark, str(tmp_path)).collect())) == [(0, 54, -497.4, 0.0), (1, 54, -105.5, 8.5)]
+
+
 def test_normalisation_and_compression():
     x = signal.mel_spectrogram(TONE, signal.Stft(512, 400, 160, rate=16000), signal.Mel(16))
     y = signal.normalise(x, signal.Norm("per_clip_mean_std"))

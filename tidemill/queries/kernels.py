@@ -69,7 +69,7 @@ def fe08_logmel(spark, d):
 @query(_digested(f"{_FRAMED}, {_EDGES}, {_BANK}, {_BANDS}", "(SELECT vec_id, t, j, sum(ln(greatest(v, 1e-6)) * 0.5 * cos(pi() / 8 * (m + 0.5) * j)) AS v FROM b, range(6) a(j) GROUP BY ALL)", 1, 1))
 def fe10_mfcc(spark, d):
     v = _vectors(spark, d)
-    return _digest(v, _features("mfcc", count=6)(F.col("embedding")), 1, 1)
+    return _digest(v, _features("mfcc", count=6, c=signal.Log(amin=1e-6), dtype=np.float64)(F.col("embedding")), 1, 1)
 
 
 @query()
