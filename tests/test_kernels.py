@@ -43,7 +43,7 @@ def test_frontends_are_finite(name):
 
 
 #: Vectors whose sums lie within 1e-6 of where rounding turns, and the digests of the SQL.
-@pytest.mark.parametrize(("name", "seed", "want"), [("fe08_logmel", 183729, (72, 183.3, 4.5)), ("fe10_mfcc", 45029, (54, 97.2, 14.4))])
+@pytest.mark.parametrize(("name", "seed", "want"), [("fe08_logmel", 183729, (72, 183.3, 4.5)), ("fe10_mfcc", 45029, (54, 97.2, 14.4)), ("fe12_emphasised_logmel", 114178, (64, 93.5, 1.86))])
 def test_digests_round_as_64_bits_do(spark, tmp_path, name, seed, want):
     from tidemill.queries import QUERIES
 

@@ -81,7 +81,7 @@ def fe11_clip_fbank(spark, d):
 @query(_digested(f"{_EMPHASISED}, {_MIRRORED.format(last=62, frames=8)}, {_POWERS}, {_EDGES}, {_HERTZ_BANK}, {_BANDS}", "(SELECT vec_id, 0.2 * ln(v + 1e-5) + 0.9 AS v FROM b)", 1, 2))
 def fe12_emphasised_logmel(spark, d):
     v = _vectors(spark, d)
-    return _digest(v, _features("efficientat_logmel")(F.col("embedding")), 1, 2)
+    return _digest(v, _features("efficientat_logmel", dtype=np.float64)(F.col("embedding")), 1, 2)
 
 
 @query(_digested(f"{_SAMPLES}, w AS (SELECT o, i, greatest(0, 1 - abs(i - ((o + 0.5) / 0.375 - 0.5)) * 0.375) AS w FROM range(24) a(o), range(64) b(i))", "(SELECT vec_id, o, sum(v * w) / sum(w) AS v FROM x JOIN w USING (i) GROUP BY ALL)", 2, 2))
