@@ -271,6 +271,28 @@ def test_few_segmentations_are_all_given_however_unlikely():
     assert len(piece_sampling.top_k(table, ["the"], np.array([3], np.uint64), 50)[0]) == len(paths)
 
 
+def test_a_full_table_of_lattices_is_used_again_and_words_do_not_change_each_other(monkeypatch):
+    monkeypatch.setattr(piece_sampling, "EDGE_TABLE", 20_000)
+    table = piece_sampling.Lattices(tokenizers_path("piece_bpe_32k.model"))
+    odd = ["internationalisation", "", "\u2581x\u2581", "\U0001f600\U00013000", "aé" * 50, piece_sampling.CONTINUES + "\u2581theatre"]
+
+    def edges(node):  # of the first node and those that follow each longest piece
+        while node >= 0:
+            e = slice(table.first[node], table.first[node] + table.count[node])
+            yield table.piece[e].tolist(), table.logp[e].tolist(), table.cdf[e].tolist(), table.rest[e].tolist()
+            node = table.next[e][0]
+
+    found, rooms = [], []
+    for turn in range(8):  # each fills the table
+        table.of([f"word{turn}x{i}ing" for i in range(3000)])
+        found.append([list(edges(v)) for v in table.of([*odd, *(f"other{i}{turn}" for i in range(500))])[: len(odd)]])
+        rooms.append(table.cdf)
+    assert all(x == found[0] for x in found)
+    assert all(x is rooms[2] for x in rooms[3:])
+    table.clear()
+    assert not table.words and not len(table.cdf)
+
+
 def test_sampled_pieces_give_every_text_back(spark, docs):
     odd = [(898, "internationalisation of " * 3000), (899, "aé" * 100_000 + " b"), (900, "\U0001f600"), (901, "▁ a▁b"), (902, "\U00013000x\U00013001"), (903, "tab\t and\nline")]
     df = docs.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))

@@ -18,6 +18,7 @@ The model holds merges, not probabilities: a piece of rank r weighs -log(r + 2),
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,12 +31,26 @@ from tidemill.llm._shared import U64, blocks, freed, kept, mixed
 
 SPACE = "▁"
 #: Edges after which a worker's lattices are dropped, and characters whose lattices are made together.
-EDGE_TABLE, MADE_AT_ONCE = 3_000_000, 250_000
-BASE = U64(0x9E3779B97F4A7C15)
+EDGE_TABLE, MADE_AT_ONCE = 3_000_000, 60_000
+BASE, SPREAD = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9)
 #: Bytes of text that are sampled together.
 SAMPLED_AT_ONCE = 1 << 20
 #: Characters of a word after which the next piece begins anew, and what marks the rest of such a word: no character.
 LONGEST_WORD, CONTINUES = 1 << 16, "\ud800"
+#: Stands after a word among others: no character either.
+END = "\udfff"
+
+
+class Known(dict):
+    """Word -> its first node. One not known yet is noted as new and gets -1 less its place among the new ones."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        got = self[word] = -1 - len(self.new)
+        self.new.append(word)
+        return got
 
 
 class Lattices:
@@ -55,23 +70,29 @@ class Lattices:
                 self.bytes_of[i] = bytes([int(p[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or SPACE in p[1:]):
                 self.id_of[p] = i
+        self.bytes_of = np.array(self.bytes_of, object)
         self.weight = np.array([-np.log(max(0.0, -model.get_score(i)) + 2.0) for i in range(n)])
         self.byte_weight = -float(np.log(n + 2.0))
         self.longest = max(map(len, self.id_of))
-        # pieces by a hash of their characters; a table of its low bits turns most other strings away
+        # pieces by a hash of their characters; tables of its top bits lead to them, and turn other strings away
         known = list(self.id_of)
         prints = self._prints(known)
         order = np.argsort(prints)
         self.prints, self.print_ids = prints[order], np.array([self.id_of[p] for p in known], np.int32)[order]
-        self.maybe, self.extends = np.zeros(1 << 20, bool), np.zeros(1 << 20, bool)
-        self.maybe[self._low(self.prints)] = True
-        # so does one of the beginnings of pieces: where none stands, no longer piece can
-        self.extends[self._low(self._prints(sorted({p[:n] for p in known for n in range(1, len(p))})))] = True
+        top = self._top(self.prints)
+        self.kind = np.zeros(1 << 20, np.uint8)  # 1: a piece may stand here; 2: the beginning of one, so a longer one may
+        self.kind[top] = 1
+        self.kind[self._top(self._prints(sorted({p[:n] for p in known for n in range(1, len(p))})))] |= 2
+        # pieces whose top bits agree stand next to each other
+        self.slot = np.zeros(1 << 20, np.int32)
+        self.slot[top[::-1]] = np.arange(len(top), dtype=np.int32)[::-1]
+        self.crowd = int(np.unique(top, return_counts=True)[1].max())
+        self.words = Known()
         self.clear()
 
     @staticmethod
-    def _low(prints: np.ndarray) -> np.ndarray:
-        return (prints & U64((1 << 20) - 1)).astype(np.int64)
+    def _top(prints: np.ndarray) -> np.ndarray:
+        return (prints >> U64(44)).astype(np.int64)
 
     @staticmethod
     def _prints(pieces: list[str]) -> np.ndarray:
@@ -82,170 +103,194 @@ class Lattices:
             h = np.zeros(len(which), U64)
             for c in code.T:
                 h = h * BASE + c
-            out[which] = mixed(h)
+            out[which] = h * SPREAD
         return out
 
     def clear(self) -> None:
-        self.words: dict[str, int] = {}
+        """Forget all words and give their memory back."""
+        self.first, self.count = np.empty(0, np.int64), np.empty(0, np.int32)  # of each node
+        self.cdf, self.logp, self.rest = (np.empty(0) for _ in range(3))  # of each edge; rest: of the others
+        self.piece, self.next = np.empty(0, np.int32), np.empty(0, np.int64)
+        self.forget()
+
+    def forget(self) -> None:
+        """Forget all words; their memory is used again."""
+        self.words.clear()
         self.nodes = self.edges = 0
-        self.first, self.count = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int32)  # of each node
-        self.cdf, self.logp, self.rest = (np.empty(1 << 18) for _ in range(3))  # of each edge; rest: of the others
-        self.piece, self.next = np.empty(1 << 18, np.int32), np.empty(1 << 18, np.int64)
 
     def of(self, words: list[str]) -> np.ndarray:
         if self.edges > EDGE_TABLE:
-            self.clear()
-        known = self.words
-        some, size = [], 0
-        for w in sorted(set(words).difference(known)):
-            some.append(w)
-            size += len(w) + 1
-            if size >= MADE_AT_ONCE:
-                self.add(some)
-                some, size = [], 0
+            self.forget()
+        nodes = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        some, self.words.new = self.words.new, []
         if some:
-            self.add(some)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            size = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
+            cuts = [0, *(np.flatnonzero(np.diff(size // MADE_AT_ONCE)) + 1).tolist(), len(some)]
+            made = np.concatenate([self.add(some[a:b]) for a, b in itertools.pairwise(cuts)])
+            new = np.flatnonzero(nodes < 0)
+            nodes[new] = made[-1 - nodes[new]]
+        return nodes
 
     def _room(self, nodes: int, edges: int) -> None:
-        for names, need in ((("first", "count"), self.nodes + nodes), (("cdf", "logp", "rest", "piece", "next"), self.edges + edges)):
+        # what is not written yet takes no memory: room for all that a full table may come to
+        for names, need, least in ((("first", "count"), self.nodes + nodes, EDGE_TABLE), (("cdf", "logp", "rest", "piece", "next"), self.edges + edges, EDGE_TABLE * 5 // 4)):
             for name in names:
                 old = getattr(self, name)
                 if len(old) < need:
-                    grown = np.empty(max(need, len(old) * 5 // 4), old.dtype)
+                    grown = np.empty(max(need, least, len(old) * 5 // 4), old.dtype)
                     grown[: len(old)] = old
                     setattr(self, name, grown)
 
-    def add(self, words: list[str]) -> None:
-        """Append the lattices of "a space and the word", or of a long word's next stretch, all at once.
+    def _matches(self, code: np.ndarray, at: np.ndarray):
+        """Of each length the places, out of ``at``, where a piece of this length begins, and its id."""
+        h = np.zeros(len(at), U64)
+        for size in range(1, self.longest + 1):
+            if not len(at):
+                return
+            h *= BASE
+            h += code[at + (size - 1)]
+            p = h * SPREAD
+            top = (p >> U64(44)).view(np.int64)
+            kind = self.kind[top]
+            hit = np.flatnonzero(kind & 1)
+            want, k = p[hit], self.slot[top[hit]]
+            same = self.prints[k] == want
+            for _ in range(self.crowd - 1):
+                k = np.where(same, k, np.minimum(k + 1, len(self.prints) - 1))
+                same = self.prints[k] == want
+            yield size, at[hit[same]], self.print_ids[k[same]]
+            on = np.flatnonzero(kind & 2)
+            at, h = at[on], h[on]
+
+    def add(self, words: list[str]) -> np.ndarray:
+        """Append the lattices of "a space and the word", or of a long word's next stretch, all at once; their nodes.
 
         A character that no piece starts at is a chain of byte pieces; a mark that stands for a space but is none too.
+        After each word stands an end, a node without edges and a character of no piece.
         """
-        whole = np.array([w[:1] != CONTINUES for w in words], bool)
-        texts = [SPACE + w if is_whole else w[1:] for w, is_whole in zip(words, whole.tolist(), strict=True)]
-        code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(U64)
-        sizes = np.array(list(map(len, texts)), np.int64)
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
+        text = SPACE + (END + SPACE).join(words) + END
+        sizes, whole = np.fromiter(map(len, words), np.int64, len(words)) + 1, slice(None)
+        if CONTINUES in text:
+            whole = np.array([w[:1] != CONTINUES for w in words], bool)
+            texts = [SPACE + w if is_whole else w[1:] for w, is_whole in zip(words, whole.tolist(), strict=True)]
+            text = END.join(texts) + END
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(U64)
         n = len(code)
-        rest = np.repeat(ends, sizes) - np.arange(n)  # characters to the word's end
+        ends = np.cumsum(sizes + 1) - 1
+        starts = ends - sizes
+        is_end = np.zeros(n, bool)
+        is_end[ends] = True
+        far = np.repeat(ends, sizes + 1) - np.arange(n)  # characters to the word's end
         inner = code == ord(SPACE)
         inner[starts[whole]] = False
-        at = np.flatnonzero(~inner)
-        h, left = np.zeros(len(at), U64), rest[at]
-        froms, pieces, lengths = [], [], []
-        for size in range(1, self.longest + 1):
-            on = np.flatnonzero(left >= size)
-            at, h, left = at[on], h[on], left[on]
-            if not len(at):
-                break
-            h = h * BASE + code[at + size - 1]
-            p = mixed(h)
-            low = self._low(p)
-            hit = np.flatnonzero(self.maybe[low])
-            k = np.minimum(np.searchsorted(self.prints, p[hit]), len(self.prints) - 1)
-            same = self.prints[k] == p[hit]
-            froms.append(at[hit[same]])
-            pieces.append(self.print_ids[k[same]])
-            lengths.append(np.full(len(froms[-1]), size))
-            on = np.flatnonzero(self.extends[low])
-            at, h, left = at[on], h[on], left[on]
-        node, piece, size = np.concatenate(froms), np.concatenate(pieces).astype(np.int64), np.concatenate(lengths)
-        weight = self.weight[piece]
-        bare = np.ones(n, bool)
-        bare[node] = False
-        bare = np.flatnonzero(bare)
-        to = node + size
-        extra = n + 1  # further nodes, for the bytes of a character after the first
-        chain_from, chain_piece, chain_to = [], [], []
-        if len(bare):
-            raw = [chr(int(c)).encode("utf-8", "surrogatepass") for c in code[bare]]
-            node = np.concatenate([node, bare])
-            piece = np.concatenate([piece, self.byte_id[[r[0] for r in raw]]])
-            weight = np.concatenate([weight, [self.byte_weight * len(r) for r in raw]])
-            size = np.concatenate([size, np.ones(len(bare), np.int64)])
-            to = np.concatenate([to, bare + 1])
-            for k, r in enumerate(raw):
-                place = len(to) - len(bare) + k
-                after = int(to[place])
-                if len(r) > 1:
-                    to[place] = extra
-                    for b in r[1:]:
-                        chain_from.append(extra)
-                        chain_piece.append(int(self.byte_id[b]))
-                        extra += 1
-                        chain_to.append(extra)
-                    chain_to[-1] = after
+        found = list(self._matches(np.append(code, np.full(self.longest, ord(END), U64)), np.flatnonzero(~(inner | is_end))))
+        count = np.zeros(n, np.int32)
+        for _, at, _ in found:
+            count[at] += 1
+        bare = np.flatnonzero((count == 0) & ~is_end)
+        count[bare] = 1
+        # edges by their node's distance from the word's end, then by node, of a node the longest piece first: as a
+        # rule it is the likeliest
+        by_far = np.argsort(far.astype(np.int16) if sizes.max() < 1 << 15 else far, kind="stable")
+        spans = count[by_far].astype(np.int64)
+        firsts = np.cumsum(spans) - spans
+        first = np.empty(n, np.int64)
+        first[by_far] = firsts
+        m = int(spans.sum())
+        piece, to, weight = np.empty(m, np.int32), np.empty(m, np.int64), np.empty(m)
+        place = first.copy()
+        for size, at, ids in reversed(found):
+            e = place[at]
+            place[at] += 1
+            piece[e], to[e] = ids, at + size
+            weight[e] = self.weight[ids]
+        raw = [chr(c).encode("utf-8", "surrogatepass") for c in code[bare].tolist()]
+        e = first[bare]
+        piece[e], to[e] = self.byte_id[[r[0] for r in raw]], bare + 1
+        weight[e] = [self.byte_weight * len(r) for r in raw]
         # log-sums to the word's end, for all nodes at the same distance from it
-        beta = np.zeros(n + 1)
-        far = rest[node]
-        # of a node's edges the longest piece first: as a rule it is the likeliest
-        order = np.argsort((far << 40) | (node << 8) | (255 - size))
-        node, piece, weight, size, to, far = (x[order] for x in (node, piece, weight, size, to, far))
-        score = np.empty(len(node))
-        cuts = np.append(np.flatnonzero(np.append(True, far[1:] != far[:-1])), len(far)) if len(far) else np.zeros(1, np.int64)
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            own, value = node[a:b], weight[a:b] + np.where(size[a:b] == far[a:b], 0.0, beta[np.minimum(node[a:b] + size[a:b], n)])
-            heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        beta, score = np.zeros(n), np.empty(m)
+        cuts = np.append(np.flatnonzero(np.diff(far[by_far])) + 1, n).tolist()
+        bounds = [*firsts[cuts[:-1]].tolist(), m]
+        for a, b, x, y in zip(cuts[:-1], cuts[1:], bounds[:-1], bounds[1:], strict=True):
+            value, heads, own = weight[x:y] + beta[to[x:y]], firsts[a:b] - x, spans[a:b]
             top = np.maximum.reduceat(value, heads)
-            spans = np.diff(np.append(heads, len(own)))
-            total = np.log(np.add.reduceat(np.exp(value - np.repeat(top, spans)), heads)) + top
-            beta[own[heads]] = total
-            score[a:b] = value - np.repeat(total, spans)
+            total = np.log(np.add.reduceat(np.exp(value - np.repeat(top, own)), heads)) + top
+            beta[by_far[a:b]] = total
+            score[x:y] = value - np.repeat(total, own)
         p = np.exp(score)
-        heads = np.flatnonzero(np.append(True, node[1:] != node[:-1]))[: len(node)]
-        spans = np.diff(np.append(heads, len(node)))
-        run = np.cumsum(p)
-        cdf = run - np.repeat(run[heads] - p[heads], spans)
+        heads, spans = firsts[len(words) :], spans[len(words) :]
+        cdf, rest = shares(p, heads, spans)
         # places among all nodes; the end of a word is -1
-        is_end = np.zeros(n + 1, bool)
-        is_end[ends] = True
-        last = (to <= n) & is_end[np.minimum(to, n)] & (size == far)
         base = self.nodes
-        target = np.where(last, -1, to + base)
-        e, m = len(node), len(chain_from)
-        self._room(extra, e + m)
-        f = slice(self.edges, self.edges + e)
-        self.rest[self.edges : self.edges + e + m] = 0.0
-        self.rest[f] = others(p, heads, spans)
-        self.cdf[f], self.logp[f], self.piece[f], self.next[f] = cdf, score, piece, target
-        self.first[base + node[heads]], self.count[base + node[heads]] = self.edges + heads, spans
-        if m:
-            g = slice(self.edges + e, self.edges + e + m)
-            after = np.array(chain_to)
-            self.cdf[g], self.logp[g], self.piece[g] = 1.0, 0.0, chain_piece
-            self.next[g] = np.where((after <= n) & is_end[np.minimum(after, n)], -1, after + base)
-            self.first[base + np.array(chain_from)], self.count[base + np.array(chain_from)] = np.arange(self.edges + e, self.edges + e + m), 1
-        self.nodes += extra
-        self.edges += e + m
-        self.words.update(zip(words, (starts + base).tolist(), strict=True))
+        target = np.where(is_end[to], -1, to + base)
+        chain = [(i, r) for i, r in zip(e.tolist(), raw, strict=True) if len(r) > 1]
+        extra = sum(len(r) - 1 for _, r in chain)  # further nodes, for the bytes of a character after the first
+        self._room(n + extra, m + extra)
+        f, v = slice(self.edges, self.edges + m), slice(base, base + n)
+        if extra:
+            g, u = slice(self.edges + m, self.edges + m + extra), slice(base + n, base + n + extra)
+            own = np.arange(base + n, base + n + extra)
+            after = own + 1
+            last = np.cumsum([len(r) - 1 for _, r in chain]) - 1
+            heads = [i for i, _ in chain]
+            after[last] = target[heads]
+            target[heads] = own[np.append(0, last[:-1] + 1)]
+            self.cdf[g], self.logp[g], self.rest[g], self.next[g] = 1.0, 0.0, 0.0, after
+            self.piece[g] = self.byte_id[[b for _, r in chain for b in r[1:]]]
+            self.first[u], self.count[u] = np.arange(self.edges + m, self.edges + m + extra), 1
+        self.cdf[f], self.logp[f], self.rest[f], self.piece[f], self.next[f] = cdf, score, rest, piece, target
+        self.first[v], self.count[v] = first + self.edges, count
+        self.nodes += n + extra
+        self.edges += m + extra
+        nodes = starts + base
+        self.words.update(zip(words, nodes.tolist(), strict=True))
+        return nodes
 
     def arrays(self):
         return self.first, self.count, self.cdf, self.logp, self.piece, self.next, self.rest
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.bytes_of.__getitem__, ids))
-        return text[1:].decode("utf-8", "surrogatepass") if text else ""
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The text in UTF-8."""
+        return b"".join(self.bytes_of[ids].tolist())[1:]
+
+
+def shares(p: np.ndarray, heads: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For values in groups that start at ``heads``: their running sums, and the sum of the group's others.
+
+    Both depend on the group alone, and no sum is a difference of sums.
+    """
+    cdf, out = p.copy(), np.zeros(len(p))
+    order = np.argsort(spans.astype(np.int16), kind="stable")
+    number = np.bincount(spans)
+    ends = np.cumsum(number)
+    for size in (np.flatnonzero(number[2:]) + 2).tolist():
+        at = heads[order[ends[size - 1] : ends[size]]]
+        before, after = p[at], p[at + (size - 1)]
+        for k in range(1, size):  # before: the sum up to k - 1
+            out[at + k] = before
+            before = before + p[at + k]
+            cdf[at + k] = before
+        for k in range(size - 2, -1, -1):
+            out[at + k] += after
+            after = after + p[at + k]
+    return cdf, out
 
 
 def others(p: np.ndarray, heads: np.ndarray, spans: np.ndarray) -> np.ndarray:
-    """For values in groups that start at ``heads``: the sum of the group's others, without differences of sums."""
-    out = np.zeros(len(p))
-    for size in np.unique(spans[spans > 1]).tolist():
-        at = heads[spans == size][:, None] + np.arange(size)
-        x = p[at]
-        rest = np.zeros_like(x)
-        rest[:, 1:] = np.cumsum(x, axis=1)[:, :-1]
-        rest[:, :-1] += np.cumsum(x[:, ::-1], axis=1)[:, ::-1][:, 1:]
-        out[at] = rest
-    return out
+    """For values in groups that start at ``heads``: the sum of the group's others."""
+    return shares(p, heads, spans)[1]
 
 
-def uniform(seed: np.ndarray, turn: np.ndarray | int, at: np.ndarray, what: int = 0) -> np.ndarray:
-    """Numbers in (0, 1) that depend on a row's seed, the search, a place in the text and the purpose alone."""
+def uniform(seed: np.ndarray, turn: np.ndarray | int, at: np.ndarray, what: int = 0, of: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Numbers in (0, 1) that depend on a row's seed, the search, a place in the text and the purpose alone.
+
+    of: which seed each place has; without it one each.
+    """
     with np.errstate(over="ignore"):
         x = np.asarray(seed, U64) + np.asarray(turn, np.int64).astype(U64) * BASE + U64(0x632BE59BD9B4E019) * U64(what + 1)
-        x = mixed(mixed(x) + np.asarray(at, np.int64).astype(U64) * BASE)
+        x = mixed(mixed(x)[of] + np.asarray(at, np.int64).astype(U64) * BASE)
     return ((x >> U64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
@@ -284,11 +329,11 @@ class Walk:
             sizes[k] = at + 1
         places = np.cumsum(sizes) - sizes
         total = int(sizes.sum())
-        self.edge, self.node, of = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total, np.int64)
+        self.edge, self.node = np.empty(total, np.int64), np.empty(total, np.int64)
         for at, (k, e, v) in enumerate(steps):
             p = places[k] + at
-            self.edge[p], self.node[p], of[p] = e, v, k
-        self.doc, self.word = doc[of], word[of]
+            self.edge[p], self.node[p] = e, v
+        self.doc, self.word = np.repeat(doc, sizes), np.repeat(word, sizes)
 
 
 def stretches(text: str) -> list[str]:
@@ -358,11 +403,11 @@ def _extend(found, paths, live, walk, arrays, g, head, seeds, turn, prefix):
     at = np.repeat(np.arange(len(live)), ends - begins)
     phi = total - lp - before[at] + head[live][at] if len(lp) else lp  # of the node where the edge was chosen
     rest = rest_of[walk.edge]  # the share of the edges not taken
-    some = rest > 0
+    some = np.flatnonzero(rest > 0)
     bound = np.full(len(lp), -np.inf)
-    place = np.arange(len(lp)) - begins[at]
-    u = uniform(seeds[live][at[some]], turn, place[some], 2)
-    bound[some] = below(g[live][at[some]], phi[some] + np.log(rest[some]), u)
+    of = at[some]
+    u = uniform(seeds[live], turn, some - begins[of], 2, of)
+    bound[some] = below(g[live][of], phi[some] + np.log(rest[some]), u)
     ids = piece[walk.edge]
     for x, i in enumerate(live.tolist()):
         a, b = begins[x], ends[x]
@@ -448,9 +493,9 @@ def sampled(path: str, k: int, seed: int, ids: bool, carry: str | None = None):
                 carried = batch.column(2).slice(at, len(texts)).to_pylist() if carry else keys
                 seeds = np.array([xxhash.xxh3_64_intdigest(repr(x).encode(), seed) for x in keys], U64)
                 rows = []
-                for key, text, other, got in zip(keys, texts, carried, top_k(table, texts, seeds, k), strict=True):
+                for key, text, other, got in zip(keys, raw, carried, top_k(table, texts, seeds, k), strict=True):
                     for s, (p, lp, g, inclusion, log_inclusion) in enumerate(got):
-                        rows.append((key, s, len(p), lp, g, inclusion, log_inclusion, table.decode(p.tolist()) == text, p if ids else None, other))
+                        rows.append((key, s, len(p), lp, g, inclusion, log_inclusion, table.decode(p) == (text or b""), p if ids else None, other))
                 c = list(zip(*rows, strict=True))
                 arrays = [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64()), *(pa.array(x, pa.float64()) for x in c[3:7]), pa.array(c[7]), pa.array(c[8], pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(c[9], pa.int64())] if carry else arrays, [*NAMES, carry] if carry else NAMES)
