@@ -293,6 +293,42 @@ def test_a_full_table_of_lattices_is_used_again_and_words_do_not_change_each_oth
     assert not table.words and not len(table.cdf)
 
 
+def test_a_worker_that_samples_pieces_takes_little_memory():
+    import subprocess
+    import sys
+
+    code = """
+import random, re, threading, time
+import pyarrow as pa
+import public_tokenizers
+from tidemill.llm import piece_sampling as ps
+
+def anon():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+path, rng = public_tokenizers.path("piece_bpe_32k.model"), random.Random(1)
+parts = ["th", "er", "in", "on", "an", "ed", "tion", "ing", "es", "at"]
+word = lambda: "".join(rng.choice(parts) for _ in range(rng.randrange(2, 7)))
+texts = [" ".join(word() for _ in range(500)) for _ in range(2500)]
+batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+ps.lattices(path)
+del texts
+most, start = 0.0, anon()
+
+def watch():
+    global most
+    while True:
+        most = max(most, anon() - start)
+        time.sleep(0.02)
+
+threading.Thread(target=watch, daemon=True).start()
+n = sum(len(x) for x in ps.sampled(path, 2, 23, True)([batch]))
+print(n, most)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=600).stdout.split()
+    assert int(out[0]) == 5000 and float(out[1]) < 160, out
+
+
 def test_sampled_pieces_give_every_text_back(spark, docs):
     odd = [(898, "internationalisation of " * 3000), (899, "aé" * 100_000 + " b"), (900, "\U0001f600"), (901, "▁ a▁b"), (902, "\U00013000x\U00013001"), (903, "tab\t and\nline")]
     df = docs.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))

@@ -31,10 +31,10 @@ from tidemill.llm._shared import U64, blocks, freed, kept, mixed
 
 SPACE = "▁"
 #: Edges after which a worker's lattices are dropped, and characters whose lattices are made together.
-EDGE_TABLE, MADE_AT_ONCE = 3_000_000, 60_000
+EDGE_TABLE, MADE_AT_ONCE = 2_000_000, 30_000
 BASE, SPREAD = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9)
-#: Bytes of text that are sampled together.
-SAMPLED_AT_ONCE = 1 << 20
+#: Bytes of text that are sampled together. With the table it bounds what a worker takes beside its input, some 200 MB.
+SAMPLED_AT_ONCE = 1 << 18
 #: Characters of a word after which the next piece begins anew, and what marks the rest of such a word: no character.
 LONGEST_WORD, CONTINUES = 1 << 16, "\ud800"
 #: Stands after a word among others: no character either.
