@@ -773,6 +773,22 @@ def test_encoder_cuts_only_where_the_rule_does():
     assert all(e.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids for t in texts)
 
 
+def test_words_are_merged_together_as_the_library_merges_each():
+    from tokenizers import Tokenizer
+
+    path = tokenizers_path("byte_bpe_50k.json")
+    library, e = Tokenizer.from_file(path), token_output.Encoder(path)
+    rng = random.Random(12)
+    words = ["the", "a" * 39, "a" * 40, "th" * 500, "日本語" * 20, "é", "x'll", "'s", "$1,000.00", "a\nb", "\u0301", "Ġb", "!" * 60, "1" * 41, "aaaaaaa"]
+    words += ["".join(rng.choice(["th", "er", "ing", "a", "E", "é", "日", "1", ".", "'s", "\U0001f600"]) for _ in range(rng.randrange(1, 16))) for _ in range(3000)]
+    words = list(dict.fromkeys(words))
+    found = e.merged(words)
+    assert list(sorted(found)) == sorted(words)
+    assert all(found[w] == np.array(library.encode(" " + w, add_special_tokens=False).ids, "<u4").tobytes() for w in words)
+    assert e.merged([]) == {} and list(e.merged(["日" * 30])) == ["日" * 30]
+    assert not token_output.Merges.of({"type": "BPE", "dropout": 0.5, "vocab": {}, "merges": []})
+
+
 def test_added_tokens_in_a_text_are_those_of_the_library():
     from tokenizers import Tokenizer
 

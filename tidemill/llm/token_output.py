@@ -6,8 +6,9 @@ remaining sequence. Prefix sums of expansion lengths find the symbol that covers
 without what stands before it.
 
 Encoding splits a text where a word ends and one space and a word follow. The byte-level rule never joins two sides
-of such a place, so each word is encoded once by the tokenizers library, many new ones in a call, and looked up after
-that. Added tokens that a text quotes (<|endoftext|>) are ids of their own, as in the library's plain call; texts are
+of such a place, so each word is encoded once, all new ones of some texts together, and looked up after that. Pieces
+are merged as the library merges them, with its ranks; where a tokenizer has another model, the library is called.
+Added tokens that a text quotes (<|endoftext|>) are ids of their own, as in the library's plain call; texts are
 split at them first.
 """
 
@@ -33,6 +34,8 @@ from tidemill.llm._shared import blocks, new_file, shared_dir, stage
 MAGIC = b"RPGRAM02"
 #: Words after which a worker's table is emptied, and how many new ones are encoded in a call.
 PIECE_TABLE, LEARNED_AT_ONCE = 500_000, 1000
+#: Bytes of a piece that is merged beside others, and what ranks a pair that is never merged.
+LONGEST_PIECE, NEVER = 40, 1 << 24
 #: Bytes of text that are encoded together.
 ENCODED_AT_ONCE = 2 << 20
 #: A round replaces the pairs that are at least this share of the most frequent one.
@@ -56,6 +59,69 @@ class Unsafe(Exception):
     """A place between spaces is not where one word ends and the next begins."""
 
 
+class Merges:
+    """Byte-pair merging of many pieces at once: of each, the leftmost pair of the least rank, until none has a rank."""
+
+    def __init__(self, vocab: dict[str, int], merges: list):
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
+        self.byte = np.array([vocab[c] for c in BYTE_LEVEL], np.uint32)
+        self.into = np.array([vocab[a + b] for a, b in pairs], np.uint32)
+        self.pairs = Places(np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.uint64))
+
+    @staticmethod
+    def of(model: dict) -> Merges | None:
+        """None for a model that does anything else besides, or makes a symbol in two ways."""
+        plain = model["type"] == "BPE" and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback"))
+        if not plain or not set(BYTE_LEVEL) <= model["vocab"].keys() or not 0 < len(model["merges"]) < NEVER:
+            return None
+        made = {"".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]}
+        return Merges(model["vocab"], model["merges"]) if len(made) == len(model["merges"]) else None
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return self.pairs.each(left.ravel().astype(np.uint64) << np.uint64(32) | right.ravel(), NEVER).reshape(left.shape)
+
+    def merged(self, text: bytes, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces of these sizes that ``text`` consists of, one after another, and how many each has.
+
+        None may be longer than LONGEST_PIECE.
+
+        Pieces of as many symbols stand together as columns; one merge makes them columns among those of one less.
+        """
+        size, code, starts = size.copy(), self.byte[np.frombuffer(text, np.uint8)], np.cumsum(size) - size
+        by_size = np.argsort(size.astype(np.int8), kind="stable")
+        cuts = np.searchsorted(size[by_size], np.arange(LONGEST_PIECE + 2))
+        which, symbols, ranks, ended = np.empty(0, np.int64), None, None, []
+        for n in range(int(size.max(initial=0)), 0, -1):
+            own = by_size[cuts[n] : cuts[n + 1]]
+            fresh = code[starts[own] + np.arange(n)[:, None]]
+            first = self.rank(fresh[:-1], fresh[1:])
+            if len(which):
+                own, fresh, first = np.append(which, own), np.hstack([symbols, fresh]), np.hstack([ranks, first])
+            if n == 1:
+                ended.append((own, fresh))
+                break
+            least = ((first << 6) + np.arange(n - 1, dtype=np.int32)[:, None]).min(axis=0)
+            on = least < NEVER << 6
+            ended.append((own[~on], fresh[:, ~on]))
+            which, symbols, ranks, least = own[on], fresh[:, on], first[:, on], least[on]
+            at, new = least & 63, self.into[least >> 6]
+            before = np.arange(n - 1)[:, None] < at
+            symbols = np.where(before, symbols[:-1], symbols[1:])
+            every = np.arange(len(which))
+            symbols[at, every] = new
+            ranks = np.where(before[:-1], ranks[:-1], ranks[1:])
+            k = np.flatnonzero(at > 0)
+            ranks[at[k] - 1, k] = self.rank(symbols[at[k] - 1, k], new[k])
+            k = np.flatnonzero(at < n - 2)
+            ranks[at[k], k] = self.rank(new[k], symbols[at[k] + 1, k])
+        for own, got in ended:
+            size[own] = len(got)
+        out, starts = np.empty(int(size.sum()), "<u4"), np.cumsum(size) - size
+        for own, got in ended:
+            out[starts[own] + np.arange(len(got))[:, None]] = got
+        return out, size
+
+
 class Encoder(dict):
     """A word that follows one space -> the bytes of its ids (unsigned 32-bit, little-endian)."""
 
@@ -72,6 +138,7 @@ class Encoder(dict):
         texts = sorted((t["content"] for t in added), key=len, reverse=True)
         self.added = re.compile(f"({'|'.join(map(re.escape, texts))})") if texts else None
         self.cut, self.parts = regex.compile(RULE), {}
+        self.merges = Merges.of(known["model"]) if self.plain else None
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(vocab.values(), default=-1) + 1, bool)
         self.spaced[[i for t, i in vocab.items() if t.startswith(SPACE_BYTE)]] = True
@@ -96,14 +163,18 @@ class Encoder(dict):
         got = self[word] = self.ids(" " + word)
         return got
 
-    def learn(self, words: list[str]) -> list[bytes | None]:
-        """The ids of words that are not in the table; None where the library finds other words.
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Words that are not in the table -> their ids, but for those that are not cut off where they begin.
 
-        Letters alone are one piece, which goes to the library's model as the byte-level alphabet writes it. Other
-        words are cut by the library, LEARNED_AT_ONCE in a call.
+        Without ``merges``, letters alone are one piece, which goes to the library's model as the byte-level alphabet
+        writes it, and other words are cut by the library, LEARNED_AT_ONCE in a call.
         """
         if len(self) >= PIECE_TABLE:
             self.clear()
+        if self.merges:
+            found = self.merged(words)
+            self.update(found)
+            return found
         merge = self.tokenizer.model.tokenize
         letters = [w for w in words if w.isalpha()]
         written = [SPACE_BYTE + (w if w.isascii() else "".join(map(BYTE_LEVEL.__getitem__, w.encode()))) for w in letters]
@@ -118,7 +189,40 @@ class Encoder(dict):
                 raw, cuts = ids.tobytes(), (4 * np.append(heads, len(ids))).tolist()
                 found.update(zip(some, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=False))
         self.update(found)
-        return list(map(found.get, words))
+        return found
+
+    def merged(self, words: list[str]) -> dict[str, bytes]:
+        """Words -> ids: letters alone are one piece, other words are cut by the rule; all pieces are merged together."""
+        letters, rest = [], []
+        for w in words:
+            (letters if w.isalpha() else rest).append(w)
+        cut = self.cut.findall(" " + " ".join(rest)) if rest else []
+        heads = [k for k, p in enumerate(cut, len(letters)) if p[0] == " "]  # a word starts with the piece that holds its space
+        if len(heads) != len(rest):
+            rest, cut, heads = [], [], []
+        heads = np.append(np.arange(len(letters)), np.array(heads, np.int64))
+        text = "".join([" " * bool(letters), " ".join(letters), *cut])
+        data = text.encode()
+        if len(data) == len(text):
+            size = np.append(np.fromiter(map(len, letters), np.int64, len(letters)) + 1, np.fromiter(map(len, cut), np.int64, len(cut)))
+        else:
+            size = np.array([*(len(w.encode()) + 1 for w in letters), *(len(p.encode()) for p in cut)], np.int64)
+        long, ends = np.flatnonzero(size > LONGEST_PIECE).tolist(), np.cumsum(size)
+        whole, parts, at = [], [], 0
+        for k in long:  # by the library's model, one by one
+            parts.append(data[at : ends[k] - size[k]])
+            at = ends[k]
+            written = "".join(map(BYTE_LEVEL.__getitem__, data[at - size[k] : at]))
+            whole.append(np.array([t.id for t in self.tokenizer.model.tokenize(written)], "<u4"))
+        size[long] = 0
+        ids, size = self.merges.merged(b"".join([*parts, data[at:]]), size)
+        ends, parts, at = np.cumsum(size), [], 0
+        for k, x in zip(long, whole, strict=True):
+            parts += [ids[at : ends[k]], x]
+            at, size[k] = ends[k], len(x)
+        ids = np.concatenate([*parts, ids[at:]])
+        raw, cuts = ids.tobytes(), (4 * np.append((np.cumsum(size) - size)[heads], len(ids))).tolist()
+        return dict(zip(itertools.chain(letters, rest), map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. The words of all are looked up together, so that each new one is asked for once."""
@@ -127,7 +231,7 @@ class Encoder(dict):
         local = dict.fromkeys(itertools.chain.from_iterable(w[1:] for w in split))
         local = dict(zip(local, map(self.get, local), strict=True))
         new = [w for w, ids in local.items() if ids is None and w and w.strip() == w]
-        local.update(zip(new, self.learn(new), strict=True))
+        local.update(self.learn(new))
         out = []
         for text, other, words in zip(texts, odd, split, strict=True):
             first = words[0] if words else ""
@@ -186,19 +290,26 @@ class Places:
             self.tables.append((table, factor, shift))
             left = left[table[slots] != left]
 
+    def each(self, x: np.ndarray, none: int) -> np.ndarray:
+        """Which of the values each place in ``x`` holds, or ``none``."""
+        table, factor, shift = self.tables[0]
+        got = table[(x * factor) >> shift]
+        same = self.values[got] == x
+        out = np.where(same, got, np.int32(none))
+        left = np.flatnonzero(~same & (got >= 0))  # a value that lost its slot lost it to another
+        for table, factor, shift in self.tables[1:]:
+            part = x[left]
+            got = table[(part * factor) >> shift]
+            same = self.values[got] == part
+            out[left[same]] = got[same]
+            left = left[~same & (got >= 0)]
+        return out
+
     def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The places in ``x`` that hold one of the values, ascending, and which it is."""
         hits, found = [], []
         for at in range(0, len(x), SCANNED):
-            part = x[at : at + SCANNED]
-            for k, (table, factor, shift) in enumerate(self.tables):
-                if k:  # those not found so far
-                    left = np.flatnonzero(which < 0)
-                    got = table[(part[left] * factor) >> shift]
-                    which[left] = np.where(self.values[got] == part[left], got, -1)
-                else:
-                    got = table[(part * factor) >> shift]
-                    which = np.where(self.values[got] == part, got, np.int32(-1))
+            which = self.each(x[at : at + SCANNED], -1)
             some = np.flatnonzero(which >= 0)
             hits.append(some + at)
             found.append(which[some])
@@ -220,7 +331,10 @@ def repair(ids: np.ndarray, base: int, least: int = 8) -> tuple[np.ndarray, np.n
     while True:
         live[n] = False
         at = np.flatnonzero(live)
-        pairs = seq[at].astype(np.uint64) << np.uint64(32) | seq[after[at]]
+        pairs = np.empty(len(at), np.uint64)
+        for k in range(0, len(at), SCANNED):
+            some = at[k : k + SCANNED]
+            pairs[k : k + SCANNED] = seq[some].astype(np.uint64) << np.uint64(32) | seq[after[some]]
         ordered = np.sort(pairs)
         heads = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
         count = np.diff(heads, append=len(ordered))
